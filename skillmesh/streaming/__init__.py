@@ -1,0 +1,6 @@
+"""Streaming.
+
+The workload has no streams: postings and summaries are bounded tables
+read as batches, and no query keeps state between requests.  This package
+is intentionally empty; see README.md ("Not built").
+"""
