@@ -59,12 +59,17 @@ def _frequency(matched: DataFrame) -> DataFrame:
 def _buckets(postings: DataFrame, title: str, country: str, k: int) -> DataFrame:
     freq = _frequency(matched_postings(postings, title, country))
     order = [F.desc("frequency"), F.asc("skill")]
+    # The blank group has frequency 0 and sorts after every real skill, so
+    # the first k + 1 rows hold the top k skills.  Filtering after the
+    # limit (not before it) keeps this branch's aggregate identical to the
+    # other branch's, so Spark computes it once and reuses the exchange.
     top = (
-        freq.filter(F.col("skill").isNotNull())
-        .orderBy(*order)
-        .limit(k)
-        # k rows at most: numbering them in one window is bounded work.
+        freq.orderBy(*order)
+        .limit(k + 1)
+        .filter(F.col("skill").isNotNull())
+        # k + 1 rows at most: numbering them in one window is bounded work.
         .withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+        .filter(F.col("rank") <= k)
         .select("skill", "rank")
     )
     if k <= TOPK_BROADCAST_ROWS:
@@ -73,12 +78,12 @@ def _buckets(postings: DataFrame, title: str, country: str, k: int) -> DataFrame
         "kind",
         F.when(F.col("rank").isNotNull(), "top").when(F.col("skill").isNull(), "blank").otherwise("other"),
     )
-    return tagged.groupBy("kind", "rank").agg(
-        F.max(F.when(F.col("kind") == "top", F.col("skill"))).alias("skill"),
+    tagged = tagged.withColumn("top_skill", F.when(F.col("kind") == "top", F.col("skill")))
+    return tagged.groupBy("kind", "rank", "top_skill").agg(
         F.sum("frequency").cast("long").alias("frequency"),
         F.count("skill").alias("n_skills"),
         F.sum("n_posts").cast("long").alias("n_posts"),
-    )
+    ).withColumnRenamed("top_skill", "skill")
 
 
 def _shares(buckets: DataFrame) -> DataFrame:

@@ -163,37 +163,84 @@ aggregate(KT, 0D, (acc, t) -> acc + CASE
 """
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast hint only behind a row-count check of the (dictionary) side."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
-def best_matches(cleaned_titles: DataFrame, keywords: DataFrame, language: str = "both", threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+def _dictionary_is_small(prepared: DataFrame) -> bool:
+    """One small job over the dictionary: keyword count and an upper bound
+    on its probe rows (tokens of four or more characters emit all their
+    substrings)."""
+    n_kw, n_probes = prepared.select(
+        F.aggregate(
+            "KT",
+            F.lit(2).cast("long"),
+            lambda acc, t: acc + 2 + F.when(F.length(t) >= 4, F.length(t) * (F.length(t) + 1) / 2).otherwise(0).cast("long"),
+        ).alias("p")
+    ).agg(F.count(F.lit(1)), F.coalesce(F.sum("p"), F.lit(0))).first()
+    return n_kw <= DICTIONARY_BROADCAST_ROWS and n_probes <= DICTIONARY_BROADCAST_ROWS
+
+
+def best_matches(
+    cleaned_titles: DataFrame,
+    keywords: DataFrame,
+    language: str = "both",
+    threshold: float = DEFAULT_THRESHOLD,
+    few_titles: bool = False,
+) -> DataFrame:
     """``T, score, profession, keyword`` for each distinct cleaned title that
-    has a match (J3, N3-N6)."""
+    has a match (J3, N3-N6).
+
+    Join strategy: with ``few_titles`` (a handful of request titles) the
+    title side is broadcast and the dictionary streams; otherwise the
+    dictionary side is broadcast when a size check proves it small, else
+    both sides are shuffled on the probe key.
+    """
     prepared = prepare_keywords(keywords, language)
-    probes = _small(keyword_probes(prepared), DICTIONARY_BROADCAST_ROWS)
-    info = _small(prepared, DICTIONARY_BROADCAST_ROWS)
+    probes = keyword_probes(prepared)
+    info = prepared
     titles = cleaned_titles.select(F.col("clean_title").alias("T")).distinct().withColumn("TT", ws_tokens("T"))
-    pairs = _title_keys(titles).join(probes, "key").join(info, "kid")
+    keys = _title_keys(titles)
+    if few_titles:
+        pairs = probes.join(F.broadcast(keys), "key").join(info, "kid")
+    else:
+        if _dictionary_is_small(prepared):
+            probes, info = F.broadcast(probes), F.broadcast(info)
+        pairs = keys.join(probes, "key").join(info, "kid")
+    best = _passing(pairs, threshold).groupBy("T").agg(_best().alias("b"))
+    return best.select("T", "b.score", "b.profession", "b.keyword")
+
+
+def _best():
+    """Highest score; ties to the lowest profession position, then keyword position."""
+    return F.max(
+        F.struct(
+            "score",
+            (-F.col("prof_pos")).alias("np"),
+            (-F.col("kw_pos")).alias("nk"),
+            "profession",
+            "keyword",
+        )
+    )
+
+
+def _passing(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Scores ``T``/``TT`` × ``K``/``KT`` pairs and keeps those that can win."""
     scored = pairs.withColumn("mc", F.expr(_MATCH_COUNT)).withColumn("score", F.expr(_SCORE))
-    passed = scored.filter(
+    return scored.filter(
         F.col("score").isNotNull()
         & (F.col("score") > 0)
         & (F.expr("contains(T, K)") | (F.col("score") >= F.lit(float(threshold))))
     )
-    best = passed.groupBy("T").agg(
-        F.max(
-            F.struct(
-                "score",
-                (-F.col("prof_pos")).alias("np"),
-                (-F.col("kw_pos")).alias("nk"),
-                "profession",
-                "keyword",
-            )
-        ).alias("b")
-    )
-    return best.select("T", "b.score", "b.profession", "b.keyword")
+
+
+def best_match_of(
+    title: str, keywords: DataFrame, language: str = "both", threshold: float = DEFAULT_THRESHOLD
+) -> DataFrame:
+    """At most one row ``score, profession, keyword`` for a single request
+    title.  The cleaned title is a constant column over the dictionary scan
+    (Catalyst folds it), so there is no join: one pass over the keywords and
+    a global max."""
+    t = F.lit(title).cast("string")
+    pairs = prepare_keywords(keywords, language).withColumn("T", clean_title(t)).withColumn("TT", ws_tokens("T"))
+    best = _passing(pairs, threshold).agg(_best().alias("b"))
+    return best.filter(F.col("b").isNotNull()).select("b.score", "b.profession", "b.keyword")
 
 
 def normalize_titles(
@@ -202,13 +249,14 @@ def normalize_titles(
     title_col: str = "title",
     language: str = "both",
     threshold: float = DEFAULT_THRESHOLD,
+    few_titles: bool = False,
 ) -> DataFrame:
     """Input rows plus ``profession`` (``Unknown`` when nothing matches),
     ``score`` (capped at 1) and ``matched_keyword`` (N7)."""
     distinct = titles.select(F.col(title_col).alias("_title")).distinct().withColumn(
         "clean_title", clean_title("_title")
     )
-    best = best_matches(distinct, keywords, language, threshold)
+    best = best_matches(distinct, keywords, language, threshold, few_titles)
     mapping = distinct.join(best, distinct.clean_title == best.T, "left").select(
         "_title",
         F.coalesce("profession", F.lit(UNKNOWN)).alias("profession"),
@@ -229,6 +277,6 @@ def profession_of_title(titles: DataFrame, keywords: DataFrame, title_col: str =
 def resolve_title(spark: SparkSession, title: str, keywords: DataFrame) -> str:
     """The profession name for one request title, or the title itself when
     nothing matches (an empty title resolves to ``Unknown``)."""
-    one = spark.createDataFrame([(title,)], "title string")
-    prof = normalize_titles(one, keywords).select("profession").first()[0]
+    best = best_match_of(title, keywords).first() if title else None
+    prof = best.profession if best is not None else UNKNOWN
     return title if (prof == UNKNOWN and title) else prof
