@@ -71,6 +71,26 @@ def equals_ci(c, value: str) -> Column:
     return F.lower(_col(c)) == F.lower(F.lit(value))
 
 
+# Partition column of country-keyed tables: the lower-cased country.
+COUNTRY_KEY = "country_key"
+
+
+def country_equals(df, country: str) -> Column:
+    """Case-insensitive country equality; on country-keyed tables the test
+    is on the partition column, so Spark prunes partitions."""
+    if COUNTRY_KEY in df.columns:
+        return F.col(COUNTRY_KEY) == F.lower(F.lit(country))
+    return equals_ci("search_country", country)
+
+
+def country_contains(df, needle: str) -> Column:
+    """Case-insensitive country substring test, pruning partitions when the
+    table is country-keyed."""
+    if COUNTRY_KEY in df.columns:
+        return F.col(COUNTRY_KEY).contains(F.lower(F.lit(needle)))
+    return contains_ci("search_country", needle)
+
+
 def has_all(arr, required: list[str]) -> Column:
     """True when every required value is an element of ``arr``.
 

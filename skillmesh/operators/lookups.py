@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skillmesh.functions.params import coerce_limit, slice_sorted
-from skillmesh.functions.text import contains_ci, equals_ci, not_blank, year_of
+from skillmesh.functions.text import contains_ci, country_equals, not_blank, year_of
 from skillmesh.operators.reshape import unnest_job_counts
 from skillmesh.operators.rollups import sort_job_list
 
@@ -27,7 +27,7 @@ def global_skills(skill_counts: DataFrame, limit=None) -> DataFrame:
 def skills_by_country(skill_counts_by_country: DataFrame, country: str, limit=None) -> DataFrame:
     """``skill, count, search_country`` of one country, any case (Q4)."""
     ordered = (
-        skill_counts_by_country.filter(equals_ci("search_country", country))
+        skill_counts_by_country.filter(country_equals(skill_counts_by_country, country))
         .select("skill", "count", "search_country")
         .orderBy(F.desc("count"), F.asc("skill"))
     )
@@ -36,7 +36,8 @@ def skills_by_country(skill_counts_by_country: DataFrame, country: str, limit=No
 
 def _country_titles(job_counts_by_country: DataFrame, country: str) -> DataFrame:
     """Merged title counts of every row whose country equals ``country``."""
-    flat = unnest_job_counts(job_counts_by_country).filter(equals_ci("search_country", country))
+    rows = job_counts_by_country.filter(country_equals(job_counts_by_country, country))
+    flat = unnest_job_counts(rows)
     return flat.groupBy("job_title").agg(
         F.sum("count").cast("long").alias("count"),
         F.min("search_country").alias("search_country"),

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from skillmesh.functions import shares
 from skillmesh.functions.params import strict_int
-from skillmesh.functions.text import OTHER_SKILLS_LABEL, contains_ci, split_skills
+from skillmesh.functions.text import OTHER_SKILLS_LABEL, contains_ci, country_contains, split_skills
 
 # Broadcast the top-k side of the tagging join up to this many rows; past
 # it the planner's own choice (sort-merge) is used.
@@ -34,7 +34,7 @@ TOPK_BROADCAST_ROWS = 100_000
 
 def matched_postings(postings: DataFrame, title: str, country: str) -> DataFrame:
     """Postings whose title and country contain the needles, any case (F1, F2)."""
-    return postings.filter(contains_ci("job_title", title) & contains_ci("search_country", country))
+    return postings.filter(contains_ci("job_title", title) & country_contains(postings, country))
 
 
 def skill_frequency(postings: DataFrame, title: str, country: str) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skillmesh.functions.text import equals_ci, has_all, skills_lower
+from skillmesh.functions.text import country_equals, has_all, skills_lower
 
 
 def required_skills(skills) -> list[str]:
@@ -37,7 +37,7 @@ def filter_has_all_skills(postings: DataFrame, country: str, skills) -> DataFram
     with their lower-cased skill array as ``skills``."""
     req = [s.lower() for s in required_skills(skills)]
     return (
-        postings.filter(equals_ci("search_country", country))
+        postings.filter(country_equals(postings, country))
         .withColumn("skills", skills_lower("job_skills"))
         .filter(has_all("skills", req))
     )

@@ -573,4 +573,21 @@ def oracle_sql() -> dict[str, str]:
         "scan_counts": _with(body=_SKILL_COUNTS),
         "scan_nested_counts": _with(body=_nested_pos_sql("search_country")),
         "scan_tolerant": _with(body=_SKILL_COUNTS),
+        "scan_postings_parquet": _with(
+            body=f"SELECT posting_id, search_country FROM postings WHERE lower(search_country) = lower({_lit(EQ_COUNTRY)})"
+        ),
     }
+
+
+def _q_scan_postings_parquet(spark, d):
+    """S1 on the columnar layout: postings written country-keyed, read back,
+    then a country lookup that prunes to one partition."""
+    path = scratch_path(spark, "postings-parquet")
+    files.write_country_keyed(_postings(spark, d), path)
+    table = files.read_country_keyed(spark, path)
+    from skillmesh.functions.text import country_equals
+
+    return table.filter(country_equals(table, EQ_COUNTRY)).select("posting_id", "search_country")
+
+
+QUERIES["scan_postings_parquet"] = _q_scan_postings_parquet
