@@ -10,17 +10,20 @@ Plan, for one (title, country) pair:
 4. top ``k`` skills by ``frequency desc, skill`` (a distributed
    TakeOrderedAndProject, ``k`` rows reach one task), numbered 1..k;
 5. every skill row is tagged top / other / blank by a join against those
-   ``k`` rows (broadcast when ``k`` is small) and folded into at most
-   ``k + 2`` bucket rows;
+   ``k`` rows (broadcast when ``k`` is small) and folded by one global
+   aggregate (partial per partition) into a single row: totals plus the
+   list of the ``k`` top skills;
 6. shares, the "Other Skills" residual and the sum-to-100 correction are
-   computed on the bucket rows in integer hundredths.
+   computed on that row with higher-order functions, in the original's
+   double arithmetic and Python-style rounding (see ``functions.shares``);
+   ``inline`` turns the list back into rows.
 
-No step gathers more than ``k + 2`` rows into a single task.
+No step gathers more than ``k + 1`` entries into a single task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skillmesh.functions import shares
@@ -56,7 +59,9 @@ def _frequency(matched: DataFrame) -> DataFrame:
     )
 
 
-def _buckets(postings: DataFrame, title: str, country: str, k: int) -> DataFrame:
+def _tally(postings: DataFrame, title: str, country: str, k: int) -> DataFrame:
+    """One row: ``total, n_jobs, n_unique, other_freq`` and ``tops`` (the top
+    k skills as ``array<struct<rank, skill, frequency>>``, rank order)."""
     freq = _frequency(matched_postings(postings, title, country))
     order = [F.desc("frequency"), F.asc("skill")]
     # The blank group has frequency 0 and sorts after every real skill, so
@@ -74,54 +79,74 @@ def _buckets(postings: DataFrame, title: str, country: str, k: int) -> DataFrame
     )
     if k <= TOPK_BROADCAST_ROWS:
         top = F.broadcast(top)
-    tagged = freq.join(top, "skill", "left").withColumn(
-        "kind",
-        F.when(F.col("rank").isNotNull(), "top").when(F.col("skill").isNull(), "blank").otherwise("other"),
+    tagged = freq.join(top, "skill", "left")
+    is_top = F.col("rank").isNotNull()
+    is_other = F.col("rank").isNull() & F.col("skill").isNotNull()
+    # A global aggregate with partial aggregation per partition; its only
+    # list holds the top skills, at most k entries.
+    return tagged.agg(
+        F.coalesce(F.sum("frequency"), F.lit(0)).cast("long").alias("total"),
+        F.coalesce(F.sum("n_posts"), F.lit(0)).cast("long").alias("n_jobs"),
+        F.count("skill").alias("n_unique"),
+        F.coalesce(F.sum(F.when(is_other, F.col("frequency"))), F.lit(0)).cast("long").alias("other_freq"),
+        F.array_sort(
+            F.collect_list(F.when(is_top, F.struct("rank", "skill", "frequency")))
+        ).alias("tops"),
     )
-    tagged = tagged.withColumn("top_skill", F.when(F.col("kind") == "top", F.col("skill")))
-    return tagged.groupBy("kind", "rank", "top_skill").agg(
-        F.sum("frequency").cast("long").alias("frequency"),
-        F.count("skill").alias("n_skills"),
-        F.sum("n_posts").cast("long").alias("n_posts"),
-    ).withColumnRenamed("top_skill", "skill")
 
 
-def _shares(buckets: DataFrame) -> DataFrame:
-    """Adds ``h`` (final share in hundredths) and ``keep`` to bucket rows.
+def _fold_sum(arr) -> Column:
+    """Left-to-right double sum of the ``p`` fields, like a Python loop."""
+    return F.aggregate(arr, F.lit(0.0), lambda acc, t: acc + t["p"])
 
-    Rules: a top skill's share is its rounded share; "Other Skills" gets
-    100 minus the sum of the top shares and is kept only when its frequency
-    and that share are positive; if the kept shares do not add to 100, the
-    largest one (lowest rank on ties) absorbs the difference.
-    """
-    everything = Window.partitionBy()  # bounded: at most k + 2 rows
-    b = buckets.withColumn("total", F.sum("frequency").over(everything)).withColumn(
-        "n_top", F.count("rank").over(everything)
+
+def _entry(rank, skill, frequency, p) -> Column:
+    return F.struct(
+        rank.cast("int").alias("rank"), skill.alias("skill"), frequency.alias("frequency"), p.alias("p")
     )
-    b = b.withColumn(
-        "h_top", F.when(F.col("kind") == "top", shares.hundredths("frequency", "total"))
-    ).withColumn("sum_top", F.coalesce(F.sum("h_top").over(everything), F.lit(0)))
-    b = b.withColumn(
-        "h",
-        F.when(F.col("kind") == "top", F.col("h_top")).when(
-            F.col("kind") == "other", F.lit(shares.FULL) - F.col("sum_top")
+
+
+def _shares(tally: DataFrame) -> DataFrame:
+    """Adds ``rows`` (the final ``rank, skill, frequency, p`` list) and
+    ``p_total`` to the tally row.
+
+    The original's arithmetic in its order: each top skill gets
+    ``round(f / t * 100, 2)``; "Other Skills" gets ``round(100 - sum of top
+    shares, 2)`` and is listed only when its frequency and share are
+    positive; when the listed shares do not add up to exactly 100.0 the
+    largest (first on ties) becomes ``round(p + (100 - sum), 2)``.  Sums are
+    sequential double additions in rank order; rounding is Python's.
+    """
+    tops = F.transform(
+        "tops",
+        lambda t: _entry(
+            t["rank"],
+            t["skill"],
+            t["frequency"],
+            shares.share_percent(t["frequency"], F.col("total")),
         ),
-    ).withColumn(
-        "out_rank",
-        F.when(F.col("kind") == "top", F.col("rank")).when(F.col("kind") == "other", F.col("n_top") + 1),
     )
-    b = b.withColumn(
-        "keep",
-        (F.col("kind") == "top") | ((F.col("kind") == "other") & (F.col("frequency") > 0) & (F.col("h") > 0)),
+    t = tally.withColumn("tops", tops)
+    t = t.withColumn("other_p", shares.py_round2(F.lit(100.0) - _fold_sum("tops")))
+    other = _entry(F.size("tops") + 1, F.lit(OTHER_SKILLS_LABEL), F.col("other_freq"), F.col("other_p"))
+    t = t.withColumn(
+        "rows",
+        F.when(
+            (F.col("other_freq") > 0) & (F.col("other_p") > 0), F.concat("tops", F.array(other))
+        ).otherwise(F.col("tops")),
     )
-    b = b.withColumn("sum_kept", F.sum(F.when(F.col("keep"), F.col("h")).otherwise(0)).over(everything))
-    largest = Window.orderBy(F.desc("keep"), F.desc("h"), F.asc("out_rank"))
-    b = b.withColumn("is_largest", F.col("keep") & (F.row_number().over(largest) == 1))
-    return b.withColumn(
-        "h",
-        F.col("h")
-        + F.when(F.col("is_largest"), F.lit(shares.FULL) - F.col("sum_kept")).otherwise(F.lit(0)),
+    t = t.withColumn("p_sum", _fold_sum("rows")).withColumn(
+        "max_at", F.array_position(F.transform("rows", lambda r: r["p"]), F.array_max(F.transform("rows", lambda r: r["p"])))
     )
+    fixed = F.transform(
+        "rows",
+        lambda r, i: F.when(
+            (i + 1 == F.col("max_at")) & (F.col("p_sum") != 100.0),
+            _entry(r["rank"], r["skill"], r["frequency"], shares.py_round2(r["p"] + (F.lit(100.0) - F.col("p_sum")))),
+        ).otherwise(r),
+    )
+    t = t.withColumn("rows", fixed)
+    return t.withColumn("p_total", _fold_sum("rows"))
 
 
 def _limit_arg(limit) -> int:
@@ -146,12 +171,13 @@ def skill_profile(
     """
     k = _limit_arg(limit)
     title = _resolve(postings, title, keywords)
-    b = _shares(_buckets(postings, title, country, k)).filter("keep")
-    return b.select(
-        F.col("out_rank").cast("int").alias("rank"),
-        F.when(F.col("kind") == "top", F.col("skill")).otherwise(F.lit(OTHER_SKILLS_LABEL)).alias("skill"),
-        F.col("frequency"),
-        shares.as_percent("h").alias("percentage"),
+    # inline_outer, not inline: for a non-outer generator Spark infers a
+    # ``size(rows) > 0`` filter and pushes it below the projections that
+    # build ``rows``, copying that whole expression at every step.  The one
+    # all-NULL row inline_outer emits for an empty list is dropped here.
+    rows = _shares(_tally(postings, title, country, k)).select(F.inline_outer("rows"))
+    return rows.filter(F.col("rank").isNotNull()).select(
+        "rank", "skill", "frequency", F.col("p").alias("percentage")
     ).orderBy("rank")
 
 
@@ -167,19 +193,13 @@ def profile_summary(
     :func:`skill_profile`."""
     k = _limit_arg(limit)
     title = _resolve(postings, title, keywords)
-    b = _shares(_buckets(postings, title, country, k))
-    agg = b.agg(
-        F.coalesce(F.sum("n_posts"), F.lit(0)).cast("long").alias("total_jobs"),
-        F.coalesce(F.sum("n_skills"), F.lit(0)).cast("long").alias("total_unique_skills"),
-        F.coalesce(F.sum("frequency"), F.lit(0)).cast("long").alias("total_skill_occurrences"),
-        F.coalesce(F.sum(F.when(F.col("keep"), F.col("h"))), F.lit(0)).alias("h_sum"),
-    )
-    return agg.select(
-        "total_jobs",
-        "total_unique_skills",
-        "total_skill_occurrences",
-        shares.as_percent("h_sum").alias("total_percentage"),
-        (F.abs(F.col("h_sum") - shares.FULL) < 1).alias("is_100_percent"),
+    t = _shares(_tally(postings, title, country, k))
+    return t.select(
+        F.col("n_jobs").alias("total_jobs"),
+        F.col("n_unique").alias("total_unique_skills"),
+        F.col("total").alias("total_skill_occurrences"),
+        F.col("p_total").alias("total_percentage"),
+        (F.abs(F.col("p_total") - 100.0) < 0.01).alias("is_100_percent"),
     )
 
 

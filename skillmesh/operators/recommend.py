@@ -101,7 +101,3 @@ def title_counts(matched: DataFrame) -> DataFrame:
     """``job_title, count`` of matched postings (A5)."""
     return matched.groupBy("job_title").agg(F.count(F.lit(1)).alias("count"))
 
-
-def as_json_rows(df: DataFrame) -> DataFrame:
-    """One JSON object per row in a ``json`` column; NULL fields are left out."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias("json"))

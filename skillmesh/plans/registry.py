@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillmesh import schemas
+from skillmesh.functions.shares import py_round_hundredths_sql
 from skillmesh.functions.text import VIETNAMESE_LOWER_LETTERS
 from skillmesh.operators import lookups, profile, recommend, reshape, rollups, titles
 from skillmesh.plans import fixtures as fx
@@ -319,6 +320,10 @@ def _matched_profile(title: str, country: str) -> str:
 
 
 def _profile_rows_sql(title: str, country: str, k: int) -> list[tuple[str, str]]:
+    """The profile in DuckDB: doubles, Python-style rounding, and sums as
+    left folds in rank order (``list_reduce``), as the original's loop did."""
+    r2 = py_round_hundredths_sql
+    fold = "coalesce(list_reduce(list(p ORDER BY rank), lambda a, b: a + b, 0.0::DOUBLE), 0.0::DOUBLE)"
     return [
         ("m", _matched_profile(title, country)),
         (
@@ -332,22 +337,33 @@ def _profile_rows_sql(title: str, country: str, k: int) -> list[tuple[str, str]]
             f"SELECT skill, frequency, row_number() OVER (ORDER BY frequency DESC, skill) AS rank "
             f"FROM freq ORDER BY frequency DESC, skill LIMIT {k}",
         ),
-        ("topsh", "SELECT top.*, (frequency * 20000 + total) // (2 * total) AS h FROM top, tot"),
+        (
+            "topp",
+            f"SELECT rank, skill, frequency, "
+            f"CAST({r2('CAST(frequency AS DOUBLE) / CAST(total AS DOUBLE) * 100.0::DOUBLE')} AS DOUBLE) / 100.0::DOUBLE AS p "
+            "FROM top, tot",
+        ),
+        (
+            "agg",
+            f"SELECT {fold} AS top_sum, count(*) AS n_top, coalesce(sum(frequency), 0) AS top_freq FROM topp",
+        ),
         (
             "oth",
-            "SELECT (SELECT count(*) FROM top) + 1 AS rank, 'Other Skills' AS skill, "
-            "total - (SELECT coalesce(sum(frequency), 0) FROM top) AS frequency, "
-            "10000 - (SELECT coalesce(sum(h), 0) FROM topsh) AS h FROM tot",
+            f"SELECT n_top + 1 AS rank, 'Other Skills' AS skill, total - top_freq AS frequency, "
+            f"CAST({r2('100.0::DOUBLE - top_sum')} AS DOUBLE) / 100.0::DOUBLE AS p FROM agg, tot",
         ),
         (
             "kept",
-            "SELECT rank, skill, frequency, h FROM topsh UNION ALL "
-            "SELECT rank, skill, frequency, h FROM oth WHERE frequency > 0 AND h > 0",
+            "SELECT rank, skill, frequency, p FROM topp UNION ALL "
+            "SELECT rank, skill, frequency, p FROM oth WHERE frequency > 0 AND p > 0",
         ),
+        ("ks", f"SELECT {fold} AS p_sum FROM kept"),
+        ("mx", "SELECT rank AS max_rank FROM kept ORDER BY p DESC, rank LIMIT 1"),
         (
             "adj",
-            "SELECT rank, skill, frequency, h + CASE WHEN row_number() OVER (ORDER BY h DESC, rank) = 1 "
-            "THEN 10000 - sum(h) OVER () ELSE 0 END AS h FROM kept",
+            f"SELECT rank, skill, frequency, CASE WHEN rank = max_rank AND p_sum <> 100.0 "
+            f"THEN CAST({r2('p + (100.0::DOUBLE - p_sum)')} AS DOUBLE) / 100.0::DOUBLE ELSE p END AS p "
+            "FROM kept, ks, mx",
         ),
     ]
 
@@ -356,17 +372,18 @@ def _profile_sql() -> str:
     return _with(
         *_profile_rows_sql(PROFILE_TITLE, PROFILE_COUNTRY, PROFILE_LIMIT),
         body="SELECT CAST(rank AS INTEGER) AS rank, skill, CAST(frequency AS BIGINT) AS frequency, "
-        "CAST(h AS DOUBLE) / 100.0::DOUBLE AS percentage FROM adj",
+        "p AS percentage FROM adj",
     )
 
 
 def _profile_summary_sql() -> str:
+    fold = "coalesce(list_reduce(list(p ORDER BY rank), lambda a, b: a + b, 0.0::DOUBLE), 0.0::DOUBLE)"
     return _with(
         *_profile_rows_sql(PROFILE_TITLE, PROFILE_COUNTRY, PROFILE_LIMIT),
-        ("hs", "SELECT CAST(coalesce(sum(h), 0) AS BIGINT) AS h_sum FROM adj"),
+        ("fs", f"SELECT {fold} AS total_percentage FROM adj"),
         body="SELECT (SELECT count(*) FROM m) AS total_jobs, tot.n_skills AS total_unique_skills, "
-        "tot.total AS total_skill_occurrences, CAST(h_sum AS DOUBLE) / 100.0::DOUBLE AS total_percentage, "
-        "abs(h_sum - 10000) < 1 AS is_100_percent FROM tot, hs",
+        "tot.total AS total_skill_occurrences, total_percentage, "
+        "abs(total_percentage - 100.0) < 0.01 AS is_100_percent FROM tot, fs",
     )
 
 
