@@ -56,3 +56,13 @@ def test_nested_json_round_trip(spark):
 def test_json_rows_omit_nulls(spark):
     df = spark.createDataFrame([("a", None)], "skill string, count long")
     assert [r.json for r in files.to_json_lines(df).collect()] == ['{"skill":"a"}']
+
+
+def test_persist_postings_keeps_three_columns(spark, postings):
+    cached = files.persist_postings(postings)
+    try:
+        assert cached.columns == ["job_title", "search_country", "job_skills"]
+        assert cached.count() == postings.count()
+        assert cached.storageLevel.useMemory and cached.storageLevel.useDisk
+    finally:
+        cached.unpersist()
