@@ -58,18 +58,33 @@ def sort_job_list(arr) -> F.Column:
     )
 
 
-def _nested(postings: DataFrame, key: str, list_name: str) -> DataFrame:
+def _nested(postings: DataFrame, key: str, list_name: str, rows_per_key: int = 1) -> DataFrame:
     pairs = postings.groupBy(key, "job_title").agg(F.count(F.lit(1)).alias("count"))
-    return pairs.groupBy(key).agg(
+    group = [key]
+    if rows_per_key > 1:
+        # Spread a key's titles over several rows by a hash of the title
+        # (deterministic, so retried tasks agree); every list stays sorted.
+        pairs = pairs.withColumn("_part", F.pmod(F.xxhash64("job_title"), F.lit(rows_per_key)))
+        group.append("_part")
+    nested = pairs.groupBy(*group).agg(
         sort_job_list(F.collect_list(F.struct("job_title", "count"))).alias(list_name)
     )
+    return nested.select(key, list_name)
 
 
-def build_job_counts_by_country(postings: DataFrame) -> DataFrame:
-    """``search_country, data: array<struct<job_title, count>>``."""
-    return _nested(postings, "search_country", "data")
+def build_job_counts_by_country(postings: DataFrame, rows_per_key: int = 1) -> DataFrame:
+    """``search_country, data: array<struct<job_title, count>>``.
 
+    One row per country by default (the file format the lookups read).  A
+    country's list holds one entry per distinct title; when a country may
+    have too many distinct titles for one row, ``rows_per_key > 1`` splits
+    each country over that many rows.  The lookups merge rows of the same
+    country, so they read either form.
+    """
+    return _nested(postings, "search_country", "data", rows_per_key)
 
-def build_job_counts_by_month(postings: DataFrame) -> DataFrame:
-    """``month_year, jobs: array<struct<job_title, count>>``."""
-    return _nested(postings, "month_year", "jobs")
+
+def build_job_counts_by_month(postings: DataFrame, rows_per_key: int = 1) -> DataFrame:
+    """``month_year, jobs: array<struct<job_title, count>>`` (R5); see R4 for
+    ``rows_per_key``."""
+    return _nested(postings, "month_year", "jobs", rows_per_key)

@@ -97,3 +97,15 @@ def test_skills_by_country_case(summaries):
     a = _all(lookups.skills_by_country(summaries["scc"], "nation_4", 10))
     b = _all(lookups.skills_by_country(summaries["scc"], "NATION_4", 10))
     assert a == b and len(a) == 10
+
+
+def test_split_nested_rows_give_same_lookups(postings, summaries):
+    split = rollups.build_job_counts_by_country(postings, rows_per_key=4)
+    assert split.count() > summaries["jcc"].count()
+    assert _all(lookups.jobs_by_country_page(split, "NATION_6", 5, 2)) == _all(
+        lookups.jobs_by_country_page(summaries["jcc"], "NATION_6", 5, 2)
+    )
+    a = lookups.jobs_by_country(split, "nation_6", 4, 1).collect()[0]
+    b = lookups.jobs_by_country(summaries["jcc"], "nation_6", 4, 1).collect()[0]
+    assert a == b
+    assert _all(lookups.list_countries(split)) == _all(lookups.list_countries(summaries["jcc"]))
