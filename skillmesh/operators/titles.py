@@ -37,6 +37,9 @@ DEFAULT_THRESHOLD = 0.8
 # The probe and keyword tables are broadcast when they have at most this
 # many rows; larger dictionaries are shuffle-joined.
 DICTIONARY_BROADCAST_ROWS = 500_000
+# The title → profession mapping is broadcast back onto the input when it
+# has at most this many distinct titles (about 100 bytes each).
+MAPPING_BROADCAST_ROWS = 2_000_000
 
 
 # --- dictionary -----------------------------------------------------------------
@@ -250,9 +253,18 @@ def normalize_titles(
     language: str = "both",
     threshold: float = DEFAULT_THRESHOLD,
     few_titles: bool = False,
+    broadcast_max_titles: int = MAPPING_BROADCAST_ROWS,
 ) -> DataFrame:
     """Input rows plus ``profession`` (``Unknown`` when nothing matches),
-    ``score`` (capped at 1) and ``matched_keyword`` (N7)."""
+    ``score`` (capped at 1) and ``matched_keyword`` (N7).
+
+    Join back to the input: one small job first estimates the number of
+    distinct titles (``approx_count_distinct`` over the title column only:
+    a columnar scan with per-partition sketches, no shuffle of rows).
+    Within ``broadcast_max_titles`` the title → profession mapping is
+    broadcast, so the input rows are never shuffled; above it both sides
+    are shuffled on the title and AQE splits a skewed title.
+    """
     distinct = titles.select(F.col(title_col).alias("_title")).distinct().withColumn(
         "clean_title", clean_title("_title")
     )
@@ -263,6 +275,11 @@ def normalize_titles(
         F.least(F.coalesce("score", F.lit(0.0)), F.lit(1.0)).alias("score"),
         F.col("keyword").alias("matched_keyword"),
     )
+    if not few_titles:
+        n_titles = titles.select(F.approx_count_distinct(title_col, rsd=0.02)).first()[0]
+        # The estimate's error is about 2 %; keep a margin below the bound.
+        if n_titles * 1.1 <= broadcast_max_titles:
+            mapping = F.broadcast(mapping)
     out = titles.join(mapping, titles[title_col] == mapping["_title"], "left").drop("_title")
     return out.withColumn("profession", F.coalesce("profession", F.lit(UNKNOWN))).withColumn(
         "score", F.coalesce("score", F.lit(0.0))

@@ -14,7 +14,7 @@ registered query and its oracle start from the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skillmesh import schemas
@@ -127,32 +127,23 @@ def part_dictionary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     """A two-language dictionary derived from ``part``: one profession per
     part type; English keywords are the part names of that type, the second
     language's keywords are its brands.  Grows with the ``part`` table."""
-    part = table(spark, sf_dir, "part").select("p_type", "p_name", "p_brand")
-    prof = part.select(F.initcap("p_type").alias("profession")).distinct()
-    prof = prof.withColumn(
-        "prof_pos", F.dense_rank().over(_global_order("profession")) - 1
+    part = table(spark, sf_dir, "part").select(F.initcap("p_type").alias("profession"), "p_name", "p_brand")
+    # Numbering the distinct part types (a handful of rows) in one window.
+    prof = part.select("profession").distinct().withColumn(
+        "prof_pos", (F.dense_rank().over(Window.orderBy("profession")) - 1).cast("int")
     )
 
-    def lang(col: str) -> DataFrame:
-        kws = part.select(F.initcap("p_type").alias("profession"), F.col(col).alias("keyword")).distinct()
-        from pyspark.sql import Window
-
-        w = Window.partitionBy("profession").orderBy("keyword")
+    def language(col: str) -> DataFrame:
+        kws = part.select("profession", F.col(col).alias("keyword")).distinct()
+        by_prof = Window.partitionBy("profession").orderBy("keyword")
         return kws.join(prof, "profession").select(
-            F.col("prof_pos").cast("int"),
-            (F.row_number().over(w) - 1).cast("int").alias("kw_pos"),
+            "prof_pos",
+            (F.row_number().over(by_prof) - 1).cast("int").alias("kw_pos"),
             "profession",
             "keyword",
         )
 
-    return lang("p_name"), lang("p_brand")
-
-
-def _global_order(col: str):
-    from pyspark.sql import Window
-
-    # Over the distinct part types only (a handful of rows).
-    return Window.orderBy(col)
+    return language("p_name"), language("p_brand")
 
 
 PART_DICTIONARY_SQL = {

