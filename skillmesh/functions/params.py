@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-DEFAULT_LOOKUP_LIMIT = 10
+from skillmesh.fixed import DEFAULT_LOOKUP_LIMIT
 
 
 def coerce_limit(limit, default: int = DEFAULT_LOOKUP_LIMIT):

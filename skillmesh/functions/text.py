@@ -10,23 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# ---------------------------------------------------------------------------
-# Fixed values (must stay exactly as written for results to agree)
-# ---------------------------------------------------------------------------
-# Skill strings are split on a comma followed by optional whitespace.
-SKILL_SEPARATOR = r",\s*"
-# Lower-case Vietnamese letters a title keeps when it is cleaned, in this order.
-VIETNAMESE_LOWER_LETTERS = (
-    "àáạảãâầấậẩẫăằắặẳẵèéẹẻẽêềếệểễìíịỉĩòóọỏõôồốộổỗơờớợởỡùúụủũưừứựửữỳýỵỷỹđ"
+from skillmesh.fixed import (  # noqa: E402  (re-exported for callers)
+    BRACKETED,
+    HYPHEN_TAIL,
+    OTHER_SKILLS_LABEL,
+    SKILL_SEPARATOR,
+    VIETNAMESE_LOWER_LETTERS,
+    WHITESPACE_CLASS,
 )
-# Characters Python's ``str.isspace`` treats as whitespace; titles and
-# keywords are stripped and split on these.
-WHITESPACE_CLASS = (
-    r"\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-)
-# Label of the residual row of a skill profile.
-OTHER_SKILLS_LABEL = "Other Skills"
-# ---------------------------------------------------------------------------
 
 _WS = f"[{WHITESPACE_CLASS}]"
 
@@ -119,7 +110,7 @@ def clean_title(c) -> Column:
     lower-case Vietnamese letters and whitespace, strips, lower-cases.
     ``(?d)`` limits ``.`` and ``$`` to ``\\n`` line ends.
     """
-    s = F.regexp_replace(_col(c), r"\([^)]*\)", "")
-    s = F.regexp_replace(s, r"(?d)-.*$", "")
+    s = F.regexp_replace(_col(c), BRACKETED, "")
+    s = F.regexp_replace(s, "(?d)" + HYPHEN_TAIL, "")
     s = F.regexp_replace(s, f"[^a-zA-Z{VIETNAMESE_LOWER_LETTERS}{WHITESPACE_CLASS}]", "")
     return F.lower(strip_ws(s))

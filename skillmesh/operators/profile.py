@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skillmesh.fixed import DEFAULT_PROFILE_LIMIT
 from skillmesh.functions import shares
 from skillmesh.functions.params import strict_int
 from skillmesh.functions.text import OTHER_SKILLS_LABEL, contains_ci, country_contains, split_skills
@@ -160,7 +161,7 @@ def skill_profile(
     postings: DataFrame,
     title: str,
     country: str,
-    limit=15,
+    limit=DEFAULT_PROFILE_LIMIT,
     keywords: DataFrame | None = None,
 ) -> DataFrame:
     """``rank, skill, frequency, percentage`` for the top ``limit`` skills of
@@ -185,7 +186,7 @@ def profile_summary(
     postings: DataFrame,
     title: str,
     country: str,
-    limit=15,
+    limit=DEFAULT_PROFILE_LIMIT,
     keywords: DataFrame | None = None,
 ) -> DataFrame:
     """One row: ``total_jobs, total_unique_skills, total_skill_occurrences,

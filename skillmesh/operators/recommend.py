@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skillmesh.fixed import DEFAULT_RECOMMEND_LIMIT, DEFAULT_TOP_SKILLS
 from skillmesh.functions.text import country_equals, has_all, skills_lower
 
 
@@ -53,7 +54,7 @@ def skill_weight_by_title(matched: DataFrame) -> DataFrame:
     )
 
 
-def top_skills_per_title(weights: DataFrame, top_skills: int = 10) -> DataFrame:
+def top_skills_per_title(weights: DataFrame, top_skills: int = DEFAULT_TOP_SKILLS) -> DataFrame:
     """``job_title, count, rank, skill, weight`` keeping the ``top_skills``
     heaviest non-blank skills of each title (W1, F9, L6); ``count`` is the
     title's posting count (A5)."""
@@ -73,8 +74,8 @@ def recommend_titles(
     postings: DataFrame,
     country: str,
     skills,
-    top_skills: int = 10,
-    limit: int = 20,
+    top_skills: int = DEFAULT_TOP_SKILLS,
+    limit: int = DEFAULT_RECOMMEND_LIMIT,
 ) -> DataFrame:
     """``job_title, skills: array<struct<skill, weight>>, count`` for the
     ``limit`` titles with most postings that list every skill in ``skills``."""

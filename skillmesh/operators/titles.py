@@ -30,10 +30,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillmesh import schemas
+from skillmesh.fixed import (
+    DEFAULT_THRESHOLD,
+    EXACT_MATCH_FACTOR,
+    MAX_IGNORED_KEYWORD_LENGTH,
+    MIN_PARTIAL_TOKEN_LENGTH,
+    MULTI_TOKEN_BONUS,
+    MULTI_TOKEN_BONUS_MIN_MATCHES,
+    PARTIAL_MATCH_SCORE,
+    UNKNOWN_PROFESSION,
+)
 from skillmesh.functions.text import clean_title, strip_ws, ws_tokens
 
-UNKNOWN = "Unknown"
-DEFAULT_THRESHOLD = 0.8
+UNKNOWN = UNKNOWN_PROFESSION
 # The probe and keyword tables are broadcast when they have at most this
 # many rows; larger dictionaries are shuffle-joined.
 DICTIONARY_BROADCAST_ROWS = 500_000
@@ -99,7 +108,7 @@ def prepare_keywords(keywords: DataFrame, language: str = "both") -> DataFrame:
         kw = kw.filter(F.col("language") == "english")
     elif language == "vietnamese":
         kw = kw.filter(F.col("language") == "vietnamese")
-    kw = kw.filter(F.length(strip_ws("keyword")) > 2)
+    kw = kw.filter(F.length(strip_ws("keyword")) > MAX_IGNORED_KEYWORD_LENGTH)
     kw = kw.select(
         (F.col("prof_pos").cast("long") * F.lit(1 << 20) + F.col("kw_pos")).alias("kid"),
         "prof_pos",
@@ -118,7 +127,7 @@ def keyword_probes(prepared: DataFrame) -> DataFrame:
     )
     tok = prepared.select("kid", F.explode(F.array_distinct("KT")).alias("t"))
     equal = tok.select(F.concat(F.lit("w:"), "t").alias("key"), "kid")
-    long_tok = tok.filter(F.length("t") >= 4)
+    long_tok = tok.filter(F.length("t") >= MIN_PARTIAL_TOKEN_LENGTH)
     inside = long_tok.select(F.concat(F.lit("g:"), F.substring("t", 1, 3)).alias("key"), "kid")
     around = long_tok.select(
         F.explode(
@@ -150,18 +159,20 @@ def _title_keys(cleaned: DataFrame) -> DataFrame:
     return cleaned.select("T", "TT", F.explode(F.array_distinct(F.concat(tri, words))).alias("key"))
 
 
-_SCORE = """
+_SCORE = f"""
 CASE
-  WHEN contains(T, K) THEN length(K) / length(T) * 2
-  WHEN size(KT) = 0 OR (size(KT) = 1 AND length(KT[0]) < 4) THEN NULL
-  ELSE (CASE WHEN size(KT) > 1 AND mc >= 2 THEN mc / size(KT) * 1.2D ELSE mc / size(KT) END)
+  WHEN contains(T, K) THEN length(K) / length(T) * {EXACT_MATCH_FACTOR}
+  WHEN size(KT) = 0 OR (size(KT) = 1 AND length(KT[0]) < {MIN_PARTIAL_TOKEN_LENGTH}) THEN NULL
+  ELSE (CASE WHEN size(KT) > 1 AND mc >= {MULTI_TOKEN_BONUS_MIN_MATCHES}
+             THEN mc / size(KT) * {MULTI_TOKEN_BONUS!r}D ELSE mc / size(KT) END)
 END
 """
 
-_MATCH_COUNT = """
+_MATCH_COUNT = f"""
 aggregate(KT, 0D, (acc, t) -> acc + CASE
     WHEN array_contains(TT, t) THEN 1D
-    WHEN length(t) >= 4 AND exists(TT, n -> contains(n, t) OR contains(t, n)) THEN 0.7D
+    WHEN length(t) >= {MIN_PARTIAL_TOKEN_LENGTH} AND exists(TT, n -> contains(n, t) OR contains(t, n))
+         THEN {PARTIAL_MATCH_SCORE!r}D
     ELSE 0D END)
 """
 
@@ -174,7 +185,7 @@ def _dictionary_is_small(prepared: DataFrame) -> bool:
         F.aggregate(
             "KT",
             F.lit(2).cast("long"),
-            lambda acc, t: acc + 2 + F.when(F.length(t) >= 4, F.length(t) * (F.length(t) + 1) / 2).otherwise(0).cast("long"),
+            lambda acc, t: acc + 2 + F.when(F.length(t) >= MIN_PARTIAL_TOKEN_LENGTH, F.length(t) * (F.length(t) + 1) / 2).otherwise(0).cast("long"),
         ).alias("p")
     ).agg(F.count(F.lit(1)), F.coalesce(F.sum("p"), F.lit(0))).first()
     return n_kw <= DICTIONARY_BROADCAST_ROWS and n_probes <= DICTIONARY_BROADCAST_ROWS

@@ -15,7 +15,20 @@ from pyspark.sql import functions as F
 
 from skillmesh import schemas
 from skillmesh.functions.shares import py_round_hundredths_sql
-from skillmesh.functions.text import VIETNAMESE_LOWER_LETTERS
+from skillmesh.fixed import (
+    BRACKETED,
+    DEFAULT_THRESHOLD,
+    EXACT_MATCH_FACTOR,
+    HYPHEN_TAIL,
+    MAX_IGNORED_KEYWORD_LENGTH,
+    MIN_PARTIAL_TOKEN_LENGTH,
+    MULTI_TOKEN_BONUS,
+    MULTI_TOKEN_BONUS_MIN_MATCHES,
+    OTHER_SKILLS_LABEL,
+    PARTIAL_MATCH_SCORE,
+    UNKNOWN_PROFESSION,
+    VIETNAMESE_LOWER_LETTERS,
+)
 from skillmesh.operators import lookups, profile, recommend, reshape, rollups, titles
 from skillmesh.plans import fixtures as fx
 from skillmesh.session import scratch_path
@@ -349,7 +362,7 @@ def _profile_rows_sql(title: str, country: str, k: int) -> list[tuple[str, str]]
         ),
         (
             "oth",
-            f"SELECT n_top + 1 AS rank, 'Other Skills' AS skill, total - top_freq AS frequency, "
+            f"SELECT n_top + 1 AS rank, {_lit(OTHER_SKILLS_LABEL)} AS skill, total - top_freq AS frequency, "
             f"CAST({r2('100.0::DOUBLE - top_sum')} AS DOUBLE) / 100.0::DOUBLE AS p FROM agg, tot",
         ),
         (
@@ -441,8 +454,8 @@ def _strip(expr: str) -> str:
 
 
 def _clean_sql(expr: str) -> str:
-    s = rf"regexp_replace({expr}, '\([^)]*\)', '', 'g')"
-    s = f"regexp_replace({s}, '-.*$', '')"
+    s = f"regexp_replace({expr}, '{BRACKETED}', '', 'g')"
+    s = f"regexp_replace({s}, '{HYPHEN_TAIL}', '')"
     s = f"regexp_replace({s}, '[^a-zA-Z{VIETNAMESE_LOWER_LETTERS}{_WS[1:-1]}]', '', 'g')"
     return f"lower({_strip(s)})"
 
@@ -451,23 +464,24 @@ def _tokens_sql(expr: str) -> str:
     return f"list_filter(regexp_split_to_array({expr}, '{_WS}+'), lambda x: x <> '')"
 
 
-def _normalize_sql(language: str = "both", threshold: float = 0.8) -> str:
+def _normalize_sql(language: str = "both", threshold: float = DEFAULT_THRESHOLD) -> str:
     lang = {"english": "AND language = 'english'", "vietnamese": "AND language = 'vietnamese'"}.get(language, "")
     mc = (
         "list_reduce(KT, lambda acc, x: acc + CASE WHEN list_contains(TT, x) THEN 1.0::DOUBLE "
-        "WHEN length(x) >= 4 AND len(list_filter(TT, lambda n: contains(n, x) OR contains(x, n))) > 0 "
-        "THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END, 0.0::DOUBLE)"
+        f"WHEN length(x) >= {MIN_PARTIAL_TOKEN_LENGTH} AND len(list_filter(TT, lambda n: contains(n, x) OR contains(x, n))) > 0 "
+        f"THEN {PARTIAL_MATCH_SCORE!r}::DOUBLE ELSE 0.0::DOUBLE END, 0.0::DOUBLE)"
     )
     score = (
-        "CASE WHEN contains(T, K) THEN length(K) / length(T) * 2 "
-        "WHEN len(KT) = 0 OR (len(KT) = 1 AND length(KT[1]) < 4) THEN NULL "
-        "WHEN len(KT) > 1 AND mc >= 2 THEN mc / len(KT) * 1.2::DOUBLE ELSE mc / len(KT) END"
+        f"CASE WHEN contains(T, K) THEN length(K) / length(T) * {EXACT_MATCH_FACTOR} "
+        f"WHEN len(KT) = 0 OR (len(KT) = 1 AND length(KT[1]) < {MIN_PARTIAL_TOKEN_LENGTH}) THEN NULL "
+        f"WHEN len(KT) > 1 AND mc >= {MULTI_TOKEN_BONUS_MIN_MATCHES} THEN mc / len(KT) * {MULTI_TOKEN_BONUS!r}::DOUBLE "
+        "ELSE mc / len(KT) END"
     )
     return (
         "WITH titles AS (" + fx.RAW_TITLES_SQL + "),\n"
         "taxonomy AS (" + fx.taxonomy_sql() + "),\n"
         f"kw AS (SELECT prof_pos, kw_pos, profession, keyword, {_strip('lower(keyword)')} AS K FROM taxonomy "
-        f"WHERE length({_strip('keyword')}) > 2 {lang}),\n"
+        f"WHERE length({_strip('keyword')}) > {MAX_IGNORED_KEYWORD_LENGTH} {lang}),\n"
         f"kw2 AS (SELECT *, {_tokens_sql('K')} AS KT FROM kw),\n"
         f"t AS (SELECT title_id, title, {_clean_sql('title')} AS T FROM titles),\n"
         f"t2 AS (SELECT *, {_tokens_sql('T')} AS TT FROM t),\n"
@@ -475,7 +489,7 @@ def _normalize_sql(language: str = "both", threshold: float = 0.8) -> str:
         f"scored AS (SELECT *, {score} AS score FROM pairs),\n"
         f"ok AS (SELECT * FROM scored WHERE score > 0 AND (contains(T, K) OR score >= {float(threshold)!r}::DOUBLE)),\n"
         "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title_id ORDER BY score DESC, prof_pos, kw_pos) AS o FROM ok) WHERE o = 1)\n"
-        "SELECT t.title_id, t.title, coalesce(b.profession, 'Unknown') AS profession, "
+        f"SELECT t.title_id, t.title, coalesce(b.profession, {_lit(UNKNOWN_PROFESSION)}) AS profession, "
         "least(coalesce(b.score, 0.0::DOUBLE), 1.0::DOUBLE) AS score, b.keyword AS matched_keyword "
         "FROM t LEFT JOIN best b ON t.title_id = b.title_id"
     )
