@@ -15,12 +15,21 @@ from pyspark.sql import SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder.
+
+    Uses the folder already set on the context or named by
+    ``spark.checkpoint.dir``.  Only a local-mode session without either
+    gets a fresh ``/tmp`` folder; on a cluster that would be a
+    machine-local path, so it is an error instead.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder (HDFS, object store) for intermediate files")
         conf = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
