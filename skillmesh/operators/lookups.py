@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skillmesh.fixed import DEFAULT_LOOKUP_LIMIT
 from skillmesh.functions.params import coerce_limit, slice_sorted
 from skillmesh.functions.text import contains_ci, country_equals, not_blank, year_of
 from skillmesh.operators.reshape import unnest_job_counts
@@ -46,20 +47,23 @@ def _country_titles(job_counts_by_country: DataFrame, country: str) -> DataFrame
 
 def jobs_by_country_page(job_counts_by_country: DataFrame, country: str, limit=None, page=1) -> DataFrame:
     """Flat page of a country's titles: ``search_country, job_title, count``
-    sorted by count desc, title; rows ``(page-1)*limit .. +limit`` (L4)."""
-    if not country:
-        raise ValueError("country is required")
-    titles = _country_titles(job_counts_by_country, country)
+    sorted by count desc, title; rows ``(page-1)*limit .. +limit`` (L4).
+
+    ``limit`` false → every title; ``limit`` or ``page`` not a number → the
+    first 10 titles; an empty country → no rows.
+    """
+    titles = _country_titles(job_counts_by_country, country or "")
     ordered = titles.select("search_country", "job_title", "count").orderBy(
         F.desc("count"), F.asc("job_title")
     )
-    limit = coerce_limit(limit)
-    if limit is None:
+    if not country:
+        return ordered.limit(0)
+    if not limit:
         return ordered
     try:
-        page = int(page)
+        limit, page = int(limit), int(page)
     except (TypeError, ValueError):
-        return slice_sorted(ordered, 0, 10)
+        return slice_sorted(ordered, 0, DEFAULT_LOOKUP_LIMIT)
     start = (page - 1) * limit
     return slice_sorted(ordered, start, start + limit)
 

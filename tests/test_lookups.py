@@ -109,3 +109,15 @@ def test_split_nested_rows_give_same_lookups(postings, summaries):
     b = lookups.jobs_by_country(summaries["jcc"], "nation_6", 4, 1).collect()[0]
     assert a == b
     assert _all(lookups.list_countries(split)) == _all(lookups.list_countries(summaries["jcc"]))
+
+
+def test_page_argument_fallbacks(summaries):
+    full = _all(lookups.jobs_by_country_page(summaries["jcc"], "NATION_6"))
+    assert _all(lookups.jobs_by_country_page(summaries["jcc"], "NATION_6", "abc", 3)) == full[:10]
+    assert _all(lookups.jobs_by_country_page(summaries["jcc"], "NATION_6", 3, "x")) == full[:10]
+    assert _all(lookups.jobs_by_country_page(summaries["jcc"], "NATION_6", "4", "2")) == full[4:8]
+    assert _all(lookups.jobs_by_country_page(summaries["jcc"], "", 5)) == []
+    assert lookups.jobs_by_country(summaries["jcc"], "", 5).count() == 0
+    # negative page counts from the end, as Python slicing does
+    assert _all(lookups.jobs_by_country_page(summaries["jcc"], "NATION_6", 3, 0)) == full[-3:0]
+    assert _all(lookups.jobs_by_country_page(summaries["jcc"], "NATION_6", 3, -1)) == full[-6:-3]
