@@ -165,3 +165,12 @@ def test_random_profiles_match_rule(spark):
         expect, (jobs, uniq, total, pct) = rule_profile(rows_all, title, "c", k)
         assert rows(skill_profile(df, title, "c", k)) == expect, (title, k)
         assert rows(profile_summary(df, title, "c", k))[0] == (jobs, uniq, total, pct, abs(pct - 100) < 0.01)
+
+
+def test_large_k_path_without_broadcast(spark, postings, monkeypatch):
+    from skillmesh.operators import profile as prof
+
+    expect = rows(skill_profile(postings, "household", "NATION_1", 15))
+    monkeypatch.setattr(prof, "TOPK_BROADCAST_ROWS", 1)
+    q = skill_profile(postings, "household", "NATION_1", 15)
+    assert rows(q) == expect
