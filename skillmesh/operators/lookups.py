@@ -39,9 +39,11 @@ def _country_titles(job_counts_by_country: DataFrame, country: str) -> DataFrame
     """Merged title counts of every row whose country equals ``country``."""
     rows = job_counts_by_country.filter(country_equals(job_counts_by_country, country))
     flat = unnest_job_counts(rows)
+    # array_min(collect_set(..)) instead of min(..): a string min would force
+    # a sort-based aggregate; the set holds only spellings of one country.
     return flat.groupBy("job_title").agg(
         F.sum("count").cast("long").alias("count"),
-        F.min("search_country").alias("search_country"),
+        F.array_min(F.collect_set("search_country")).alias("search_country"),
     )
 
 
@@ -81,7 +83,7 @@ def jobs_by_country(job_counts_by_country: DataFrame, country: str, limit=None,
         page_rows.select(*cols, F.lit(True).alias("on_page"))
     )
     agg = both.agg(
-        F.min(F.when(~F.col("on_page"), F.col("search_country"))).alias("search_country"),
+        F.array_min(F.collect_set(F.when(~F.col("on_page"), F.col("search_country")))).alias("search_country"),
         F.count(F.when(~F.col("on_page"), 1)).alias("total_jobs"),
         sort_job_list(
             F.collect_list(F.when(F.col("on_page"), F.struct("job_title", "count")))
