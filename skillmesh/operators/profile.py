@@ -64,11 +64,14 @@ def _tally(postings: DataFrame, title: str, country: str, k: int) -> DataFrame:
     """One row: ``total, n_jobs, n_unique, other_freq`` and ``tops`` (the top
     k skills as ``array<struct<rank, skill, frequency>>``, rank order)."""
     freq = _frequency(matched_postings(postings, title, country))
-    order = [F.desc("frequency"), F.asc("skill")]
+    # ``n_posts`` closes the order although ``skill`` is already unique: it
+    # keeps that column alive in this branch, so both branches read the same
+    # aggregate and Spark computes it once (ReusedExchange).
+    order = [F.desc("frequency"), F.asc("skill"), F.asc("n_posts")]
     # The blank group has frequency 0 and sorts after every real skill, so
     # the first k + 1 rows hold the top k skills.  Filtering after the
     # limit (not before it) keeps this branch's aggregate identical to the
-    # other branch's, so Spark computes it once and reuses the exchange.
+    # other branch's, for the same reason.
     top = (
         freq.orderBy(*order)
         .limit(k + 1)
@@ -176,8 +179,11 @@ def skill_profile(
     # ``size(rows) > 0`` filter and pushes it below the projections that
     # build ``rows``, copying that whole expression at every step.  The one
     # all-NULL row inline_outer emits for an empty list is dropped here.
-    rows = _shares(_tally(postings, title, country, k)).select(F.inline_outer("rows"))
-    return rows.filter(F.col("rank").isNotNull()).select(
+    rows = _shares(_tally(postings, title, country, k)).select("n_jobs", F.inline_outer("rows"))
+    # ``n_jobs > 0`` holds whenever a row exists; testing it keeps the
+    # posting counts in the plan so this query shares its skill aggregate
+    # between the top-k and tagging branches (see ``_tally``).
+    return rows.filter(F.col("rank").isNotNull() & (F.col("n_jobs") > 0)).select(
         "rank", "skill", "frequency", F.col("p").alias("percentage")
     ).orderBy("rank")
 

@@ -80,3 +80,15 @@ def test_title_join_back_does_not_shuffle_input(spark):
     # above the bound the join-back is a shuffle join
     lines, i = first_join(normalize_titles(titles, fixtures.test_taxonomy(spark), broadcast_max_titles=10))
     assert "SortMergeJoin" in lines[i] or "ShuffledHashJoin" in lines[i]
+
+
+@pytest.mark.parametrize("which", ["rows", "summary"])
+def test_profile_computes_skill_aggregate_once(spark, postings, which):
+    from skillmesh.operators.profile import profile_summary
+
+    fn = skill_profile if which == "rows" else profile_summary
+    df = fn(postings, "household", "nation_1", 5)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final
+    assert final.count("posexplode") == 1
