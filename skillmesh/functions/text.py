@@ -52,14 +52,18 @@ def ws_tokens(c) -> Column:
 # --- predicates ---------------------------------------------------------------
 
 
+# Request values (needles) are lower-cased in Python, columns in Spark, as
+# the original service did.
+
+
 def contains_ci(c, needle: str) -> Column:
     """Case-insensitive substring test (F1/F2)."""
-    return F.lower(_col(c)).contains(F.lower(F.lit(needle)))
+    return F.lower(_col(c)).contains(F.lit(needle.lower()))
 
 
 def equals_ci(c, value: str) -> Column:
     """Case-insensitive equality."""
-    return F.lower(_col(c)) == F.lower(F.lit(value))
+    return F.lower(_col(c)) == F.lit(value.lower())
 
 
 # Partition column of country-keyed tables: the lower-cased country.
@@ -70,7 +74,7 @@ def country_equals(df, country: str) -> Column:
     """Case-insensitive country equality; on country-keyed tables the test
     is on the partition column, so Spark prunes partitions."""
     if COUNTRY_KEY in df.columns:
-        return F.col(COUNTRY_KEY) == F.lower(F.lit(country))
+        return F.col(COUNTRY_KEY) == F.lit(country.lower())
     return equals_ci("search_country", country)
 
 
@@ -78,7 +82,7 @@ def country_contains(df, needle: str) -> Column:
     """Case-insensitive country substring test, pruning partitions when the
     table is country-keyed."""
     if COUNTRY_KEY in df.columns:
-        return F.col(COUNTRY_KEY).contains(F.lower(F.lit(needle)))
+        return F.col(COUNTRY_KEY).contains(F.lit(needle.lower()))
     return contains_ci("search_country", needle)
 
 
