@@ -1,5 +1,6 @@
 """Skill profile (Q1) and summary (Q1b): decisions D1, D3-D5, D6, D8, D10, D17."""
 
+import itertools
 from collections import Counter
 
 import pytest
@@ -31,33 +32,23 @@ def rule_profile(postings_rows, title, country, k):
                 tokens.append(x)
     freq = Counter(tokens)
     total = sum(freq.values())
-    ordered = sorted(freq.items(), key=lambda kv: (-kv[1], kv[0].encode()))
-    top = ordered[:k]
-    out = []
-    top_pct = 0
-    for i, (s, f) in enumerate(top, 1):
-        p = round(f / total * 100, 2)
-        top_pct += p
-        out.append([i, s, f, p])
-    other = total - sum(f for _, f in top)
-    if other > 0:
-        op = round(100 - top_pct, 2)
-        if op > 0:
-            out.append([len(out) + 1, "Other Skills", other, op])
-    tot = seq_sum(r[3] for r in out)
-    if tot != 100 and out:
-        big = max(out, key=lambda r: r[3])
-        big[3] = round(big[3] + (100 - tot), 2)
-    final = seq_sum(r[3] for r in out)
-    return [tuple(r) for r in out], (jobs, len(freq), total, final)
+    ranked = sorted(freq.items(), key=lambda kv: (-kv[1], kv[0].encode()))[:k]
+    shares = [round(f / total * 100, 2) for _, f in ranked]
+    listed = [[i + 1, s, f, p] for i, ((s, f), p) in enumerate(zip(ranked, shares))]
+    rest = total - sum(f for _, f in ranked)
+    other_share = round(100 - seq_sum(shares), 2)
+    if rest > 0 and other_share > 0:
+        listed.append([len(listed) + 1, "Other Skills", rest, other_share])
+    listed_sum = seq_sum(r[3] for r in listed)
+    if listed and listed_sum != 100:
+        top = max(range(len(listed)), key=lambda i: (listed[i][3], -i))
+        listed[top][3] = round(listed[top][3] + (100 - listed_sum), 2)
+    return [tuple(r) for r in listed], (jobs, len(freq), total, seq_sum(r[3] for r in listed))
 
 
 def seq_sum(values):
     """Left-to-right float sum (``sum()`` before Python 3.12; 3.12+ compensates)."""
-    acc = 0
-    for v in values:
-        acc += v
-    return acc
+    return list(itertools.accumulate(values, initial=0))[-1]
 
 
 EDGE = [
