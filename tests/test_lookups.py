@@ -121,3 +121,19 @@ def test_page_argument_fallbacks(summaries):
     # negative page counts from the end, as Python slicing does
     assert _all(lookups.jobs_by_country_page(summaries["jcc"], "NATION_6", 3, 0)) == full[-3:0]
     assert _all(lookups.jobs_by_country_page(summaries["jcc"], "NATION_6", 3, -1)) == full[-6:-3]
+
+
+def test_country_keyed_summaries_prune_and_agree(spark, summaries):
+    from skillmesh.session import scratch_path
+    from skillmesh.sources import files
+
+    p1, p2 = scratch_path(spark, "t-scc"), scratch_path(spark, "t-jcc")
+    files.write_country_keyed(summaries["scc"], p1)
+    files.write_country_keyed(summaries["jcc"], p2)
+    scc, jcc = files.read_country_keyed(spark, p1), files.read_country_keyed(spark, p2)
+    q = lookups.skills_by_country(scc, "Nation_4", 10)
+    assert "PartitionFilters: [isnotnull(country_key" in q._jdf.queryExecution().sparkPlan().toString()
+    assert _all(q) == _all(lookups.skills_by_country(summaries["scc"], "nation_4", 10))
+    assert _all(lookups.jobs_by_country_page(jcc, "NATION_6", 5, 2)) == _all(
+        lookups.jobs_by_country_page(summaries["jcc"], "NATION_6", 5, 2)
+    )
