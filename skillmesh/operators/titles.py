@@ -212,11 +212,16 @@ def best_matches(
     titles = cleaned_titles.select(F.col("clean_title").alias("T")).distinct().withColumn("TT", ws_tokens("T"))
     keys = _title_keys(titles)
     if few_titles:
-        pairs = probes.join(F.broadcast(keys), "key").join(info, "kid")
+        pairs = probes.join(info, "kid").join(F.broadcast(keys), "key")
+    elif _dictionary_is_small(prepared):
+        # Probes stay slim (key, kid) for the broadcast; keyword details
+        # follow in a second broadcast join.
+        pairs = keys.join(F.broadcast(probes), "key").join(F.broadcast(info), "kid")
     else:
-        if _dictionary_is_small(prepared):
-            probes, info = F.broadcast(probes), F.broadcast(info)
-        pairs = keys.join(probes, "key").join(info, "kid")
+        # Keyword details are attached on the dictionary side first, so the
+        # candidate pairs come out of one shuffle join on the probe key
+        # (AQE splits a hot key) instead of a second join on the keyword.
+        pairs = keys.join(probes.join(info, "kid"), "key")
     best = _passing(pairs, threshold).groupBy("T").agg(_best().alias("b"))
     return best.select("T", "b.score", "b.profession", "b.keyword")
 
