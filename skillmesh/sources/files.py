@@ -57,13 +57,13 @@ def load_or_empty(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
 
 
 def persist_postings(postings: DataFrame) -> DataFrame:
-    """Keep the three posting columns in memory (spilling to disk) for
+    """Keep the posting columns the queries use (and ``month_year`` when
+    present, for the monthly summary) in memory, spilling to disk, for
     repeated queries (S5).  Call ``unpersist()`` when done."""
     from pyspark import StorageLevel
 
-    return postings.select(*[c for c in POSTING_COLUMNS if c in postings.columns]).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
+    keep = [c for c in (*POSTING_COLUMNS, "month_year") if c in postings.columns]
+    return postings.select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def with_country_key(df: DataFrame) -> DataFrame:

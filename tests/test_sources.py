@@ -61,7 +61,7 @@ def test_json_rows_omit_nulls(spark):
 def test_persist_postings_keeps_three_columns(spark, postings):
     cached = files.persist_postings(postings)
     try:
-        assert cached.columns == ["job_title", "search_country", "job_skills"]
+        assert cached.columns == ["job_title", "search_country", "job_skills", "month_year"]
         assert cached.count() == postings.count()
         assert cached.storageLevel.useMemory and cached.storageLevel.useDisk
     finally:
