@@ -23,9 +23,10 @@ def _registered():
 
 
 @pytest.mark.parametrize("key,fn", _registered())
-def test_no_python_in_registered_plans(spark, key, fn):
+def test_no_python_or_cross_join_in_registered_plans(spark, key, fn):
     p = plan(fn(spark, SF_SMALL))
     assert not any(n in p for n in PYTHON_NODES), key
+    assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p, key
 
 
 def test_profile_uses_distributed_top_k(spark, postings):
