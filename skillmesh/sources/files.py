@@ -34,7 +34,12 @@ def read_postings(spark: SparkSession, path, fmt: str = "csv", columns=POSTING_C
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"postings at {path} lack columns {missing}")
-    return df.select(*[F.col(c).cast("string").alias(c) for c in columns])
+    cols = [F.col(c).cast("string").alias(c) for c in columns]
+    if COUNTRY_KEY in df.columns and COUNTRY_KEY not in columns:
+        # partition column of a country-keyed table: keep it so country
+        # filters prune directories
+        cols.append(F.col(COUNTRY_KEY))
+    return df.select(*cols)
 
 
 def read_counts(spark: SparkSession, path, schema: T.StructType) -> DataFrame:

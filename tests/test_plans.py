@@ -94,3 +94,12 @@ def test_profile_computes_skill_aggregate_once(spark, postings, which):
     # the token explosion (and the aggregate above it) appears once: both
     # branches read one shuffle stage
     assert final.count("posexplode") == 1
+
+
+def test_read_postings_keeps_partition_key(spark, postings):
+    path = scratch_path(spark, "t-keyed-read")
+    files.write_country_keyed(postings, path)
+    df = files.read_postings(spark, path, fmt="parquet")
+    assert "country_key" in df.columns
+    rec = recommend_titles(df, "nation_3", ["blue bolt"])
+    assert "PartitionFilters: [isnotnull(country_key" in rec._jdf.queryExecution().sparkPlan().toString()
