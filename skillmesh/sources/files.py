@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skillmesh import schemas
 from skillmesh.functions.text import COUNTRY_KEY
 
 POSTING_COLUMNS = ("job_title", "search_country", "job_skills")
