@@ -10,12 +10,12 @@ leftmost on ties) is its anchor, which equal windows share at the same
 offset.  Anchors whose sequence occurs once in the corpus are dropped: their
 windows are unique.  The windows of the others, suffixes cut at ``WINDOW``
 words, are dealt by the anchor's sequence, so that a task gets whole groups of
-bounded size; a task sorts its suffixes, the longest common prefixes of
-neighbours give the internal nodes of the suffix tree, and the leaves below
-nodes of depth ``WINDOW`` are repeats (neighbouring ones form the maximal
-repeats).  Groups of more than ``GROUP`` anchors get a longer prefix: their
-suffixes are dealt by all their words, where a subtree is a single node and
-counting its leaves, with partial aggregation, decides.
+bounded size; a task sorts its suffixes by their path from the root, which
+brings the leaves below each internal node of depth ``WINDOW`` together; nodes
+with several leaves are repeats (neighbouring ones form the maximal repeats).
+Groups of more than ``GROUP`` anchors get a longer prefix: their suffixes are
+dealt by all their words, where a subtree is a single node and counting its
+leaves, with partial aggregation, decides.
 
 Words stand as 64-bit hashes for the anchors and as 40 bits of them inside a
 group: two windows count as equal if all their words have the same 40 bits,
@@ -42,11 +42,21 @@ from .common import WordHashes, documents, mix64, slots, split_words
 
 WINDOW, GRAM = 35, 8
 #: Anchors of one sequence up to which their suffixes go to one task.
-GROUP = 512
+GROUP = 2048
 #: Bytes of a word's hash in a suffix.
 WORD_BYTES = 5
 #: Suffixes sorted at once, at least (a group is never divided).
-AT_ONCE = 100_000
+AT_ONCE = 200_000
+
+
+def rolled(values: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit polynomial hash of the ``width`` values from each position on."""
+    n = max(len(values) - width + 1, 0)
+    out = values[:n].copy()
+    for k in range(1, width):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += values[k : k + n]
+    return out
 
 
 def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,9 +65,7 @@ def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(hashes) < WINDOW:
         return none.astype(np.uint64), none, none
     n = len(hashes) - GRAM + 1
-    gram = np.full(n, GRAM, np.uint64)
-    for k in range(GRAM):
-        gram = mix64(gram * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n])
+    gram = mix64(rolled(hashes, GRAM))
     span = WINDOW - GRAM + 1
     least = np.lib.stride_tricks.sliding_window_view(gram, span)
     at = np.concatenate([least[k : k + 65536].argmin(axis=1) for k in range(0, len(least), 65536)]) + np.arange(len(least))
@@ -70,27 +78,25 @@ def suffix_rows(hashes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES])
 
 
-def repeated_suffixes(suffixes: np.ndarray) -> np.ndarray:
-    """Which of the suffixes (a row of bytes each) hang below an internal node of their full depth."""
-    whole = np.ascontiguousarray(suffixes).view(f"V{suffixes.shape[1]}").ravel()
-    order = np.argsort(whole, kind="stable")
-    ordered = suffixes[order]
-    # Longest common prefix of neighbours, in bytes.
-    differ = ordered[1:] != ordered[:-1]
-    common = np.where(differ.any(axis=1), differ.argmax(axis=1), suffixes.shape[1])
-    deep = common == suffixes.shape[1]
-    out = np.zeros(len(suffixes), bool)
-    out[order[1:]] |= deep
-    out[order[:-1]] |= deep
+def repeated_suffixes(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the suffixes (``WINDOW`` words from each position of ``at`` on) end below an internal node of that depth.
+
+    The suffixes are sorted by the hash of their path from the root to that
+    depth, so that the leaves of one node are neighbours; neighbours with one
+    hash are compared word by word.
+    """
+    path = rolled(words, WINDOW)[at]
+    order = np.argsort(path, kind="stable")
+    near = np.flatnonzero(path[order[1:]] == path[order[:-1]])
+    left, right = order[near], order[near + 1]
+    same = np.ones(len(near), bool)
+    for k in range(WINDOW):
+        same &= words[at[left] + k] == words[at[right] + k]
+    out = np.zeros(len(at), bool)
+    out[left[same]] = out[right[same]] = True
     return out
 
 
-def runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    """First and last index of each run of true flags."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
-    return [(int(a), int(b) - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``key`` (tells texts of one id apart) and ``text``; a null id is a value of its own."""
     typed = documents(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
@@ -144,79 +150,125 @@ def _suffix_rows(marked: DataFrame) -> DataFrame:
     return marked.select("doc_id", "key", "text", "listed").mapInArrow(run, "doc_id bigint, key bigint, gram bigint, lo int, words binary")
 
 
-_RANGES = "doc_id bigint, key bigint, first int, last int"
-
-
-def _windows(words: bytes) -> np.ndarray:
-    """The windows in the words of an anchor, a row of bytes each."""
-    own = np.frombuffer(words, np.uint8)
-    return np.lib.stride_tricks.sliding_window_view(own, WINDOW * WORD_BYTES)[::WORD_BYTES]
+_RANGE = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+_RANGES = "doc_id bigint, key bigint, ranges array<struct<first: int, last: int>>"
+
+
+def _windows(words: bytes) -> list[bytes]:
+    """The windows in the words of an anchor."""
+    width = WINDOW * WORD_BYTES
+    return [words[k : k + width] for k in range(0, len(words) - width + 1, WORD_BYTES)]
+
+
+def _solved(rows: list[tuple]) -> pa.RecordBatch:
+    """Ranges of repeated window starts of rows of ``_suffix_rows``, whole groups."""
+    number: dict[bytes, int] = {}
+    which = np.array([number.setdefault(r[4], len(number)) for r in rows])
+    times = np.bincount(which)
+    size = np.fromiter(map(len, number), np.int64, len(number)) // WORD_BYTES
+    raw = np.zeros((int(size.sum()), 8), np.uint8)
+    raw[:, :WORD_BYTES] = np.frombuffer(b"".join(number), np.uint8).reshape(-1, WORD_BYTES)
+    words = raw.view("<u8").ravel()
+    n = size - WINDOW + 1
+    ends = np.cumsum(n)
+    owner = np.repeat(np.arange(len(n)), n)
+    offset = np.arange(ends[-1]) - np.repeat(ends - n, n)
+    # Equal word lists in several places repeat in whole.
+    flags = repeated_suffixes(words, (np.cumsum(size) - size)[owner] + offset) | (times[owner] > 1)
+    begins = np.flatnonzero(flags & (np.concatenate([[True], ~flags[:-1]]) | (offset == 0)))
+    stops = np.flatnonzero(flags & (np.concatenate([~flags[1:], [True]]) | (offset == n[owner] - 1)))
+    found: dict[int, list[tuple[int, int]]] = {}
+    for o, a, b in zip(owner[begins].tolist(), offset[begins].tolist(), offset[stops].tolist(), strict=True):
+        found.setdefault(o, []).append((a, b))
+    ids, keys, ranges = [], [], []
+    for r, w in zip(rows, which.tolist(), strict=True):
+        if w in found:
+            ids.append(r[0])
+            keys.append(r[1])
+            ranges.append([{"first": r[3] + a, "last": r[3] + b} for a, b in found[w]])
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(ranges, _RANGE)], ["doc_id", "key", "ranges"])
 
 
 def _repeats(suffixes: DataFrame) -> DataFrame:
     """Ranges of window starts that repeat inside the groups of one sequence; whole groups are in one partition, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solved(rows: list[tuple]) -> pa.RecordBatch:
-            windows = [_windows(r[4]) for r in rows]
-            flags = repeated_suffixes(np.concatenate(windows))
-            ends = np.cumsum([len(w) for w in windows])
-            out = [
-                (r[0], r[1], r[3] + a, r[3] + b)
-                for r, w, e in zip(rows, windows, ends, strict=True)
-                for a, b in runs(flags[e - len(w) : e])
-            ]
-            columns = [pa.array([r[c] for r in out], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "first", "last"])
-
         rows, size, last = [], 0, None
         for batch in batches:
             for r in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
                 if size >= AT_ONCE and r[2] != last:
-                    yield solved(rows)
+                    yield _solved(rows)
                     rows, size = [], 0
                 rows.append(r)
                 size += len(r[4]) // WORD_BYTES - WINDOW + 1
                 last = r[2]
         if rows:
-            yield solved(rows)
+            yield _solved(rows)
 
     dealt = suffixes.repartition(slots(suffixes.sparkSession), "gram").sortWithinPartitions("gram")
     return dealt.mapInArrow(run, _RANGES)
 
 
-def _whole_prefixes(suffixes: DataFrame) -> DataFrame:
-    """A row for each window: its start and the 128-bit digest of all its words."""
+def _longer_prefixes(suffixes: DataFrame) -> DataFrame:
+    """As ``_repeats`` for groups of any size: suffixes meet by all their words, nothing is gathered by group.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Places with one word list are counted first; the windows of the differing
+    lists, with those counts, are then counted by the digest of their words.
+    """
+    spark = suffixes.sparkSession
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            if len(batch):
+                digests = b"".join(map(xxhash.xxh3_128_digest, batch.column(4).to_pylist()))
+                d = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                columns = [*(batch.column(c) for c in (0, 1, 3, 4)), *(pa.array(np.ascontiguousarray(d[:, c])) for c in (0, 1))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "lo", "words", "d1", "d2"])
+
+    path = scratch_path(spark, "lists")
+    suffixes.mapInArrow(told, "doc_id bigint, key bigint, lo int, words binary, d1 bigint, d2 bigint").write.parquet(path)
+    places = spark.read.parquet(path)
+    lists = places.groupBy("d1", "d2").agg(F.first("words").alias("words"), F.count("*").alias("n"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             for k in range(0, len(batch), 4096):
                 some = batch.slice(k, 4096)
-                own = [[xxhash.xxh3_128_digest(w) for w in _windows(x)] for x in some.column(4).to_pylist()]
-                row = np.repeat(np.arange(len(own)), [len(x) for x in own])
-                start = np.concatenate([lo + np.arange(len(x)) for lo, x in zip(some.column(3).to_pylist(), own, strict=True)])
+                own = [[xxhash.xxh3_128_digest(w) for w in _windows(x)] for x in some.column(2).to_pylist()]
+                size = np.array([len(x) for x in own])
+                row = pa.array(np.repeat(np.arange(len(own)), size))
+                at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 both = np.frombuffer(b"".join(d for x in own for d in x), np.int64).reshape(-1, 2)
-                at = pa.array(row)
-                columns = [some.column(0).take(at), some.column(1).take(at), pa.array(start.astype(np.int32))]
+                columns = [*(some.column(c).take(row) for c in (0, 1, 3)), pa.array(at.astype(np.int32))]
                 columns += [pa.array(np.ascontiguousarray(both[:, c])) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "start", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays(columns, ["d1", "d2", "n", "at", "w1", "w2"])
 
-    return suffixes.mapInArrow(run, "doc_id bigint, key bigint, start int, d1 bigint, d2 bigint")
+    path = scratch_path(spark, "windows")
+    lists.select("d1", "d2", "words", "n").mapInArrow(cut, "d1 bigint, d2 bigint, n bigint, at int, w1 bigint, w2 bigint").write.parquet(path)
+    windows = spark.read.parquet(path)
+    several = windows.groupBy("w1", "w2").agg(F.sum("n").alias("times")).where("times > 1").select("w1", "w2")
+    marked = windows.join(several, ["w1", "w2"]).groupBy("d1", "d2").agg(F.collect_list("at").alias("ats"))
+    one = F.transform("ats", lambda at: F.struct((F.col("lo") + at).alias("first"), (F.col("lo") + at).alias("last")))
+    return places.drop("words").join(marked, ["d1", "d2"]).select("doc_id", "key", one.alias("ranges"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``key``, ``first`` and ``last``: ranges of starts of repeated windows."""
+    """``doc_id``, ``key`` and ``ranges`` (first and last start) of repeated windows, a row an anchor."""
     spark = docs.sparkSession
     keyed = _keyed(docs)
     path = scratch_path(spark, "anchors")
     _anchor_rows(keyed).write.parquet(path)
     found = spark.read.parquet(path)
-    counts = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    path = scratch_path(spark, "sequences")
+    found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").write.parquet(path)
+    counts = spark.read.parquet(path)
 
     def suffixes(which: str) -> DataFrame:
-        some = found.join(counts.where(which), "gram")
+        some = found.join(counts.where(which).select("gram"), "gram")
         listed = some.groupBy("doc_id", "key").agg(F.collect_list(F.struct("gram", "lo", "hi")).alias("listed"))
         # Rows of one id and text are joined once each to the anchors of one of them.
         listed = listed.withColumn("listed", F.array_distinct("listed"))
@@ -224,19 +276,14 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     out = _repeats(suffixes(f"n <= {GROUP}"))
     if counts.where(f"n > {GROUP}").head(1):
-        path = scratch_path(spark, "windows")
-        _whole_prefixes(suffixes(f"n > {GROUP}")).write.parquet(path)
-        windows = spark.read.parquet(path)
-        several = windows.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").select("d1", "d2")
-        hot = windows.join(several, ["d1", "d2"]).select("doc_id", "key", F.col("start").alias("first"), F.col("start").alias("last"))
-        out = out.unionAll(hot)
+        out = out.unionAll(_longer_prefixes(suffixes(f"n > {GROUP}")))
     return out
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed`` and ``kept`` (the kept words joined by one space) of each document."""
     keyed = _keyed(docs)
-    ranges = repeats(docs).groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    ranges = repeats(docs).groupBy("doc_id", "key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
