@@ -19,10 +19,10 @@ classes that agree on a band of components meet under the band's hash.  In
 each bucket every class is paired with the bucket's least one and with its
 neighbour in the order of the whole signature, and in buckets of at most
 ``ALL_PAIRS`` classes with all others.  Pairs are verified by the exact
-overlap of the multisets.  What is linked is merged (least id), and rounds
-go on with the classes of a bucket that are not merged yet, each round with
-another order, until a round links nothing.  No bucket is gathered and no
-bucket gives more than a few pairs a member and round.
+overlap of the multisets.  What is linked is merged (least id) before the next
+part of the bands; then rounds go on with larger buckets that still hold
+several classes, each round with another order, until a round links nothing.
+No bucket is gathered and none gives more than a few pairs a member and round.
 
 Defined results: null texts and texts without words are alike (one class of
 empty multisets); ties are broken by the least id; a repeated id is one
@@ -48,7 +48,9 @@ ROWS, BANDS = 4, 24
 COMPONENTS = ROWS * BANDS
 #: Classes of a bucket up to which all pairs are taken.
 ALL_PAIRS = 8
-#: Rounds after the first; the loop ends before when nothing new is linked.
+#: The bands are taken in so many parts, so that what one part has linked is not paired again by the next.
+GROUPS = 3
+#: Rounds after those over the larger buckets; they end before when nothing new is linked.
 MOST_ROUNDS = 6
 
 
@@ -202,24 +204,22 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def _candidates(buckets: DataFrame, classes: DataFrame, round_: int) -> DataFrame:
-    """Pairs ``a`` < ``b`` inside buckets (``band``, ``id``, ``root``) of members with different roots.
+def _candidates(buckets: DataFrame, orders: DataFrame, round_: int) -> DataFrame:
+    """Pairs ``a`` < ``b`` inside buckets (``band``, ``n``, ``id``, ``root``) of members with different roots.
 
     No bucket is gathered: each member meets the bucket's least member, which
     an aggregate finds, and its neighbour in the order by signature, which a
     range partitioning gives that may cut a bucket.
     """
     seeded = buckets.withColumn("order", F.xxhash64("id", F.lit(round_)) if round_ else F.lit(0).cast("bigint"))
-    least = seeded.groupBy("band").agg(
-        F.min(F.struct("order", "id", "root")).alias("least"), F.count("*").alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2")
-    )
-    live = seeded.join(least.where("n > 1 and r1 < r2"), "band")
+    least = seeded.groupBy("band").agg(F.min(F.struct("order", "id", "root")).alias("least"), F.min("root").alias("r1"), F.max("root").alias("r2"))
+    live = seeded.join(least.where("r1 < r2").select("band", "least"), "band")
     pairs = live.where(F.col("root") != F.col("least.root")).select(F.col("least.id").alias("x"), F.col("id").alias("y"))
     if not round_:
         few = live.where((F.col("n") > 2) & (F.col("n") <= ALL_PAIRS)).select("band", F.col("id").alias("x"))
         pairs = pairs.unionAll(few.join(few.withColumnRenamed("x", "y"), "band").where("x < y").select("x", "y"))
     shift = 16 * round_ % COMPONENTS
-    turned = classes.select("id", F.concat(F.substring("rest", 1 + shift, COMPONENTS), F.substring("rest", 1, shift)).alias("rest"))
+    turned = orders.select("id", F.concat(F.substring("rest", 1 + shift, COMPONENTS), F.substring("rest", 1, shift)).alias("rest"))
     placed = live.where(F.col("n") > ALL_PAIRS).select("band", "id", "root").join(turned, "id")
     pairs = pairs.unionAll(_neighbours(placed))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -264,25 +264,32 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = _written(sketches.select("doc_id", "digest").join(first, "digest").select("doc_id", "id"), "members")
     classes = sketches.join(members.where("doc_id = id").select("id"), F.col("doc_id") == F.col("id"), "left_semi")
     classes = classes.select(F.col("doc_id").alias("id"), "bands", "rest")
-    banded = classes.select("id", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    banded = classes.select("id", F.posexplode("bands").alias("nth", "band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     buckets = _written(banded.join(shared, "band"), "buckets")
+    # From here on only classes that meet others, and their texts.
+    meeting = buckets.select("id").distinct()
+    orders = _written(classes.select("id", "rest").join(meeting, "id", "left_semi"), "orders")
+    texts = _written(texts.join(meeting, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
     links, roots, tried = None, None, None
-    for round_ in range(1 + MOST_ROUNDS):
+    for round_ in range(GROUPS + MOST_ROUNDS):
+        first_pass = round_ < GROUPS
+        rooted = buckets.where(F.col("nth") % GROUPS == round_ if first_pass else F.col("n") > ALL_PAIRS)
         if roots is None:
-            rooted = buckets.withColumn("root", F.col("id"))
+            rooted = rooted.withColumn("root", F.col("id"))
         else:
-            rooted = buckets.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        pairs = _candidates(rooted, classes, round_)
+            rooted = rooted.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        pairs = _candidates(rooted, orders, 0 if first_pass else round_)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = _written(pairs, "pairs")
         tried = pairs if tried is None else tried.unionAll(pairs)
         new = _written(verified(pairs, texts, threshold), "links")
-        if not new.head(1):
+        if new.head(1):
+            links = new if links is None else links.unionAll(new)
+            roots = components(links)
+        elif not first_pass:
             break
-        links = new if links is None else links.unionAll(new)
-        roots = components(links)
     if roots is None:
         return members.select("doc_id", F.col("id").alias("class_id"))
     return members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.coalesce("root", "id").alias("class_id"))
