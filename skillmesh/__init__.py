@@ -14,7 +14,7 @@ from skillmesh.operators.lookups import (
     trend_by_year_nested,
 )
 from skillmesh.operators.profile import profile_summary, skill_frequency, skill_profile
-from skillmesh.operators.recommend import recommend_titles
+from skillmesh.operators.recommend import filter_has_all_skills, recommend_titles
 from skillmesh.operators.rollups import (
     build_job_counts,
     build_job_counts_by_country,
@@ -24,12 +24,23 @@ from skillmesh.operators.rollups import (
 )
 from skillmesh.operators.titles import (
     keywords_from_lists,
+    clean_titles,
     merge_keywords,
     normalize_titles,
     profession_of_title,
+    read_keywords,
     resolve_title,
 )
-from skillmesh.sources.files import load_or_empty, read_counts, read_postings
+from skillmesh.sources.files import (
+    load_or_empty,
+    persist_postings,
+    read_counts,
+    read_country_keyed,
+    read_postings,
+    rejected_lines,
+    to_json_lines,
+    write_country_keyed,
+)
 
 __all__ = [
     "build_job_counts",
@@ -37,6 +48,8 @@ __all__ = [
     "build_job_counts_by_month",
     "build_skill_counts",
     "build_skill_counts_by_country",
+    "clean_titles",
+    "filter_has_all_skills",
     "global_skills",
     "jobs_by_country",
     "jobs_by_country_page",
@@ -45,16 +58,22 @@ __all__ = [
     "load_or_empty",
     "merge_keywords",
     "normalize_titles",
+    "persist_postings",
     "profession_of_title",
     "profile_summary",
     "read_counts",
+    "read_country_keyed",
+    "read_keywords",
     "read_postings",
     "recommend_titles",
+    "rejected_lines",
     "resolve_title",
     "search_skills",
     "skill_frequency",
     "skill_profile",
     "skills_by_country",
+    "to_json_lines",
     "trend_by_year",
     "trend_by_year_nested",
+    "write_country_keyed",
 ]

@@ -66,15 +66,16 @@ def equals_ci(c, value: str) -> Column:
     return F.lower(_col(c)) == F.lit(value.lower())
 
 
-# Partition column of country-keyed tables: the lower-cased country.
-COUNTRY_KEY = "country_key"
+# Partition column of country-keyed tables: a sign and the lower-cased country.
+COUNTRY_KEY = "skillmesh_country_key"
+COUNTRY_SIGN = "="
 
 
 def country_equals(df, country: str) -> Column:
     """Case-insensitive country equality; on country-keyed tables the test
     is on the partition column, so Spark prunes partitions."""
     if COUNTRY_KEY in df.columns:
-        return F.col(COUNTRY_KEY) == F.lit(country.lower())
+        return F.col(COUNTRY_KEY) == F.lit(COUNTRY_SIGN + country.lower())
     return equals_ci("search_country", country)
 
 
@@ -82,7 +83,7 @@ def country_contains(df, needle: str) -> Column:
     """Case-insensitive country substring test, pruning partitions when the
     table is country-keyed."""
     if COUNTRY_KEY in df.columns:
-        return F.col(COUNTRY_KEY).contains(F.lit(needle.lower()))
+        return F.substr(F.col(COUNTRY_KEY), F.lit(len(COUNTRY_SIGN) + 1)).contains(F.lit(needle.lower()))
     return contains_ci("search_country", needle)
 
 

@@ -73,8 +73,8 @@ def jobs_by_country_page(job_counts_by_country: DataFrame, country: str, limit=N
 def jobs_by_country(job_counts_by_country: DataFrame, country: str, limit=None, page=1) -> DataFrame:
     """``search_country, data, total_jobs, showing`` (Q5): ``data`` is the page
     of titles, ``total_jobs`` the number of titles before paging and
-    ``showing`` after.  No row when the country is absent."""
-    titles = _country_titles(job_counts_by_country, country)
+    ``showing`` after.  No row when the country is absent, empty or None."""
+    titles = _country_titles(job_counts_by_country, country or "")
     page_rows = jobs_by_country_page(job_counts_by_country, country, limit, page)
     # All titles (for the total) and the page (for the list) go through one
     # aggregate; only the page's entries are collected.
@@ -89,7 +89,7 @@ def jobs_by_country(job_counts_by_country: DataFrame, country: str, limit=None,
             F.collect_list(F.when(F.col("on_page"), F.struct("job_title", "count")))
         ).alias("data"),
     )
-    return agg.filter(F.col("total_jobs") > 0).select(
+    return agg.filter((F.col("total_jobs") > 0) & F.lit(bool(country))).select(
         "search_country",
         "data",
         "total_jobs",
@@ -98,19 +98,32 @@ def jobs_by_country(job_counts_by_country: DataFrame, country: str, limit=None,
 
 
 def trend_by_year(job_counts_by_month: DataFrame, year) -> DataFrame:
-    """Flat ``month_year, job_title, count`` of the months of ``year`` (Q6)."""
+    """Flat ``month_year, job_title, count`` of the months of ``year``, by
+    month, count desc and title (Q6)."""
     months = job_counts_by_month.filter(year_of("month_year") == F.lit(str(year)))
-    return unnest_job_counts(months, "month_year", "jobs")
+    return unnest_job_counts(months, "month_year", "jobs").orderBy("month_year", F.desc("count"), "job_title")
 
 
 def trend_by_year_nested(job_counts_by_month: DataFrame, year) -> DataFrame:
-    """``month_year, jobs`` with each list sorted by count desc, title."""
+    """``month_year, jobs`` with each list sorted by count desc, title.
+
+    Rows of one month are merged; a missing title is ``''`` and a missing
+    count 0 (P5), before the sort.
+    """
     months = job_counts_by_month.filter(
         F.col("month_year").isNotNull()
         & F.col("jobs").isNotNull()
         & (year_of("month_year") == F.lit(str(year)))
     )
-    return months.select("month_year", sort_job_list("jobs").alias("jobs")).orderBy("month_year")
+    filled = F.transform(
+        "jobs",
+        lambda j: F.struct(
+            F.coalesce(j["job_title"], F.lit("")).alias("job_title"),
+            F.coalesce(j["count"], F.lit(0)).cast("long").alias("count"),
+        ),
+    )
+    merged = months.groupBy("month_year").agg(F.flatten(F.collect_list(filled)).alias("jobs"))
+    return merged.select("month_year", sort_job_list("jobs").alias("jobs")).orderBy("month_year")
 
 
 def list_countries(job_counts_by_country: DataFrame) -> DataFrame:

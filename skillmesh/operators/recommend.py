@@ -3,15 +3,11 @@
 Plan: country equality filter and native subset test on the lower-cased
 skill array (no Python UDF); one ``posexplode``; ``groupBy(title, skill)``
 with map-side partial aggregation gives each pair's weight and, through the
-position-0 marker, the posting count of the title; a window partitioned by
-title numbers skills (Spark inserts a WindowGroupLimit below it, so only
-``top_skills`` rows per title per partition survive the sort); the final
-``groupBy(title)`` reuses the window's partitioning (no further shuffle);
-the answer is the top ``limit`` titles by ``count desc, job_title``.
-
-A title holding a third of all postings does not land in one task: the
-first shuffle is keyed by (title, skill), and what reaches the window is
-one row per distinct skill of the title.
+position-0 marker, the postings that start with it; a second aggregate over
+the same pairs sums these to the title's posting count.  The ``limit`` titles
+with most postings are taken first, so only their skills are ranked: a
+window numbers them, with a partial WindowGroupLimit below the shuffle by
+title, so a task sends at most ``top_skills`` rows a title.
 """
 
 from __future__ import annotations
@@ -58,15 +54,25 @@ def top_skills_per_title(weights: DataFrame, top_skills: int = DEFAULT_TOP_SKILL
     """``job_title, count, rank, skill, weight`` keeping the ``top_skills``
     heaviest non-blank skills of each title (W1, F9, L6); ``count`` is the
     title's posting count (A5)."""
-    by_title = Window.partitionBy("job_title")
+    return _ranked(weights, _counts_of(weights), top_skills)
+
+
+def _counts_of(weights: DataFrame) -> DataFrame:
+    return weights.groupBy("job_title").agg(F.sum("starts").cast("long").alias("count"))
+
+
+def _ranked(weights: DataFrame, counts: DataFrame, top_skills: int) -> DataFrame:
+    """The heaviest skills of the titles in ``counts``."""
     ranked = Window.partitionBy("job_title").orderBy(
         (F.col("skill") == "").asc(), F.desc("weight"), F.asc("skill")
     )
-    return (
-        weights.withColumn("count", F.sum("starts").over(by_title).cast("long"))
-        .withColumn("rank", F.row_number().over(ranked))
+    counts = counts.withColumnRenamed("job_title", "counted_title")
+    top = (
+        weights.withColumn("rank", F.row_number().over(ranked))
         .filter((F.col("rank") <= top_skills) & (F.col("skill") != ""))
-        .select("job_title", "count", "rank", "skill", "weight")
+    )
+    return top.join(counts, F.col("job_title").eqNullSafe(F.col("counted_title"))).select(
+        "job_title", "count", "rank", "skill", "weight"
     )
 
 
@@ -80,7 +86,12 @@ def recommend_titles(
     """``job_title, skills: array<struct<skill, weight>>, count`` for the
     ``limit`` titles with most postings that list every skill in ``skills``."""
     matched = filter_has_all_skills(postings, country, skills)
-    ranked = top_skills_per_title(skill_weight_by_title(matched), top_skills)
+    weights = skill_weight_by_title(matched)
+    best = _counts_of(weights).orderBy(F.desc("count"), F.asc("job_title")).limit(limit)
+    of_best = weights.join(
+        best.select(F.col("job_title").alias("best_title")), F.col("job_title").eqNullSafe(F.col("best_title")), "left_semi"
+    )
+    ranked = _ranked(of_best, best, top_skills)
     nested = ranked.groupBy("job_title").agg(
         F.max("count").alias("count"),
         F.array_sort(F.collect_list(F.struct("rank", "skill", "weight"))).alias("ranked"),

@@ -49,6 +49,8 @@ DICTIONARY_BROADCAST_ROWS = 500_000
 # The title → profession mapping is broadcast back onto the input when it
 # has at most this many distinct titles (about 100 bytes each).
 MAPPING_BROADCAST_ROWS = 2_000_000
+# ... and when these, at the length of the longest title, have at most this many bytes.
+MAPPING_BROADCAST_BYTES = 512 << 20
 
 
 # --- dictionary -----------------------------------------------------------------
@@ -59,13 +61,16 @@ def merge_keywords(english: DataFrame, vietnamese: DataFrame) -> DataFrame:
 
     Professions and their order come from the English list; each gets the
     Vietnamese keywords of the profession with the same name (the last such
-    entry when a name repeats), placed after its English keywords.
+    entry when a name repeats), placed after its English keywords.  An entry
+    without keywords is one row with a NULL ``kw_pos`` and ``keyword``: an
+    English one keeps its profession, a last Vietnamese one gives none.
     """
     en = english.select("prof_pos", "kw_pos", "profession", "keyword")
-    offsets = en.groupBy("prof_pos", "profession").agg((F.max("kw_pos") + 1).alias("offset"))
+    offsets = en.groupBy("prof_pos", "profession").agg(F.coalesce(F.max("kw_pos") + 1, F.lit(0)).alias("offset"))
     last_vn = vietnamese.groupBy("profession").agg(F.max("prof_pos").alias("vn_pos"))
     vn = vietnamese.join(last_vn, "profession").filter(F.col("prof_pos") == F.col("vn_pos"))
     vn = offsets.join(vn.select("profession", F.col("kw_pos").alias("vn_kw"), "keyword"), "profession")
+    vn, en = vn.filter(F.col("keyword").isNotNull()), en.filter(F.col("keyword").isNotNull())
     return en.select(
         F.col("prof_pos").cast("int"),
         F.col("kw_pos").cast("int"),
@@ -90,7 +95,7 @@ def keywords_from_lists(spark: SparkSession, english: list[dict], vietnamese: li
         return [
             (p, k, item["name"], kw)
             for p, item in enumerate(lst)
-            for k, kw in enumerate(item.get("keywords", []))
+            for k, kw in (list(enumerate(item.get("keywords") or [])) or [(None, None)])
         ]
 
     en = spark.createDataFrame(rows(english), schemas.LANGUAGE_KEYWORDS)
@@ -98,6 +103,12 @@ def keywords_from_lists(spark: SparkSession, english: list[dict], vietnamese: li
     return merge_keywords(en, vn)
 
 
+def read_keywords(spark: SparkSession, path, fmt: str = "json") -> DataFrame:
+    """A merged long-form dictionary from a file, with its declared schema."""
+    reader = spark.read.schema(schemas.PROFESSION_KEYWORDS)
+    return (reader.option("header", True) if fmt == "csv" else reader).format(fmt).load(path)
+
+
 def prepare_keywords(keywords: DataFrame, language: str = "both") -> DataFrame:
     """Keywords in play for ``language`` with their normalised text.
 
@@ -110,7 +121,7 @@ def prepare_keywords(keywords: DataFrame, language: str = "both") -> DataFrame:
         kw = kw.filter(F.col("language") == "vietnamese")
     kw = kw.filter(F.length(strip_ws("keyword")) > MAX_IGNORED_KEYWORD_LENGTH)
     kw = kw.select(
-        (F.col("prof_pos").cast("long") * F.lit(1 << 20) + F.col("kw_pos")).alias("kid"),
+        (F.col("prof_pos").cast("long") * F.lit(1 << 32) + F.col("kw_pos")).alias("kid"),
         "prof_pos",
         "kw_pos",
         "profession",
@@ -196,24 +207,19 @@ def best_matches(
     keywords: DataFrame,
     language: str = "both",
     threshold: float = DEFAULT_THRESHOLD,
-    few_titles: bool = False,
 ) -> DataFrame:
     """``T, score, profession, keyword`` for each distinct cleaned title that
     has a match (J3, N3-N6).
 
-    Join strategy: with ``few_titles`` (a handful of request titles) the
-    title side is broadcast and the dictionary streams; otherwise the
-    dictionary side is broadcast when a size check proves it small, else
-    both sides are shuffled on the probe key.
+    Join strategy: the dictionary side is broadcast when a size check
+    proves it small, else both sides are shuffled on the probe key.
     """
     prepared = prepare_keywords(keywords, language)
     probes = keyword_probes(prepared)
     info = prepared
     titles = cleaned_titles.select(F.col("clean_title").alias("T")).distinct().withColumn("TT", ws_tokens("T"))
     keys = _title_keys(titles)
-    if few_titles:
-        pairs = probes.join(info, "kid").join(F.broadcast(keys), "key")
-    elif _dictionary_is_small(prepared):
+    if _dictionary_is_small(prepared):
         # Probes stay slim (key, kid) for the broadcast; keyword details
         # follow in a second broadcast join.
         pairs = keys.join(F.broadcast(probes), "key").join(F.broadcast(info), "kid")
@@ -268,7 +274,6 @@ def normalize_titles(
     title_col: str = "title",
     language: str = "both",
     threshold: float = DEFAULT_THRESHOLD,
-    few_titles: bool = False,
     broadcast_max_titles: int = MAPPING_BROADCAST_ROWS,
 ) -> DataFrame:
     """Input rows plus ``profession`` (``Unknown`` when nothing matches),
@@ -284,18 +289,20 @@ def normalize_titles(
     distinct = titles.select(F.col(title_col).alias("_title")).distinct().withColumn(
         "clean_title", clean_title("_title")
     )
-    best = best_matches(distinct, keywords, language, threshold, few_titles)
+    best = best_matches(distinct, keywords, language, threshold)
     mapping = distinct.join(best, distinct.clean_title == best.T, "left").select(
         "_title",
         F.coalesce("profession", F.lit(UNKNOWN)).alias("profession"),
         F.least(F.coalesce("score", F.lit(0.0)), F.lit(1.0)).alias("score"),
         F.col("keyword").alias("matched_keyword"),
     )
-    if not few_titles:
-        n_titles = titles.select(F.approx_count_distinct(title_col, rsd=0.02)).first()[0]
-        # The estimate's error is about 2 %; keep a margin below the bound.
-        if n_titles * 1.1 <= broadcast_max_titles:
-            mapping = F.broadcast(mapping)
+    n_titles, n_bytes = titles.select(
+        F.approx_count_distinct(title_col, rsd=0.02), F.max(F.octet_length(title_col))
+    ).first()
+    # The estimate's error is about 2 %; keep a margin below the bound.  The
+    # longest title bounds the bytes.
+    if n_titles * 1.1 <= broadcast_max_titles and n_titles * 1.1 * ((n_bytes or 0) + 100) <= MAPPING_BROADCAST_BYTES:
+        mapping = F.broadcast(mapping)
     out = titles.join(mapping, titles[title_col] == mapping["_title"], "left").drop("_title")
     return out.withColumn("profession", F.coalesce("profession", F.lit(UNKNOWN))).withColumn(
         "score", F.coalesce("score", F.lit(0.0))

@@ -12,18 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skillmesh.functions.text import COUNTRY_KEY
+from skillmesh.functions.text import COUNTRY_KEY, COUNTRY_SIGN
 
 POSTING_COLUMNS = ("job_title", "search_country", "job_skills")
-# Writers split each country over at most this many tasks.
-WRITE_SALTS = 8
 
 
 def read_postings(spark: SparkSession, path, fmt: str = "csv", columns=POSTING_COLUMNS) -> DataFrame:
     """Postings with every column as text.
 
     CSV is read with its header row and no type inference; only the named
-    columns are kept, so later scans read nothing else.  ``fmt="parquet"``
+    columns, and ``month_year`` where the file has it, are kept, so later
+    scans read nothing else.  ``fmt="parquet"``
     reads a columnar copy instead.
     """
     if fmt == "csv":
@@ -33,6 +32,8 @@ def read_postings(spark: SparkSession, path, fmt: str = "csv", columns=POSTING_C
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"postings at {path} lack columns {missing}")
+    if "month_year" in df.columns and "month_year" not in columns:
+        columns = (*columns, "month_year")
     cols = [F.col(c).cast("string").alias(c) for c in columns]
     if COUNTRY_KEY in df.columns and COUNTRY_KEY not in columns:
         # partition column of a country-keyed table: keep it so country
@@ -48,16 +49,78 @@ def read_counts(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
 
 def load_or_empty(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
     """Tolerant JSON Lines load (S4): an absent path gives an empty table of
-    ``schema``; lines that do not parse are dropped.  Other failures raise."""
+    ``schema``; lines that do not parse or have a value of the wrong type are
+    dropped, and of a list only the bad elements are.  Every record is parsed
+    whole before any column is dropped, so the rows do not depend on the
+    columns that are read.  :func:`rejected_lines` lists what was lost.  Other
+    failures raise."""
+    parsed = _parsed_lines(spark, path, schema)
+    if parsed is None:
+        return spark.createDataFrame([], schema)
+    return parsed.filter(F.col("ok")).select(*[_kept(F.col("record")[f.name], f.dataType).alias(f.name) for f in schema])
+
+
+def rejected_lines(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
+    """``line`` and ``elements_only`` of each line that :func:`load_or_empty`
+    drops (false) or takes without some bad list elements (true)."""
+    parsed = _parsed_lines(spark, path, schema)
+    if parsed is None:
+        return spark.createDataFrame([], "line string, elements_only boolean")
+    bad = F.lit(False)
+    for f in schema:
+        if _is_record_list(f.dataType):
+            whole = F.col("record")[f.name]
+            bad = bad | F.coalesce(F.exists(whole, lambda e: e.isNotNull() & ~_is_good(e, f.dataType.elementType)), F.lit(False))
+    return parsed.filter(~F.col("ok") | bad).select("line", F.col("ok").alias("elements_only"))
+
+
+_BAD = "_bad_record"
+
+
+def _is_record_list(kind: T.DataType) -> bool:
+    return isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType)
+
+
+def _parse(text, schema: T.StructType):
+    """The text as a record, with the text itself in ``_BAD`` where it does not fit."""
+    whole = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
+    return F.from_json(text, whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
+
+
+def _is_good(text, schema: T.StructType):
+    record = _parse(text, schema)
+    return record.isNotNull() & record[_BAD].isNull()
+
+
+def _kept(value, kind: T.DataType):
+    """A parsed column; of a list of records the elements that fit."""
+    if not _is_record_list(kind):
+        return value
+    fields = kind.elementType.fields
+    good = F.filter(F.transform(value, lambda e: _parse(e, kind.elementType)), lambda r: r.isNull() | r[_BAD].isNull())
+    return F.transform(good, lambda r: F.when(r.isNotNull(), F.struct(*[r[f.name].alias(f.name) for f in fields])))
+
+
+def _parsed_lines(spark: SparkSession, path, schema: T.StructType) -> DataFrame | None:
+    """``line``, ``record`` and ``ok`` of each non-blank line; None for an absent path.
+
+    Lists of records are taken as lists of texts, parsed one by one later.
+    """
+    loose = T.StructType(
+        [T.StructField(f.name, T.ArrayType(T.StringType()) if _is_record_list(f.dataType) else f.dataType) for f in schema]
+    )
     try:
-        df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+        lines = spark.read.text(path)
         # Resolving the file index raises for an absent path.
-        df.inputFiles()
-        return df
+        lines.inputFiles()
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" in (exc.getCondition() or "") or "Path does not exist" in str(exc):
-            return spark.createDataFrame([], schema)
+            return None
         raise
+    lines = lines.select(F.col("value").alias("line")).filter(F.trim("line") != "")
+    return lines.withColumn("record", _parse(F.col("line"), loose)).withColumn(
+        "ok", F.col("record").isNotNull() & F.col(f"record.{_BAD}").isNull()
+    )
 
 
 def persist_postings(postings: DataFrame) -> DataFrame:
@@ -66,39 +129,36 @@ def persist_postings(postings: DataFrame) -> DataFrame:
     repeated queries (S5).  Call ``unpersist()`` when done."""
     from pyspark import StorageLevel
 
-    keep = [c for c in (*POSTING_COLUMNS, "month_year") if c in postings.columns]
+    keep = [c for c in (*POSTING_COLUMNS, "month_year", COUNTRY_KEY) if c in postings.columns]
     return postings.select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def with_country_key(df: DataFrame) -> DataFrame:
-    """Adds ``country_key`` = lower-cased ``search_country``."""
-    return df.withColumn(COUNTRY_KEY, F.lower("search_country"))
+    """Adds the partition key: ``=`` and the lower-cased ``search_country``.
+
+    The sign keeps a blank country apart from NULL and a numeric one text.
+    """
+    return df.withColumn(COUNTRY_KEY, F.concat(F.lit(COUNTRY_SIGN), F.lower("search_country")))
 
 
 def write_country_keyed(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet partitioned by ``country_key``.
+    """Parquet partitioned by the country key.
 
     Country lookups on such a table (equality or substring, any case) prune
     to the matching partitions instead of scanning every file.  Rows are
-    clustered by the key before writing so each task writes few files; a
-    country holding a third of all rows is split across tasks by a salt
-    taken from a hash of the row (deterministic, so a retried task after an
-    executor loss routes every row exactly as before).
+    rebalanced by the key before writing: each task writes few files, and
+    AQE splits a large country by size, however large it is.
     """
-    keyed = with_country_key(df)
-    n = keyed.sparkSession.sparkContext.defaultParallelism
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(WRITE_SALTS))
-    (
-        keyed.repartition(n, COUNTRY_KEY, salt)
-        .write.mode(mode)
-        .partitionBy(COUNTRY_KEY)
-        .parquet(path)
-    )
+    keyed = with_country_key(df).hint("rebalance", F.col(COUNTRY_KEY))
+    keyed.write.mode(mode).partitionBy(COUNTRY_KEY).parquet(path)
 
 
 def read_country_keyed(spark: SparkSession, path: str) -> DataFrame:
-    """A table written by :func:`write_country_keyed`; keeps ``country_key``."""
-    return spark.read.parquet(path)
+    """A table written by :func:`write_country_keyed`; keeps the
+    country key, as text whatever its values look like."""
+    found = spark.read.parquet(path).schema
+    fields = [T.StructField(f.name, T.StringType()) if f.name == COUNTRY_KEY else f for f in found]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
 def to_json_lines(df: DataFrame) -> DataFrame:

@@ -132,8 +132,27 @@ def test_country_keyed_summaries_prune_and_agree(spark, summaries):
     files.write_country_keyed(summaries["jcc"], p2)
     scc, jcc = files.read_country_keyed(spark, p1), files.read_country_keyed(spark, p2)
     q = lookups.skills_by_country(scc, "Nation_4", 10)
-    assert "PartitionFilters: [isnotnull(country_key" in q._jdf.queryExecution().sparkPlan().toString()
+    assert "PartitionFilters: [isnotnull(skillmesh_country_key" in q._jdf.queryExecution().sparkPlan().toString()
     assert _all(q) == _all(lookups.skills_by_country(summaries["scc"], "nation_4", 10))
     assert _all(lookups.jobs_by_country_page(jcc, "NATION_6", 5, 2)) == _all(
         lookups.jobs_by_country_page(summaries["jcc"], "NATION_6", 5, 2)
     )
+
+
+def test_trend_merges_split_months_and_fills_before_sorting(spark):
+    from skillmesh import schemas
+
+    rows = [("2024-01", [("a", 1), ("n", None)]), ("2024-01", [("z", 5), (None, 2)]), ("2024-02", []), ("2023-01", [("x", 1)])]
+    df = spark.createDataFrame(rows, schemas.JOB_COUNTS_BY_MONTH)
+    got = [(r.month_year, [tuple(j) for j in r.jobs]) for r in lookups.trend_by_year_nested(df, 2024).collect()]
+    assert got == [("2024-01", [("z", 5), ("", 2), ("a", 1), ("n", 0)]), ("2024-02", [])]
+    flat = [tuple(r) for r in lookups.trend_by_year(df, 2024).collect()]
+    assert flat == [("2024-01", "z", 5), ("2024-01", "", 2), ("2024-01", "a", 1), ("2024-01", "n", 0)]
+
+
+def test_no_country_gives_no_row(spark):
+    from skillmesh import schemas
+
+    df = spark.createDataFrame([("", [("a", 1)]), (None, [("b", 2)])], schemas.JOB_COUNTS_BY_COUNTRY)
+    for country in (None, ""):
+        assert lookups.jobs_by_country(df, country).collect() == []

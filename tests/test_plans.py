@@ -47,11 +47,11 @@ def test_country_keyed_table_prunes_partitions(spark, postings):
     table = files.read_country_keyed(spark, path)
     rec = recommend_titles(table, "nation_3", ["blue bolt"])
     p = rec._jdf.queryExecution().sparkPlan().toString()
-    assert "PartitionFilters: [isnotnull(country_key" in p and "nation_3" in p
+    assert "PartitionFilters: [isnotnull(skillmesh_country_key" in p and "nation_3" in p
     direct = recommend_titles(postings, "NATION_3", ["blue bolt"])
     assert [r.asDict(recursive=True) for r in rec.collect()] == [r.asDict(recursive=True) for r in direct.collect()]
     prof = skill_profile(table, "household", "NATION_1", 5)
-    assert "Contains(country_key#" in prof._jdf.queryExecution().sparkPlan().toString()
+    assert "Contains(substr(skillmesh_country_key#" in prof._jdf.queryExecution().sparkPlan().toString()
     assert prof.collect() == skill_profile(postings, "household", "NATION_1", 5).collect()
 
 
@@ -100,6 +100,6 @@ def test_read_postings_keeps_partition_key(spark, postings):
     path = scratch_path(spark, "t-keyed-read")
     files.write_country_keyed(postings, path)
     df = files.read_postings(spark, path, fmt="parquet")
-    assert "country_key" in df.columns
+    assert "skillmesh_country_key" in df.columns
     rec = recommend_titles(df, "nation_3", ["blue bolt"])
-    assert "PartitionFilters: [isnotnull(country_key" in rec._jdf.queryExecution().sparkPlan().toString()
+    assert "PartitionFilters: [isnotnull(skillmesh_country_key" in rec._jdf.queryExecution().sparkPlan().toString()
