@@ -19,8 +19,8 @@ classes that agree on a band of components meet under the band's hash.  In
 each bucket every class is paired with the bucket's least one and with its
 neighbour in the order of the whole signature, and in buckets of at most
 ``ALL_PAIRS`` classes with all others.  Pairs are verified by the exact
-overlap of the multisets.  What is linked is merged (least id) before the next
-part of the bands; then rounds go on with larger buckets that still hold
+overlap of the multisets.  What is linked is merged before the next part of the
+bands, in whole (least id) after the last; then rounds go on with larger buckets that still hold
 several classes, each round with another order, until a round links nothing.
 No bucket is gathered and none gives more than a few pairs a member and round.
 
@@ -50,6 +50,8 @@ COMPONENTS = ROWS * BANDS
 ALL_PAIRS = 8
 #: The bands are taken in so many parts, so that what one part has linked is not paired again by the next.
 GROUPS = 3
+#: Merging rounds after each of those parts but the last, after which links are merged in whole.
+BETWEEN = 2
 #: Rounds after those over the larger buckets; they end before when nothing new is linked.
 MOST_ROUNDS = 6
 
@@ -182,26 +184,37 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``node`` and the least node it is linked to, directly or not, as ``root``, of ``links`` (``a``, ``b``).
+def _star_round(edges: DataFrame) -> DataFrame:
+    """A large-star and a small-star step on edges (``u`` > ``v``): the same components, closer to stars."""
+    sides = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = sides.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    return small.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether no node has two edges upwards and none above another has one."""
+    below = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = below.unionAll(edges.select("v", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not ends.where("up > 1 OR (up = 1 AND down = 1)").count()
+
 
-    Large-star and small-star steps, each with partial aggregation, written
-    to the shared folder between rounds, until a round changes nothing.
+def merged(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Edges ``u`` > ``v`` with the components of ``links`` (``u``, ``v``): stars around the least node, or nearly so after ``rounds``.
+
+    Rounds aggregate partially and are written to the shared folder.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    edges, before = _written(edges, "edges"), None
-    while True:
-        sides = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sides.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        edges = _written(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        # A star forest maps every node to its root; a round leaves it as it is.
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
+    edges, done = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v"), 0
+    while done != rounds and not _are_stars(edges):
+        edges, done = _written(_star_round(edges), "edges"), done + 1
+    return edges
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``node`` and the least node it is linked to, directly or not, as ``root``, of ``links`` (``a``, ``b``)."""
+    return merged(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def _candidates(buckets: DataFrame, orders: DataFrame, round_: int) -> DataFrame:
@@ -213,11 +226,12 @@ def _candidates(buckets: DataFrame, orders: DataFrame, round_: int) -> DataFrame
     """
     seeded = buckets.withColumn("order", F.xxhash64("id", F.lit(round_)) if round_ else F.lit(0).cast("bigint"))
     least = seeded.groupBy("band").agg(F.min(F.struct("order", "id", "root")).alias("least"), F.min("root").alias("r1"), F.max("root").alias("r2"))
-    live = seeded.join(least.where("r1 < r2").select("band", "least"), "band")
+    live = _written(seeded.join(least.where("r1 < r2").select("band", "least"), "band"), "live")
     pairs = live.where(F.col("root") != F.col("least.root")).select(F.col("least.id").alias("x"), F.col("id").alias("y"))
     if not round_:
-        few = live.where((F.col("n") > 2) & (F.col("n") <= ALL_PAIRS)).select("band", F.col("id").alias("x"))
-        pairs = pairs.unionAll(few.join(few.withColumnRenamed("x", "y"), "band").where("x < y").select("x", "y"))
+        few = live.where((F.col("n") > 2) & (F.col("n") <= ALL_PAIRS)).select("band", F.col("id").alias("x"), F.col("root").alias("rx"))
+        other = few.withColumnsRenamed({"x": "y", "rx": "ry"})
+        pairs = pairs.unionAll(few.join(other, "band").where("x < y AND rx != ry").select("x", "y"))
     shift = 16 * round_ % COMPONENTS
     turned = orders.select("id", F.concat(F.substring("rest", 1 + shift, COMPONENTS), F.substring("rest", 1, shift)).alias("rest"))
     placed = live.where(F.col("n") > ALL_PAIRS).select("band", "id", "root").join(turned, "id")
@@ -271,7 +285,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     meeting = buckets.select("id").distinct()
     orders = _written(classes.select("id", "rest").join(meeting, "id", "left_semi"), "orders")
     texts = _written(texts.join(meeting, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
-    links, roots, tried = None, None, None
+    edges, roots, tried = None, None, None
     for round_ in range(GROUPS + MOST_ROUNDS):
         first_pass = round_ < GROUPS
         rooted = buckets.where(F.col("nth") % GROUPS == round_ if first_pass else F.col("n") > ALL_PAIRS)
@@ -286,8 +300,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         tried = pairs if tried is None else tried.unionAll(pairs)
         new = _written(verified(pairs, texts, threshold), "links")
         if new.head(1):
-            links = new if links is None else links.unionAll(new)
-            roots = components(links)
+            new = new.select(F.col("b").alias("u"), F.col("a").alias("v"))
+            # Between the parts nearly merged is enough: equal roots are always linked.
+            edges = merged(new if edges is None else edges.unionAll(new), BETWEEN if round_ + 1 < GROUPS else None)
+            roots = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+        elif round_ + 1 == GROUPS and edges is not None:
+            edges = merged(edges)
+            roots = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
         elif not first_pass:
             break
     if roots is None:
