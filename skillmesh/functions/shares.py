@@ -13,7 +13,7 @@ then the sign of the product's rounding error (computed exactly with
 Dekker's error-free product, splitting ``x`` with the constant 2^27 + 1)
 says which way the exact value lies, and an error of zero is a true tie,
 rounded half to even.  ``N / 100.0`` is then the very double Python
-returns.  Every step is plain double arithmetic, so Spark and DuckDB agree.
+returns.
 """
 
 from __future__ import annotations
@@ -50,19 +50,3 @@ def share_percent(freq, total) -> Column:
     freq = F.col(freq) if isinstance(freq, str) else freq
     total = F.col(total) if isinstance(total, str) else total
     return py_round2(freq.cast("double") / total.cast("double") * F.lit(100.0))
-
-
-def py_round_hundredths_sql(x: str) -> str:
-    """The same rule as DuckDB SQL text over the double expression ``x``
-    (for the oracle)."""
-    y = f"(({x}) * 100.0::DOUBLE)"
-    c = f"(({x}) * {_SPLIT}::DOUBLE)"
-    hi = f"({c} - ({c} - ({x})))"
-    lo = f"(({x}) - {hi})"
-    err = f"(({hi} * 100.0::DOUBLE - {y}) + {lo} * 100.0::DOUBLE)"
-    low = f"CAST(floor({y}) AS BIGINT)"
-    return (
-        f"(CASE WHEN {y} - floor({y}) = 0.5 THEN (CASE WHEN {err} > 0 THEN {low} + 1 "
-        f"WHEN {err} < 0 THEN {low} ELSE {low} + (({low} % 2) + 2) % 2 END) "
-        f"ELSE CAST(round({y}) AS BIGINT) END)"
-    )

@@ -189,17 +189,21 @@ aggregate(KT, 0D, (acc, t) -> acc + CASE
 
 
 def _dictionary_is_small(prepared: DataFrame) -> bool:
-    """One small job over the dictionary: keyword count and an upper bound
-    on its probe rows (tokens of four or more characters emit all their
-    substrings)."""
-    n_kw, n_probes = prepared.select(
-        F.aggregate(
-            "KT",
-            F.lit(2).cast("long"),
-            lambda acc, t: acc + 2 + F.when(F.length(t) >= MIN_PARTIAL_TOKEN_LENGTH, F.length(t) * (F.length(t) + 1) / 2).otherwise(0).cast("long"),
-        ).alias("p")
-    ).agg(F.count(F.lit(1)), F.coalesce(F.sum("p"), F.lit(0))).first()
-    return n_kw <= DICTIONARY_BROADCAST_ROWS and n_probes <= DICTIONARY_BROADCAST_ROWS
+    """One small job over the dictionary: keyword count and upper bounds on
+    its probe rows (tokens of four or more characters emit all their
+    substrings) and on the bytes of probes and keywords."""
+    probes = F.aggregate(
+        "KT",
+        F.lit(2).cast("long"),
+        lambda acc, t: acc + 2 + F.when(F.length(t) >= MIN_PARTIAL_TOKEN_LENGTH, F.length(t) * (F.length(t) + 1) / 2).otherwise(0).cast("long"),
+    )
+    texts = F.octet_length("K") + F.octet_length("keyword") + F.coalesce(F.octet_length("profession"), F.lit(0))
+    n_kw, n_probes, n_bytes = (
+        prepared.select(probes.alias("p"), texts.cast("long").alias("b"))
+        .agg(F.count(F.lit(1)), F.coalesce(F.sum("p"), F.lit(0)), F.coalesce(F.sum((F.col("p") + 2) * (F.col("b") + 100)), F.lit(0)))
+        .first()
+    )
+    return max(n_kw, n_probes) <= DICTIONARY_BROADCAST_ROWS and n_bytes <= MAPPING_BROADCAST_BYTES
 
 
 def best_matches(

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillmesh import schemas
-from skillmesh.functions.shares import py_round_hundredths_sql
 from skillmesh.fixed import (
     BRACKETED,
     DEFAULT_THRESHOLD,
@@ -333,9 +332,13 @@ def _matched_profile(title: str, country: str) -> str:
 
 
 def _profile_rows_sql(title: str, country: str, k: int) -> list[tuple[str, str]]:
-    """The profile in DuckDB: doubles, Python-style rounding, and sums as
-    left folds in rank order (``list_reduce``), as the original's loop did."""
-    r2 = py_round_hundredths_sql
+    """The profile in DuckDB: doubles, rounding by DuckDB's exact decimal
+    formatting (not the engine's arithmetic), and sums as left folds in rank
+    order (``list_reduce``), as the original's loop did."""
+
+    def r2(x: str) -> str:
+        return f"CAST(format('{{:.2f}}', {x}) AS DOUBLE)"
+
     fold = "coalesce(list_reduce(list(p ORDER BY rank), lambda a, b: a + b, 0.0::DOUBLE), 0.0::DOUBLE)"
     return [
         ("m", _matched_profile(title, country)),
@@ -353,7 +356,7 @@ def _profile_rows_sql(title: str, country: str, k: int) -> list[tuple[str, str]]
         (
             "topp",
             f"SELECT rank, skill, frequency, "
-            f"CAST({r2('CAST(frequency AS DOUBLE) / CAST(total AS DOUBLE) * 100.0::DOUBLE')} AS DOUBLE) / 100.0::DOUBLE AS p "
+            f"{r2('CAST(frequency AS DOUBLE) / CAST(total AS DOUBLE) * 100.0::DOUBLE')} AS p "
             "FROM top, tot",
         ),
         (
@@ -363,7 +366,7 @@ def _profile_rows_sql(title: str, country: str, k: int) -> list[tuple[str, str]]
         (
             "oth",
             f"SELECT n_top + 1 AS rank, {_lit(OTHER_SKILLS_LABEL)} AS skill, total - top_freq AS frequency, "
-            f"CAST({r2('100.0::DOUBLE - top_sum')} AS DOUBLE) / 100.0::DOUBLE AS p FROM agg, tot",
+            f"{r2('100.0::DOUBLE - top_sum')} AS p FROM agg, tot",
         ),
         (
             "kept",
@@ -375,7 +378,7 @@ def _profile_rows_sql(title: str, country: str, k: int) -> list[tuple[str, str]]
         (
             "adj",
             f"SELECT rank, skill, frequency, CASE WHEN rank = max_rank AND p_sum <> 100.0 "
-            f"THEN CAST({r2('p + (100.0::DOUBLE - p_sum)')} AS DOUBLE) / 100.0::DOUBLE ELSE p END AS p "
+            f"THEN {r2('p + (100.0::DOUBLE - p_sum)')} ELSE p END AS p "
             "FROM kept, ks, mx",
         ),
     ]

@@ -1,4 +1,4 @@
-"""Check the Python-style rounding rule in Spark and DuckDB against Python.
+"""Check the engine's rounding rule and the oracle's (DuckDB's decimal formatting) against Python.
 
 Usage: python tools/check_rounding.py
 
@@ -37,7 +37,7 @@ def main() -> None:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from skillmesh.functions.shares import py_round_hundredths, py_round_hundredths_sql
+    from skillmesh.functions.shares import py_round_hundredths
 
     vals = values()
     spark = (
@@ -55,8 +55,8 @@ def main() -> None:
     con = duckdb.connect()
     con.execute("CREATE TABLE t(x DOUBLE)")
     con.executemany("INSERT INTO t VALUES (?)", [(v,) for v in vals])
-    rows = con.execute(f"SELECT x, {py_round_hundredths_sql('x')} AS n FROM t").fetchall()
-    bad = [x for x, n in rows if n / 100.0 != round(x, 2)]
+    rows = con.execute("SELECT x, CAST(format('{:.2f}', x) AS DOUBLE) AS r FROM t").fetchall()
+    bad = [x for x, r in rows if r != round(x, 2)]
     print(f"duckdb: {len(rows)} values, {len(bad)} mismatches {bad[:5]}")
 
 
