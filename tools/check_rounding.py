@@ -53,8 +53,7 @@ def main() -> None:
     print(f"spark: {len(vals)} values, {len(bad)} mismatches {bad[:5]}")
 
     con = duckdb.connect()
-    con.execute("CREATE TABLE t(x DOUBLE)")
-    con.executemany("INSERT INTO t VALUES (?)", [(v,) for v in vals])
+    con.execute("CREATE TABLE t AS SELECT unnest(?::DOUBLE[]) AS x", [vals])
     rows = con.execute("SELECT x, CAST(format('{:.2f}', x) AS DOUBLE) AS r FROM t").fetchall()
     bad = [x for x, r in rows if r != round(x, 2)]
     print(f"duckdb: {len(rows)} values, {len(bad)} mismatches {bad[:5]}")
