@@ -126,28 +126,34 @@ _LIST = "array<struct<gram: bigint, lo: int, hi: int>>"
 
 
 def _suffix_rows(marked: DataFrame) -> DataFrame:
-    """A row for each listed anchor of each text: the words of all its windows, as bytes."""
+    """A row for each text and differing word list of its listed anchors: the places, and the words of all windows as bytes.
+
+    Places of one text with one word list (a line said again and again) are
+    one row, so that shuffles and joins get a row a text and list at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for k in range(0, len(batch), 256):
                 some = batch.slice(k, 256)
-                row, gram, lo, words = [], [], [], []
+                row, lists, places = [], [], []
                 for i, (text, listed) in enumerate(zip(some.column(2).to_pylist(), some.column(3), strict=True)):
                     own = suffix_rows(hashes.of(split_words(text)))
-                    g, a, b = (listed.values.field(c).to_numpy() for c in ("gram", "lo", "hi"))
-                    row += [i] * len(g)
-                    gram.append(g)
-                    lo.append(a)
-                    words += [own[x : y + WINDOW].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-                at = pa.array(row, pa.int32())
+                    at: dict[tuple[int, bytes], list[int]] = {}
+                    for g, a, b in zip(*(listed.values.field(c).to_pylist() for c in ("gram", "lo", "hi")), strict=True):
+                        at.setdefault((g, own[a : b + WINDOW].tobytes()), []).append(a)
+                    row += [i] * len(at)
+                    lists += at.keys()
+                    places += at.values()
+                of = pa.array(row, pa.int32())
+                gram, words = zip(*lists, strict=True) if lists else ((), ())
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0).take(at), some.column(1).take(at), pa.array(np.concatenate(gram)), pa.array(np.concatenate(lo)), pa.array(words, pa.binary())],
-                    ["doc_id", "key", "gram", "lo", "words"],
+                    [some.column(0).take(of), some.column(1).take(of), pa.array(gram, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(words, pa.binary())],
+                    ["doc_id", "key", "gram", "los", "words"],
                 )
 
-    return marked.select("doc_id", "key", "text", "listed").mapInArrow(run, "doc_id bigint, key bigint, gram bigint, lo int, words binary")
+    return marked.select("doc_id", "key", "text", "listed").mapInArrow(run, "doc_id bigint, key bigint, gram bigint, los array<int>, words binary")
 
 
 _RANGE = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
@@ -164,7 +170,7 @@ def _solved(rows: list[tuple]) -> pa.RecordBatch:
     """Ranges of repeated window starts of rows of ``_suffix_rows``, whole groups."""
     number: dict[bytes, int] = {}
     which = np.array([number.setdefault(r[4], len(number)) for r in rows])
-    times = np.bincount(which)
+    times = np.bincount(which, weights=[len(r[3]) for r in rows])
     size = np.fromiter(map(len, number), np.int64, len(number)) // WORD_BYTES
     raw = np.zeros((int(size.sum()), 8), np.uint8)
     raw[:, :WORD_BYTES] = np.frombuffer(b"".join(number), np.uint8).reshape(-1, WORD_BYTES)
@@ -185,7 +191,7 @@ def _solved(rows: list[tuple]) -> pa.RecordBatch:
         if w in found:
             ids.append(r[0])
             keys.append(r[1])
-            ranges.append([{"first": r[3] + a, "last": r[3] + b} for a, b in found[w]])
+            ranges.append([{"first": lo + a, "last": lo + b} for lo in r[3] for a, b in found[w]])
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(ranges, _RANGE)], ["doc_id", "key", "ranges"])
 
 
@@ -212,8 +218,9 @@ def _repeats(suffixes: DataFrame) -> DataFrame:
 def _longer_prefixes(suffixes: DataFrame) -> DataFrame:
     """As ``_repeats`` for groups of any size: suffixes meet by all their words, nothing is gathered by group.
 
-    Places with one word list are counted first; the windows of the differing
-    lists, with those counts, are then counted by the digest of their words.
+    Places with one word list are counted first (once a text already); the
+    windows of the differing lists, with those counts, are then counted by the
+    digest of their words.
     """
     spark = suffixes.sparkSession
 
@@ -225,12 +232,12 @@ def _longer_prefixes(suffixes: DataFrame) -> DataFrame:
                 digests = b"".join(map(xxhash.xxh3_128_digest, batch.column(4).to_pylist()))
                 d = np.frombuffer(digests, np.int64).reshape(-1, 2)
                 columns = [*(batch.column(c) for c in (0, 1, 3, 4)), *(pa.array(np.ascontiguousarray(d[:, c])) for c in (0, 1))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "lo", "words", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "los", "words", "d1", "d2"])
 
     path = scratch_path(spark, "lists")
-    suffixes.mapInArrow(told, "doc_id bigint, key bigint, lo int, words binary, d1 bigint, d2 bigint").write.parquet(path)
+    suffixes.mapInArrow(told, "doc_id bigint, key bigint, los array<int>, words binary, d1 bigint, d2 bigint").write.parquet(path)
     places = spark.read.parquet(path)
-    lists = places.groupBy("d1", "d2").agg(F.first("words").alias("words"), F.count("*").alias("n"))
+    lists = places.groupBy("d1", "d2").agg(F.first("words").alias("words"), F.sum(F.size("los")).alias("n"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -252,12 +259,12 @@ def _longer_prefixes(suffixes: DataFrame) -> DataFrame:
     windows = spark.read.parquet(path)
     several = windows.groupBy("w1", "w2").agg(F.sum("n").alias("times")).where("times > 1").select("w1", "w2")
     marked = windows.join(several, ["w1", "w2"]).groupBy("d1", "d2").agg(F.collect_list("at").alias("ats"))
-    one = F.transform("ats", lambda at: F.struct((F.col("lo") + at).alias("first"), (F.col("lo") + at).alias("last")))
-    return places.drop("words").join(marked, ["d1", "d2"]).select("doc_id", "key", one.alias("ranges"))
+    ranges = F.transform("los", lambda lo: F.transform("ats", lambda at: F.struct((lo + at).alias("first"), (lo + at).alias("last"))))
+    return places.drop("words").join(marked, ["d1", "d2"]).select("doc_id", "key", F.flatten(ranges).alias("ranges"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``key`` and ``ranges`` (first and last start) of repeated windows, a row an anchor."""
+    """``doc_id``, ``key`` and ``ranges`` (first and last start) of repeated windows, a row a text and word list."""
     spark = docs.sparkSession
     keyed = _keyed(docs)
     path = scratch_path(spark, "anchors")
