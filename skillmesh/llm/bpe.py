@@ -206,11 +206,21 @@ class _Block:
         using: list[np.ndarray] = []
         for _, _, rest in self.docs:
             using.append(np.fromiter(map(parts.__getitem__, rest), np.int64, len(rest)))
-        # Every part begins with the only space in it, which begins its first match.
-        found = self.find("".join([" " + p for p in parts])) if parts else []
+        # A part without white space at its ends begins with the only space in it,
+        # which begins its first match, so all of these are matched at once; the
+        # others would meet across their borders and are matched one by one.
+        alone = np.fromiter((not p or p[0].isspace() or p[-1].isspace() for p in parts), bool, len(parts))
+        place = np.empty(len(parts), np.int64)
+        place[np.argsort(alone, kind="stable")] = np.arange(len(parts))
+        using = [place[u] for u in using]
+        found = self.find("".join([" " + p for p, a in zip(parts, alone, strict=True) if not a]))
         codes = [np.fromiter(map(words.__getitem__, found), np.int64, len(found))]
         begins = np.flatnonzero(np.fromiter((w[0] == " " for w in found), bool, len(found)))
         n_words = [np.diff(begins, append=len(found))]
+        for part in [p for p, a in zip(parts, alone, strict=True) if a]:
+            own = [words[w] for w in self.find(" " + part)]
+            codes.append(np.array(own, np.int64))
+            n_words.append(np.array([len(own)]))
         for first in [x for _, x, _ in self.docs]:
             own = [words[w] for w in self.find(first)] if first else []
             codes.append(np.array(own, np.int64))

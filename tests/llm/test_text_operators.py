@@ -39,6 +39,19 @@ def test_bpe_equals_the_library_and_decodes(spark, odd, ranks):
     assert sorted(((r.doc_id, list(r.ids), r.decoded) for r in got.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_bpe_of_parts_with_white_space_at_their_ends(ranks):
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(12)
+    texts = ["the end\n", "Title \nbar x", "x ", " \t", " ", "a \u00a0b", "a\x1c \x1cb ", "last x"]
+    texts += ["".join(rng.choice(["a", "b1", " ", "\n", "\t", "'s", "\u3000"]) for _ in range(rng.randint(0, 9))) for _ in range(3000)]
+    block = bpe._Block(bpe.Merges(ranks), public_tokenizers.PATTERN)
+    for i, text in enumerate(texts):
+        block.add(i, text)
+    assert block.rows().column(1).to_pylist() == [library.encode_ordinary(t) for t in texts]
+
+
 def test_bpe_digests(odd, ranks):
     got = bpe.digests(bpe.decode(bpe.encode(odd, ranks, public_tokenizers.PATTERN), ranks)).where("doc_id = 0").first()
     assert (got.n_tokens, got.ids_sha256, got.decoded_sha256) == (0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest())
