@@ -2,12 +2,17 @@
 
 Texts and benchmark items are normalised: lower case, every run of anything
 but letters and digits is one space, UTF-8 bytes.  An item is cut into
-segments of ``SEGMENT`` bytes, one every ``STEP`` (a shorter item is one
-segment); a document holds an item if some segment lies in it within the
-segment's edit budget (one edit in sixteen bytes).
+segments of ``SEGMENT`` bytes, one every ``STEP``, and of ``PART`` bytes, one
+every half of that (an item of up to ``PART`` bytes is a segment as a whole); a
+document holds an item if some segment lies in it within the segment's edit
+budget (one edit in ten bytes).  So an unchanged run of ``SEGMENT`` bytes is
+found wherever it begins.
 
 By the q-gram lemma a segment of L bytes within k edits of a region shares at
 least L - q + 1 - k q of its q-grams with it, on diagonals at most k apart.
+In each run of texts, as many of a segment's q-grams are left out, those that
+the texts hold most often, as leave a bound of ``SHARED``; a segment with fewer
+of its q-grams in all the texts than its bound is left out as a whole.
 Each task counts the q-grams that a text shares with a segment in bands of
 diagonals twice as wide as that and overlapping by half, keeps the bands that
 meet the bound, and verifies them by an edit distance inside the band.
@@ -16,9 +21,9 @@ The benchmark is put into blocks of bounded size; each block's q-gram index
 travels with the job, and every whole text is searched for every block.
 Nothing is shuffled.
 
-Defined results: null and empty texts and items hold nothing; items under
-``LEAST`` normalised bytes are no evidence and are not searched for; repeated
-documents each get their own rows; items with one text each match (ties stay);
+Defined results: null and empty texts and items hold nothing; alignments do
+not pass from one text to the next; items under
+``LEAST`` normalised bytes are no evidence and are not searched for; repeated documents each get their own rows; items with one text each match (ties stay);
 repeated item ids count as one item with several texts; empty tables give an
 empty result; further columns are left out by ``find``, kept by ``remove``.
 """
@@ -32,13 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, mix64
 
-Q, SEGMENT, STEP, LEAST = 12, 64, 32, 40
+Q, SEGMENT, STEP, PART, LEAST = 8, 64, 12, 128, 40
 #: Bytes of segment for each edit of the budget.
-BYTES_AN_EDIT = 16
+BYTES_AN_EDIT = 10
+#: Q-grams that a segment has to share at least after the commonest are left out.
+SHARED = 8
 #: Half the width of a band of diagonals.
-HALF = SEGMENT // BYTES_AN_EDIT + 1
+HALF = PART // BYTES_AN_EDIT + 1
 #: Bytes of benchmark text in a block, on average.
 BLOCK_BYTES = 4_000_000
 #: Bytes of documents searched at once.
@@ -68,7 +75,7 @@ def grams(b: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         two = b[:-1] * one + b[1:]
         four = two[:-2] * (one * one) + two[2:]
-        return (four[:n] * one + four[4 : 4 + n]) * (one ^ np.uint64(0x5BD1E995)) + four[8 : 8 + n]
+        return mix64(four[:n] * (one ^ np.uint64(0x5BD1E995)) + four[4 : 4 + n])
 
 
 class Index:
@@ -80,12 +87,14 @@ class Index:
             b = normalised([text])[1:].tobytes().strip()
             if len(b) < LEAST:
                 continue
-            cuts = range(0, max(len(b) - SEGMENT, 0) + 1, STEP)
-            own = {b[c : c + SEGMENT] for c in cuts} | {b[-SEGMENT:]}
+            own = set()
+            for width, step in ((SEGMENT, STEP), (PART, PART // 2)):
+                cuts = range(0, max(len(b) - width, 0) + 1, step)
+                own |= {b[c : c + width] for c in cuts} | {b[-width:]}
             segments += [(item, s) for s in sorted(own)]
         self.item = np.array([i for i, _ in segments], np.int64)
         self.length = np.array([len(s) for _, s in segments], np.int64)
-        self.bytes = np.zeros((len(segments), SEGMENT), np.uint8)
+        self.bytes = np.zeros((len(segments), PART), np.uint8)
         gram, of, at = [], [], []
         for k, (_, s) in enumerate(segments):
             self.bytes[k, : len(s)] = np.frombuffer(s, np.uint8)
@@ -100,52 +109,75 @@ class Index:
         self.budget[low] = (self.length[low] - Q) // Q
         self.bound = self.length - Q + 1 - self.budget * Q
         gram = np.concatenate(gram) if gram else np.zeros(0, np.uint64)
+        of = np.concatenate(of) if of else np.zeros(0, np.int64)
+        at = np.concatenate(at) if at else np.zeros(0, np.int64)
         order = np.argsort(gram, kind="stable")
         self.gram, first = np.unique(gram[order], return_index=True)
         self.first = np.append(first, len(gram))
-        self.of = (np.concatenate(of) if of else np.zeros(0, np.int64))[order]
-        self.at = (np.concatenate(at) if at else np.zeros(0, np.int64))[order]
+        self.of, self.at = of[order], at[order]
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.gram >> np.uint64(42)).astype(np.int64)] = True
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
         """Text number, item, its segments found and their fewest edits."""
-        if not len(self.item) or not texts:
+        if not texts:
             return []
         b = normalised(texts)
+        starts = np.flatnonzero(b == 0)
+        found: dict[tuple[int, int], tuple[set, int]] = {}
+        where, number, item, edits = self._segments(b)
+        if len(where):
+            text = np.searchsorted(starts, where, side="right") - 1
+            for t, s, i, e in zip(text.tolist(), number.tolist(), item.tolist(), edits.tolist(), strict=True):
+                own, least = found.get((t, i), (set(), e))
+                own.add(s)
+                found[t, i] = own, min(least, e)
+        return [(t, i, len(own), e) for (t, i), (own, e) in sorted(found.items())]
+
+    def _segments(self, b: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Place (its middle), number, item and edits of the segments within their budget."""
+        nothing = (np.zeros(0, np.int64),) * 4
+        if not len(self.item):
+            return nothing
         g = grams(b)
         hit = np.flatnonzero(self.bits[(g >> np.uint64(42)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.gram, g[hit]), len(self.gram) - 1)
         same = self.gram[at] == g[hit]
         hit, at = hit[same], at[same]
         if not len(hit):
-            return []
-        n = self.first[at + 1] - self.first[at]
-        place = np.repeat(self.first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            return nothing
+        # Of the q-grams that the texts hold, those left out of each segment.
+        times = np.bincount(at, minlength=len(self.gram))
+        row = np.flatnonzero(np.repeat(times > 0, np.diff(self.first)))
+        often = np.repeat(times, np.diff(self.first))[row]
+        row = row[np.lexsort((-often, self.of[row]))]
+        own, begin, n = np.unique(self.of[row], return_index=True, return_counts=True)
+        nth = np.arange(len(row)) - np.repeat(begin, n)
+        fewer = np.maximum(self.bound - SHARED, 0)
+        row = np.sort(row[(nth >= np.repeat(fewer[own], n)) & np.repeat(n >= self.bound[own], n)])
+        first = np.searchsorted(row, self.first)
+        n = first[at + 1] - first[at]
+        place = row[np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
         where, segment = np.repeat(hit, n), self.of[place]
         # Diagonals, shifted so that none is negative; two overlapping bands hold each.
-        diagonal = where - self.at[place] + SEGMENT
-        bands = (len(b) + 2 * SEGMENT) // HALF + 3
-        key = np.concatenate([segment * bands + diagonal // HALF, segment * bands + diagonal // HALF + 1])
+        diagonal = where - self.at[place] + PART
+        bands = (len(b) + 2 * PART) // HALF + 3
         # A q-gram counts once in a band, wherever it stands in it.
-        twice = np.unique(np.stack([key, np.concatenate([self.at[place]] * 2)], 1), axis=0)
-        keys, shared = np.unique(twice[:, 0], return_counts=True)
+        key = (segment * bands + diagonal // HALF) * PART + self.at[place]
+        twice = np.sort(np.concatenate([key, key + PART]))
+        twice = twice[np.diff(twice, prepend=-1) > 0] // PART
+        begins = np.flatnonzero(np.diff(twice, prepend=-1))
+        keys, shared = twice[begins], np.diff(begins, append=len(twice))
         segment, band = keys // bands, keys % bands
-        on = shared >= self.bound[segment]
+        on = shared >= np.minimum(self.bound, SHARED)[segment]
         segment, band = segment[on], band[on]
         if not len(segment):
-            return []
-        edits = self._edits(b, segment, (band - 1) * HALF - SEGMENT)
+            return nothing
+        edits = self._edits(b, segment, (band - 1) * HALF - PART)
         good = edits <= self.budget[segment]
-        starts = np.flatnonzero(b == 0)
-        middle = np.clip((band[good] - 1) * HALF - SEGMENT + HALF + self.length[segment[good]] // 2, 0, len(b) - 1)
-        text = np.searchsorted(starts, middle, side="right") - 1
-        found: dict[tuple[int, int], tuple[set, int]] = {}
-        for t, s, e in zip(text.tolist(), segment[good].tolist(), edits[good].tolist(), strict=True):
-            own, least = found.get((t, int(self.item[s])), (set(), e))
-            own.add(s)
-            found[t, int(self.item[s])] = own, min(least, e)
-        return [(t, i, len(own), e) for (t, i), (own, e) in sorted(found.items())]
+        segment, band = segment[good], band[good]
+        middle = np.clip((band - 1) * HALF - PART + HALF + self.length[segment] // 2, 0, len(b) - 1)
+        return middle, segment, self.item[segment], edits[good]
 
     def _edits(self, b: np.ndarray, segment: np.ndarray, first: np.ndarray, group: int = 8192) -> np.ndarray:
         """Edits between each segment and the text on the diagonals from ``first`` on, a band wide.
@@ -154,22 +186,27 @@ class Index:
         Diagonals reach as far to both sides as the budget, so that alignments
         that start or end at the band's edge fit.
         """
-        reach = SEGMENT // BYTES_AN_EDIT
+        reach = PART // BYTES_AN_EDIT
         width = 2 * HALF + 2 * reach
-        far = np.int64(10 * SEGMENT)
+        far = np.int32(10 * PART)
         step = np.arange(width)
         out = np.empty(len(segment), np.int64)
+        order = np.argsort(self.length[segment], kind="stable")
         for k in range(0, len(segment), group):
-            s, base = segment[k : k + group], first[k : k + group, None] - reach + step
-            cost = np.zeros((len(s), width), np.int64)
-            for i in range(SEGMENT):
+            own = order[k : k + group]
+            s, base = segment[own], first[own, None] - reach + step
+            cost = np.zeros((len(s), width), np.int32)
+            for i in range(self.length[s[-1]]):
                 at = base + i
                 here = np.where((at >= 0) & (at < len(b)), b[np.clip(at, 0, len(b) - 1)], 0)
-                down = np.concatenate([cost[:, 1:], np.full((len(s), 1), far)], axis=1) + 1
-                new = np.minimum(cost + (here != self.bytes[s, i][:, None]), down)
-                new = np.minimum.accumulate(new - step, axis=1) + step
+                # No alignment passes the byte between two texts.
+                between = np.where(here == 0, far, np.int32(0))
+                down = np.concatenate([cost[:, 1:], np.full((len(s), 1), far)], axis=1) + np.int32(1)
+                new = np.minimum(cost + (here != self.bytes[s, i][:, None]) + between, down)
+                walked = np.cumsum(between + np.int32(1), axis=1, dtype=np.int32)
+                new = np.minimum.accumulate(new - walked, axis=1) + walked
                 cost = np.where((i < self.length[s])[:, None], new, cost)
-            out[k : k + group] = cost.min(axis=1)
+            out[own] = cost.min(axis=1)
         return out
 
 

@@ -248,6 +248,33 @@ def test_decontamination_equals_alignment_of_all_segments(spark, odd):
     assert decontamination.remove(odd, benchmark).count() == odd.count()
 
 
+def holding(items: list[str], texts: list[str]) -> set[tuple[int, int]]:
+    return {(t, i) for t, i, *_ in decontamination.Index(list(enumerate(items))).search(texts)}
+
+
+def test_decontamination_finds_copies_with_replaced_words_and_verbatim_parts():
+    rng = random.Random(21)
+    items, texts = [], []
+    for k in range(60):
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(6 + k % 30)]
+        items.append(" ".join(words))
+        # One word of six letters in the middle, every eighth word in longer items, is another one.
+        changed = ["zzzzzz" if i == len(words) // 2 % 8 + i // 8 * 8 and (i < 8 or len(words) > 17) else w for i, w in enumerate(words)]
+        if len(words) < 10:
+            changed = [*words[: len(words) // 2], words[len(words) // 2][:3] + "zzz", *words[len(words) // 2 + 1 :]]
+        texts.append(invented(rng, 15) + " " + " ".join(changed) + " " + invented(rng, 15))
+    long = [k for k in range(60) if len(items[k]) > 140]
+    texts += [invented(rng, 15) + items[k][c : c + 64] + invented(rng, 15) for k in long for c in range(3, 70, 7)]
+    want = {(k, k) for k in range(60)} | {(60 + i, k) for i, k in enumerate(k for k in long for _ in range(3, 70, 7))}
+    got = holding(items, texts)
+    assert got == want
+
+
+def test_decontamination_aligns_no_item_across_two_texts():
+    item = " ".join(f"word{k}" for k in range(30))
+    assert holding([item[:60]], ["x " + item[:30], item[30:60]]) == set()
+
+
 def test_decontamination_in_blocks_and_on_empty_tables(spark, odd, nothing, monkeypatch):
     text = odd.where("doc_id = 9").first().text
     benchmark = spark.createDataFrame([(k, text[200 * k : 200 * k + 150]) for k in range(8)], "item_id bigint, text string")
