@@ -6,7 +6,8 @@ segments of ``SEGMENT`` bytes, one every ``STEP``, and of ``PART`` bytes, one
 every half of that (an item of up to ``PART`` bytes is a segment as a whole); a
 document holds an item if some segment lies in it within the segment's edit
 budget (one edit in ten bytes).  So an unchanged run of ``SEGMENT`` bytes is
-found wherever it begins.
+found wherever it begins.  Items under ``LEAST`` bytes are held if they lie in
+the document unchanged, from word border to word border.
 
 By the q-gram lemma a segment of L bytes within k edits of a region shares at
 least L - q + 1 - k q of its q-grams with it, on diagonals at most k apart.
@@ -22,8 +23,8 @@ travels with the job, and every whole text is searched for every block.
 Nothing is shuffled.
 
 Defined results: null and empty texts and items hold nothing; alignments do
-not pass from one text to the next; items under
-``LEAST`` normalised bytes are no evidence and are not searched for; repeated documents each get their own rows; items with one text each match (ties stay);
+not pass from one text to the next; an item under ``LEAST`` bytes counts as one
+segment without edits; repeated documents each get their own rows; items with one text each match (ties stay);
 repeated item ids count as one item with several texts; empty tables give an
 empty result; further columns are left out by ``find``, kept by ``remove``.
 """
@@ -78,20 +79,35 @@ def grams(b: np.ndarray) -> np.ndarray:
         return mix64(four[:n] * (one ^ np.uint64(0x5BD1E995)) + four[4 : 4 + n])
 
 
+def _packed(b: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` bytes (8 at most) from each place on as one number."""
+    out = np.zeros(len(at), np.uint64)
+    for i in range(width):
+        out = out << np.uint64(8) | b[at + i].astype(np.uint64)
+    return out
+
+
 class Index:
     """The q-grams of the segments of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]]):
         segments: list[tuple[int, bytes]] = []
+        short: set[tuple[int, bytes]] = set()
         for item, text in items:
             b = normalised([text])[1:].tobytes().strip()
             if len(b) < LEAST:
+                short |= {(item, b)} if b else set()
                 continue
             own = set()
             for width, step in ((SEGMENT, STEP), (PART, PART // 2)):
                 cuts = range(0, max(len(b) - width, 0) + 1, step)
                 own |= {b[c : c + width] for c in cuts} | {b[-width:]}
             segments += [(item, s) for s in sorted(own)]
+        self.short = sorted(short)
+        self.short_length = np.array([len(s) for _, s in self.short], np.int64)
+        self.short_bytes = np.zeros((len(self.short), LEAST), np.uint8)
+        for k, (_, s) in enumerate(self.short):
+            self.short_bytes[k, : len(s)] = np.frombuffer(s, np.uint8)
         self.item = np.array([i for i, _ in segments], np.int64)
         self.length = np.array([len(s) for _, s in segments], np.int64)
         self.bytes = np.zeros((len(segments), PART), np.uint8)
@@ -125,8 +141,7 @@ class Index:
         b = normalised(texts)
         starts = np.flatnonzero(b == 0)
         found: dict[tuple[int, int], tuple[set, int]] = {}
-        where, number, item, edits = self._segments(b)
-        if len(where):
+        for where, number, item, edits in (self._segments(b), self._shorts(b)):
             text = np.searchsorted(starts, where, side="right") - 1
             for t, s, i, e in zip(text.tolist(), number.tolist(), item.tolist(), edits.tolist(), strict=True):
                 own, least = found.get((t, i), (set(), e))
@@ -134,6 +149,35 @@ class Index:
                 found[t, i] = own, min(least, e)
         return [(t, i, len(own), e) for (t, i), (own, e) in sorted(found.items())]
 
+    def _shorts(self, b: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Place, number (negative), item and edits (0) of the short items, each between word borders."""
+        where, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if self.short:
+            b = np.concatenate([b, np.zeros(LEAST + 1, np.uint8)])
+            border = (b == 0) | (b == 32)
+            begins = np.flatnonzero(border[:-1] & ~border[1:]) + 1
+        head = np.minimum(self.short_length, 8)
+        for width in np.unique(head):
+            rows = np.flatnonzero(head == width)
+            heads = _packed(self.short_bytes.ravel(), rows * LEAST, width)
+            rows = rows[np.argsort(heads, kind="stable")]
+            keys = np.sort(heads)
+            own = _packed(b, begins, width)
+            low = np.searchsorted(keys, own)
+            n = np.searchsorted(keys, own, side="right") - low
+            place = np.repeat(begins, n)
+            of = rows[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            for k in range(0, len(of), 65536):
+                p, o = place[k : k + 65536], of[k : k + 65536]
+                step = np.arange(LEAST)
+                same = (b[p[:, None] + step] == self.short_bytes[o]) | (step >= self.short_length[o, None])
+                on = same.all(axis=1) & border[p + self.short_length[o]]
+                where.append(p[on])
+                which.append(o[on])
+        which = np.concatenate(which)
+        item = np.array([i for i, _ in self.short], np.int64)
+        return np.concatenate(where), -1 - which, item[which], np.zeros(len(which), np.int64)
+
     def _segments(self, b: np.ndarray) -> tuple[np.ndarray, ...]:
         """Place (its middle), number, item and edits of the segments within their budget."""
         nothing = (np.zeros(0, np.int64),) * 4

@@ -252,6 +252,12 @@ def holding(items: list[str], texts: list[str]) -> set[tuple[int, int]]:
     return {(t, i) for t, i, *_ in decontamination.Index(list(enumerate(items))).search(texts)}
 
 
+def test_decontamination_finds_short_items_between_word_borders():
+    items = ["What is the capital of France?", "a b", "Yes", "capital", "the capital of France is here today"]
+    texts = ["So: what is the CAPITAL of France", "yes", "eyes b a", "what is the capital of Frances", "x a, b", ""]
+    assert holding(items, texts) == {(0, 0), (0, 3), (1, 2), (3, 3), (4, 1)}
+
+
 def test_decontamination_finds_copies_with_replaced_words_and_verbatim_parts():
     rng = random.Random(21)
     items, texts = [], []
