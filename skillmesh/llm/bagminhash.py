@@ -23,6 +23,10 @@ overlap of the multisets.  What is linked is merged before the next part of the
 bands, in whole (least id) after the last; then rounds go on with larger buckets that still hold
 several classes, each round with another order, until a round links nothing.
 No bucket is gathered and none gives more than a few pairs a member and round.
+The classes of larger buckets that then still have several roots are joined
+exactly: two multisets at the threshold share an element among the first of
+each in an order by rarity (prefix filter), at places that leave room for the
+overlap needed, so all other pairs are excluded and these are verified.
 
 Defined results: null texts and texts without words are alike (one class of
 empty multisets); ties are broken by the least id; a repeated id is one
@@ -54,6 +58,8 @@ GROUPS = 3
 BETWEEN = 2
 #: Rounds after those over the larger buckets; they end before when nothing new is linked.
 MOST_ROUNDS = 6
+#: Counters by which the exact join orders elements; several elements may share one.
+COUNTERS = 1 << 20
 
 
 def shingles(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,6 +263,62 @@ def _neighbours(placed: DataFrame) -> DataFrame:
     return ordered.select("band", "id", "root").mapInArrow(run, "x bigint, y bigint")
 
 
+def _elements(sets: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A multiset as a set: an element for each time that a shingle occurs."""
+    items, counts = sets
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return mix64(np.repeat(items, counts) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _exact_pairs(texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``a`` < ``b`` with different roots of ``texts`` (``id``, ``root``, ``text``), among them all near duplicates."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, total = WordHashes(), np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for _, own in _texts(batch, 0):
+                found = np.concatenate([_elements(shingles(hashes.of(split_words(t)))) for t in own])
+                total += np.bincount((found % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["counter", "times"])
+
+    counted = texts.select("text").mapInArrow(tally, "counter bigint, times bigint").groupBy("counter").agg(F.sum("times").alias("times")).toArrow()
+    times = np.zeros(COUNTERS, np.int64)
+    times[counted.column("counter").to_numpy()] = counted.column("times").to_numpy()
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for k, own in _texts(batch, 2):
+                sets = [_elements(shingles(hashes.of(split_words(t)))) for t in own]
+                size = np.array([len(x) for x in sets], np.int64)
+                # The least overlap with any other multiset is the threshold's share of the own size.
+                first = np.where(size > 0, size - np.ceil(threshold * size - 1e-6).astype(np.int64) + 1, 0)
+                head = [x[np.lexsort((x, times[(x % np.uint64(COUNTERS)).astype(np.int64)]))][:n] for x, n in zip(sets, first, strict=True)]
+                row = np.repeat(np.arange(len(sets)), first)
+                columns = [
+                    pa.array(np.concatenate(head).view(np.int64)),
+                    batch.column(0).slice(k, len(own)).take(pa.array(row)),
+                    batch.column(1).slice(k, len(own)).take(pa.array(row)),
+                    pa.array(size[row]),
+                    pa.array(np.arange(len(row)) - np.repeat(np.cumsum(first) - first, first) + 1),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["element", "id", "root", "size", "at"])
+
+    heads = _written(texts.select("id", "root", "text").mapInArrow(prefixes, "element bigint, id bigint, root bigint, size bigint, at bigint"), "heads")
+    several = heads.groupBy("element").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("element")
+    heads = _written(heads.join(several, "element", "left_semi"), "heads")
+    x = heads.select("element", *[F.col(c).alias(f"{c}_x") for c in ("id", "root", "size", "at")])
+    y = heads.select("element", *[F.col(c).alias(f"{c}_y") for c in ("id", "root", "size", "at")])
+    least = F.lit(threshold / (1 + threshold)) * (F.col("size_x") + F.col("size_y")) - 1e-6
+    fits = (F.col("size_x") >= F.lit(threshold) * F.col("size_y") - 1e-6) & (
+        F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y")) + 1 >= least
+    )
+    ordered = "root_x != root_y AND (size_x < size_y OR size_x = size_y AND id_x < id_y)"
+    pairs = x.join(y, "element").where(ordered).where(fits)
+    return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+
+
 def _one_text_an_id(texts: DataFrame, sketches: DataFrame) -> DataFrame | None:
     """``texts`` with the least text of each repeated id, None where no id is repeated."""
     repeated = sketches.groupBy("doc_id").count().where("count > 1").select("doc_id")
@@ -309,6 +371,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             roots = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
         elif not first_pass:
             break
+    rooted = buckets.where(F.col("n") > ALL_PAIRS).select("band", "id")
+    if roots is None:
+        rooted = rooted.withColumn("root", F.col("id"))
+    else:
+        rooted = rooted.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    several = rooted.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("band")
+    open_ = _written(rooted.join(several, "band", "left_semi").select("id", "root").distinct(), "open")
+    if open_.head(1):
+        pairs = _exact_pairs(open_.join(texts.withColumnRenamed("doc_id", "id"), "id"), threshold)
+        pairs = _written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        new = _written(verified(pairs, texts, threshold), "links").select(F.col("b").alias("u"), F.col("a").alias("v"))
+        if new.head(1):
+            edges = merged(new if edges is None else edges.unionAll(new))
+            roots = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
     if roots is None:
         return members.select("doc_id", F.col("id").alias("class_id"))
     return members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.coalesce("root", "id").alias("class_id"))

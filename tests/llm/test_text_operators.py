@@ -182,6 +182,29 @@ def test_near_duplicates_in_a_large_group(spark):
     assert got == plain_classes(texts)
 
 
+def test_near_duplicates_isolated_pairs_among_texts_of_one_template(spark):
+    rng = random.Random(31)
+    base = [f"w{k}" for k in range(300)]
+    texts, want = {}, {}
+
+    def changed(words, n):
+        out = list(words)
+        for k in rng.sample(range(10, 290), n):
+            out[k] = f"own{rng.random()}"
+        return out
+
+    for i in range(1500):
+        own = changed(base, 8)
+        texts[i], want[i] = " ".join(own), i
+        if i % 15 == 0:
+            other = changed(own, 6)
+            sets = [bagminhash.shingles(WordHashes().of([w.encode() for w in x])) for x in (own, other)]
+            texts[5000 + i], want[5000 + i] = " ".join(other), i if bagminhash.overlap(*sets) >= 0.8 else 5000 + i
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert sum(want[i] != i for i in want) > 50
+    assert {r.doc_id: r.class_id for r in bagminhash.near_duplicates(docs).collect()} == want
+
+
 def test_keep_one_keeps_columns_and_rows_without_id(odd):
     kept = bagminhash.keep_one(odd)
     assert kept.columns == odd.columns
