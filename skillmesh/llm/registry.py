@@ -13,12 +13,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bagminhash, bpe, decontamination, pii, quality_model, quality_rules, substring_dedup, token_output, toxicity, url_filter
+from . import (
+    bagminhash,
+    bpe,
+    decontamination,
+    hard_negatives,
+    lexical_search,
+    pii,
+    quality_model,
+    quality_rules,
+    substring_dedup,
+    token_counts,
+    token_output,
+    toxicity,
+    url_filter,
+)
 from .common import crc_mod, table
 
 #: The rules of the URL query.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 TOXIC_FROM, QUALITY_FROM = 0.3, 0.5
+#: Tokens of a context window, above which a document is over the limit.
+CONTEXT_TOKENS = 1024
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +93,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = rows.select("vec_id", label.alias("label"), F.col("embedding").alias("vector"))
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as vocabulary:
+        return token_counts.within_limit(table(spark, sf_dir, "documents"), vocabulary.read(), CONTEXT_TOKENS)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -90,6 +122,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_personal_data,
         op9_url_filter,
         op10_quality_rules,
+        op11_hard_negatives,
+        op12_token_counts,
+        op13_lexical_search,
     )
 }
 
@@ -145,4 +180,54 @@ ORACLE_SQL = {
                 OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
         FROM measures
     """,
+    "op11_hard_negatives": r"""
+        WITH kept AS (
+            SELECT row_number() OVER () AS row_id, vec_id,
+                CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scores AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, b.row_id,
+                CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+            FROM kept a, kept b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+        ), positives AS (
+            SELECT anchor_id, other_id AS positive_id, row_id, score AS positive_score FROM scores WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+        )
+        SELECT anchor_id, positive_id, CAST(row_number() OVER each AS INTEGER) AS rank,
+            other_id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scores USING (anchor_id)
+        WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+        WINDOW each AS (PARTITION BY anchor_id, positives.row_id ORDER BY score DESC, other_id)
+        QUALIFY row_number() OVER each <= 5
+    """,
+    "op13_lexical_search": r"""
+        WITH texts AS (
+            SELECT row_number() OVER () AS row_id, doc_id,
+                regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ), totals AS (
+            SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_all FROM texts WHERE len(terms) > 0
+        ), counts AS (
+            SELECT row_id, doc_id, CAST(len(terms) AS BIGINT) AS n, term, CAST(count(*) AS BIGINT) AS tf
+            FROM (SELECT row_id, doc_id, terms, unnest(terms) AS term FROM texts) GROUP BY ALL
+        ), weights AS (
+            SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+            FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), totals
+        ), items AS (
+            SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+        ), scored AS (
+            SELECT item_id, row_id, doc_id,
+                CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_all)))) AS BIGINT) AS score
+            FROM items JOIN counts USING (term) JOIN weights USING (term), totals
+            GROUP BY item_id, row_id, doc_id
+        )
+        SELECT item_id, CAST(row_number() OVER each AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+        WINDOW each AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+        QUALIFY row_number() OVER each <= 10
+    """,
 }
