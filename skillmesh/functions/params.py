@@ -6,7 +6,8 @@ Limits and pages arrive as text from callers; the lookups accept anything
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from skillmesh.fixed import DEFAULT_LOOKUP_LIMIT
 
@@ -36,6 +37,7 @@ def slice_sorted(df: DataFrame, start: int, stop: int | None) -> DataFrame:
     Non-negative bounds become ``offset``/``limit`` on the sorted plan, which
     Spark executes as a distributed top-k.  Negative bounds count from the
     end and need the row count, so only that rare path runs a ``count()``.
+    For deep pages of a large table see ``functions/paging.py``.
     """
     if start >= 0 and (stop is None or stop >= 0):
         if stop is not None:
@@ -47,3 +49,10 @@ def slice_sorted(df: DataFrame, start: int, stop: int | None) -> DataFrame:
     n = max(0, hi - lo)
     out = df.limit(lo + n)
     return out.offset(lo) if lo else out
+
+
+def coerced_limits(col: str, default: int = DEFAULT_LOOKUP_LIMIT) -> Column:
+    """A text column of limits as numbers: empty and NULL give NULL (no
+    limit), texts that are no number give ``default`` (X12)."""
+    text = F.trim(F.col(col).cast("string"))
+    return F.when(text != "", F.coalesce(text.try_cast("int"), F.lit(default)))

@@ -1,38 +1,63 @@
 """Lookups over the summary tables (Q3-Q8).
 
 All of them are filters and sorts on DataFrames; ``orderBy().limit()`` runs
-as a distributed top-k (TakeOrderedAndProject), and paging uses
-``offset``/``limit`` on the sorted plan.  Ties are broken by the name
-column so results are deterministic.
+as a distributed top-k (TakeOrderedAndProject); deep pages and those counted
+from the end read their own partitions of a range-partitioned order
+(``functions/paging.py``).  Ties are broken by the name column so results are
+deterministic.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skillmesh.fixed import DEFAULT_LOOKUP_LIMIT
-from skillmesh.functions.params import coerce_limit, slice_sorted
+from skillmesh.functions import paging
+from skillmesh.functions.paging import slice_ordered
+from skillmesh.functions.params import coerce_limit, coerced_limits
 from skillmesh.functions.text import contains_ci, country_equals, not_blank, year_of
 from skillmesh.operators.reshape import unnest_job_counts
 from skillmesh.operators.rollups import sort_job_list
 
 
+#: Groups in which a country's titles are ranked and counted before they meet.
+SALTS = 64
+
+
+def _by_count(name: str) -> list[Column]:
+    return [F.desc("count"), F.asc(name)]
+
+
 def global_skills(skill_counts: DataFrame, limit=None) -> DataFrame:
     """``skill, count`` by count desc (Q3); ``limit`` false → all rows,
     non-numbers → 10."""
-    ordered = skill_counts.select("skill", "count").orderBy(F.desc("count"), F.asc("skill"))
-    return slice_sorted(ordered, 0, coerce_limit(limit))
+    return slice_ordered(skill_counts.select("skill", "count"), _by_count("skill"), 0, coerce_limit(limit))
 
 
 def skills_by_country(skill_counts_by_country: DataFrame, country: str, limit=None) -> DataFrame:
     """``skill, count, search_country`` of one country, any case (Q4)."""
-    ordered = (
-        skill_counts_by_country.filter(country_equals(skill_counts_by_country, country))
-        .select("skill", "count", "search_country")
-        .orderBy(F.desc("count"), F.asc("skill"))
-    )
-    return slice_sorted(ordered, 0, coerce_limit(limit))
+    own = skill_counts_by_country.filter(country_equals(skill_counts_by_country, country))
+    return slice_ordered(own.select("skill", "count", "search_country"), _by_count("skill"), 0, coerce_limit(limit))
+
+
+def skills_by_country_requests(skill_counts_by_country: DataFrame, requests: DataFrame) -> DataFrame:
+    """``request_id, rank, skill, count, search_country`` for many requests
+    (``request_id, country, limit`` as texts) at once: Q4 with each request's own limit.
+
+    Requests of one country (any case) share its ranking, which is cut to the
+    largest limit asked of the country; a limit below zero counts from the end, as in a slice.
+    """
+    asked = requests.select("request_id", F.lower("country").alias("asked"), coerced_limits("limit").alias("most"))
+    bound = F.when(F.min(F.coalesce("most", F.lit(-1))) < 0, F.lit(None)).otherwise(F.max("most"))
+    wanted = asked.groupBy("asked").agg(bound.alias("bound"))
+    counts = skill_counts_by_country.join(wanted, F.lower("search_country") == F.col("asked"))
+    own = Window.partitionBy("asked")
+    ranked = counts.withColumn("rank", F.row_number().over(own.orderBy(F.desc("count"), F.asc("skill"), "search_country")))
+    ranked = ranked.withColumn("total", F.count(F.lit(1)).over(own)).where(F.col("bound").isNull() | (F.col("rank") <= F.col("bound")))
+    last = F.when(F.col("most") < 0, F.col("total") + F.col("most")).otherwise(F.col("most"))
+    found = asked.join(ranked.drop("bound"), "asked").where(F.col("most").isNull() | (F.col("rank") <= last))
+    return found.select("request_id", "rank", "skill", "count", "search_country")
 
 
 def _country_titles(job_counts_by_country: DataFrame, country: str) -> DataFrame:
@@ -54,47 +79,63 @@ def jobs_by_country_page(job_counts_by_country: DataFrame, country: str, limit=N
     ``limit`` false → every title; ``limit`` or ``page`` not a number → the
     first 10 titles; an empty country → no rows.
     """
-    titles = _country_titles(job_counts_by_country, country or "")
-    ordered = titles.select("search_country", "job_title", "count").orderBy(
-        F.desc("count"), F.asc("job_title")
-    )
+    titles = _country_titles(job_counts_by_country, country or "").select("search_country", "job_title", "count")
     if not country:
-        return ordered.limit(0)
+        return titles.limit(0)
+    return slice_ordered(titles, _by_count("job_title"), *_page_bounds(limit, page))
+
+
+def _page_bounds(limit, page) -> tuple[int, int | None]:
+    """Bounds of a page as of a Python slice."""
     if not limit:
-        return ordered
+        return 0, None
     try:
         limit, page = int(limit), int(page)
     except (TypeError, ValueError):
-        return slice_sorted(ordered, 0, DEFAULT_LOOKUP_LIMIT)
+        return 0, DEFAULT_LOOKUP_LIMIT
     start = (page - 1) * limit
-    return slice_sorted(ordered, start, start + limit)
+    return start, start + limit
 
 
 def jobs_by_country(job_counts_by_country: DataFrame, country: str, limit=None, page=1) -> DataFrame:
     """``search_country, data, total_jobs, showing`` (Q5): ``data`` is the page
     of titles, ``total_jobs`` the number of titles before paging and
-    ``showing`` after.  No row when the country is absent, empty or None."""
+    ``showing`` after.  No row when the country is absent, empty or None.
+
+    One pass over the nested table gives both: the country's titles are counted and ranked in
+    ``SALTS`` groups, each of which sends its count and its first rows up to
+    the end of the page.  A deep page comes from the ordered table, whose partition counts
+    are the total.  Without a limit the list is the whole country, as asked.
+    """
     titles = _country_titles(job_counts_by_country, country or "")
-    page_rows = jobs_by_country_page(job_counts_by_country, country, limit, page)
-    # All titles (for the total) and the page (for the list) go through one
-    # aggregate; only the page's entries are collected.
-    cols = ["search_country", "job_title", "count"]
-    both = titles.select(*cols, F.lit(False).alias("on_page")).unionByName(
-        page_rows.select(*cols, F.lit(True).alias("on_page"))
-    )
-    agg = both.agg(
-        F.array_min(F.collect_set(F.when(~F.col("on_page"), F.col("search_country")))).alias("search_country"),
-        F.count(F.when(~F.col("on_page"), 1)).alias("total_jobs"),
-        sort_job_list(
-            F.collect_list(F.when(F.col("on_page"), F.struct("job_title", "count")))
-        ).alias("data"),
-    )
-    return agg.filter((F.col("total_jobs") > 0) & F.lit(bool(country))).select(
-        "search_country",
-        "data",
-        "total_jobs",
-        F.size("data").cast("long").alias("showing"),
+    start, stop = _page_bounds(limit, page)
+    if not country:
+        titles = titles.limit(0)
+    elif stop is not None and not paging.is_shallow(start, stop):
+        table = paging.OrderedTable(titles, _by_count("job_title"))
+        name = F.array_min(F.collect_set("search_country")).alias("search_country")
+        shown = table.slice(start, stop).agg(sort_job_list(F.collect_list(F.struct("job_title", "count"))).alias("data"))
+        whole = table.rows.agg(name, F.count(F.lit(1)).alias("total_jobs")).where("total_jobs > 0")
+        # Two tables of one row each.
+        return _country_answer(whole.withColumn("one", F.lit(1)).join(shown.withColumn("one", F.lit(1)), "one"))
+    group = Window.partitionBy("salt")
+    salted = titles.withColumn("salt", F.pmod(F.xxhash64("job_title"), F.lit(SALTS)))
+    salted = salted.withColumn("n", F.count(F.lit(1)).over(group)).withColumn("name", F.min("search_country").over(group))
+    ranked = salted.withColumn("rank", F.row_number().over(group.orderBy(*_by_count("job_title"))))
+    if stop is not None:
+        ranked = ranked.where(F.col("rank") <= max(stop, 1))
+    found = ranked.agg(
+        F.array_min(F.collect_set("name")).alias("search_country"),
+        F.coalesce(F.sum(F.when(F.col("rank") == 1, F.col("n"))), F.lit(0)).alias("total_jobs"),
+        sort_job_list(F.collect_list(F.struct("job_title", "count"))).alias("data"),
     )
+    if stop is not None:
+        found = found.withColumn("data", F.slice("data", start + 1, max(stop - start, 0)))
+    return _country_answer(found)
+
+
+def _country_answer(found: DataFrame) -> DataFrame:
+    return found.where("total_jobs > 0").select("search_country", "data", "total_jobs", F.size("data").cast("long").alias("showing"))
 
 
 def trend_by_year(job_counts_by_month: DataFrame, year) -> DataFrame:

@@ -54,26 +54,24 @@ def top_skills_per_title(weights: DataFrame, top_skills: int = DEFAULT_TOP_SKILL
     """``job_title, count, rank, skill, weight`` keeping the ``top_skills``
     heaviest non-blank skills of each title (W1, F9, L6); ``count`` is the
     title's posting count (A5)."""
-    return _ranked(weights, _counts_of(weights), top_skills)
+    counts = _counts_of(weights).withColumnRenamed("job_title", "counted_title")
+    top = _ranked(weights, top_skills)
+    return top.join(counts, F.col("job_title").eqNullSafe(F.col("counted_title"))).select(*_TOP)
+
+
+_TOP = ["job_title", "count", "rank", "skill", "weight"]
 
 
 def _counts_of(weights: DataFrame) -> DataFrame:
     return weights.groupBy("job_title").agg(F.sum("starts").cast("long").alias("count"))
 
 
-def _ranked(weights: DataFrame, counts: DataFrame, top_skills: int) -> DataFrame:
-    """The heaviest skills of the titles in ``counts``."""
+def _ranked(weights: DataFrame, top_skills: int) -> DataFrame:
+    """The heaviest non-blank skills of each title, numbered."""
     ranked = Window.partitionBy("job_title").orderBy(
         (F.col("skill") == "").asc(), F.desc("weight"), F.asc("skill")
     )
-    counts = counts.withColumnRenamed("job_title", "counted_title")
-    top = (
-        weights.withColumn("rank", F.row_number().over(ranked))
-        .filter((F.col("rank") <= top_skills) & (F.col("skill") != ""))
-    )
-    return top.join(counts, F.col("job_title").eqNullSafe(F.col("counted_title"))).select(
-        "job_title", "count", "rank", "skill", "weight"
-    )
+    return weights.withColumn("rank", F.row_number().over(ranked)).filter((F.col("rank") <= top_skills) & (F.col("skill") != ""))
 
 
 def recommend_titles(
@@ -88,10 +86,11 @@ def recommend_titles(
     matched = filter_has_all_skills(postings, country, skills)
     weights = skill_weight_by_title(matched)
     best = _counts_of(weights).orderBy(F.desc("count"), F.asc("job_title")).limit(limit)
-    of_best = weights.join(
-        best.select(F.col("job_title").alias("best_title")), F.col("job_title").eqNullSafe(F.col("best_title")), "left_semi"
-    )
-    ranked = _ranked(of_best, best, top_skills)
+    # One join both cuts the pairs to the best titles and carries each title's
+    # count beside its pairs, so the best titles are computed once.
+    named = best.withColumnRenamed("job_title", "best_title")
+    of_best = weights.join(named, F.col("job_title").eqNullSafe(F.col("best_title")))
+    ranked = _ranked(of_best, top_skills)
     nested = ranked.groupBy("job_title").agg(
         F.max("count").alias("count"),
         F.array_sort(F.collect_list(F.struct("rank", "skill", "weight"))).alias("ranked"),

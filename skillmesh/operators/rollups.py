@@ -4,12 +4,13 @@ Each is a single ``groupBy`` with map-side partial aggregation, so a hot
 key (one title or country holding a third of all postings) is collapsed
 before the shuffle.  The nested builders (R4, R5) sort each group's list
 with ``array_sort`` after ``collect_list``; a list holds one entry per
-distinct title of a country or month, never one per posting.
+distinct title of a country or month, never one per posting, and at most
+``LIST_ROWS`` of them: a key with more titles gets several rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skillmesh.functions.text import skills_lower, split_skills
@@ -58,33 +59,50 @@ def sort_job_list(arr) -> F.Column:
     )
 
 
-def _nested(postings: DataFrame, key: str, list_name: str, rows_per_key: int = 1) -> DataFrame:
-    pairs = postings.groupBy(key, "job_title").agg(F.count(F.lit(1)).alias("count"))
-    group = [key]
-    if rows_per_key > 1:
-        # Spread a key's titles over several rows by a hash of the title
-        # (deterministic, so retried tasks agree); every list stays sorted.
-        pairs = pairs.withColumn("_part", F.pmod(F.xxhash64("job_title"), F.lit(rows_per_key)))
-        group.append("_part")
-    nested = pairs.groupBy(*group).agg(
-        sort_job_list(F.collect_list(F.struct("job_title", "count"))).alias(list_name)
-    )
-    return nested.select(key, list_name)
+#: Entries of a nested list at most.
+LIST_ROWS = 100_000
+#: Groups of a key's titles whose sizes give the running count.
+GROUPS = 1024
+
 
+def _nested(postings: DataFrame, key: str, list_name: str, rows_per_key: int, list_rows: int | None) -> DataFrame:
+    """The lists of each key, in rows of at most ``list_rows`` entries (with
+    ``rows_per_key``, in so many rows by a hash of the title).
 
-def build_job_counts_by_country(postings: DataFrame, rows_per_key: int = 1) -> DataFrame:
+    Entries are numbered without gathering a key: inside groups of titles by
+    hash, on top of the running sum of the sizes of the groups before (at most ``GROUPS`` a
+    key).  The number divided by ``list_rows`` is the row of the entry.
+    The hash and the order are those of the titles, so retried tasks agree.
+    """
+    list_rows = list_rows or LIST_ROWS
+    pairs = postings.groupBy(key, "job_title").agg(F.count(F.lit(1)).alias("count"))
+    entries = sort_job_list(F.collect_list(F.struct("job_title", "count"))).alias(list_name)
+    if rows_per_key > 1:
+        part = F.pmod(F.xxhash64("job_title"), F.lit(rows_per_key)).alias("_part")
+        return pairs.groupBy(key, part).agg(entries).select(key, list_name)
+    grouped = pairs.withColumn("_group", F.pmod(F.xxhash64("job_title"), F.lit(GROUPS)))
+    inside = Window.partitionBy(key, "_group")
+    numbered = grouped.withColumn("_nth", F.row_number().over(inside.orderBy("job_title"))).withColumn("_size", F.count(F.lit(1)).over(inside))
+    sizes = numbered.where("_nth = 1").select(F.col(key).alias("_key"), F.col("_group").alias("_of"), "_size")
+    upto = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_key", "_of", F.coalesce(F.sum("_size").over(upto), F.lit(0)).alias("_before"))
+    placed = numbered.join(before, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_group") == F.col("_of")))
+    row = F.floor((F.col("_before") + F.col("_nth") - 1) / F.lit(list_rows)).alias("_row")
+    return placed.groupBy(key, row).agg(entries).select(key, list_name)
+
+
+def build_job_counts_by_country(postings: DataFrame, rows_per_key: int = 1, list_rows: int | None = None) -> DataFrame:
     """``search_country, data: array<struct<job_title, count>>``.
 
-    One row per country by default (the file format the lookups read).  A
-    country's list holds one entry per distinct title; when a country may
-    have too many distinct titles for one row, ``rows_per_key > 1`` splits
-    each country over that many rows.  The lookups merge rows of the same
-    country, so they read either form.
+    One row a country of up to ``list_rows`` (default ``LIST_ROWS``)
+    distinct titles, the file format the lookups read; more rows for larger
+    ones.  ``rows_per_key > 1`` asks for so many rows a country instead.  The lookups merge rows of the same country, so they read either
+    form.
     """
-    return _nested(postings, "search_country", "data", rows_per_key)
+    return _nested(postings, "search_country", "data", rows_per_key, list_rows)
 
 
-def build_job_counts_by_month(postings: DataFrame, rows_per_key: int = 1) -> DataFrame:
+def build_job_counts_by_month(postings: DataFrame, rows_per_key: int = 1, list_rows: int | None = None) -> DataFrame:
     """``month_year, jobs: array<struct<job_title, count>>`` (R5); see R4 for
-    ``rows_per_key``."""
-    return _nested(postings, "month_year", "jobs", rows_per_key)
+    ``rows_per_key`` and ``list_rows``."""
+    return _nested(postings, "month_year", "jobs", rows_per_key, list_rows)

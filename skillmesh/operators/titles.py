@@ -20,8 +20,14 @@ equals a token of ``T``, (c) a long token of ``K`` has its first trigram in
 ``T``, or (d) a token of ``T`` is a substring of a long token of ``K``.
 Titles emit their trigrams and tokens as probe keys, keywords emit the
 matching keys for (a)-(d); an equi-join on the key yields every candidate
-pair, which is then scored exactly.  Distinct titles are scored once and
-joined back.
+pair.  A pair that shares several keys meets under each; it is scored under
+one of them only, its rarest key by the number of keywords that have it
+(a keyword's keys are kept in that order, so a pair goes on if none of the
+keys before the one it met under is the title's too).  Keys travel as 64-bit
+hashes: a collision adds a pair that scores nothing.  Distinct titles are
+scored once and joined back; the best match of a title is the maximum of a
+number that holds score and positions (``functions/packing.py``), and names
+come back by the positions.
 """
 
 from __future__ import annotations
@@ -40,6 +46,7 @@ from skillmesh.fixed import (
     PARTIAL_MATCH_SCORE,
     UNKNOWN_PROFESSION,
 )
+from skillmesh.functions.packing import keyword_id, kid_of, match_code, score_of
 from skillmesh.functions.text import clean_title, strip_ws, ws_tokens
 
 UNKNOWN = UNKNOWN_PROFESSION
@@ -112,7 +119,8 @@ def read_keywords(spark: SparkSession, path, fmt: str = "json") -> DataFrame:
 def prepare_keywords(keywords: DataFrame, language: str = "both") -> DataFrame:
     """Keywords in play for ``language`` with their normalised text.
 
-    Columns: ``kid, prof_pos, kw_pos, profession, keyword, K, KT``.
+    Columns: ``kid, prof_pos, kw_pos, profession, keyword, K, KT``.  The
+    positions tell keywords apart, as in the lists they come from.
     """
     kw = keywords
     if language == "english":
@@ -121,7 +129,7 @@ def prepare_keywords(keywords: DataFrame, language: str = "both") -> DataFrame:
         kw = kw.filter(F.col("language") == "vietnamese")
     kw = kw.filter(F.length(strip_ws("keyword")) > MAX_IGNORED_KEYWORD_LENGTH)
     kw = kw.select(
-        (F.col("prof_pos").cast("long") * F.lit(1 << 32) + F.col("kw_pos")).alias("kid"),
+        keyword_id().alias("kid"),
         "prof_pos",
         "kw_pos",
         "profession",
@@ -160,14 +168,23 @@ def clean_titles(titles: DataFrame, title_col: str = "title") -> DataFrame:
     return titles.withColumn("clean_title", clean_title(title_col))
 
 
-def _title_keys(cleaned: DataFrame) -> DataFrame:
-    """``T, TT, key`` for every trigram and token of each cleaned title."""
+def ranked_keys(prepared: DataFrame) -> DataFrame:
+    """``kid, KK``: the hashed probe keys of each keyword, the rarest in the
+    dictionary first."""
+    keys = keyword_probes(prepared).select(F.xxhash64("key").alias("key"), "kid")
+    rarity = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    ranked = keys.join(rarity, "key").groupBy("kid").agg(F.array_sort(F.collect_set(F.struct("n", "key"))).alias("ranked"))
+    return ranked.select("kid", F.col("ranked.key").alias("KK"))
+
+
+def _with_keys(titles: DataFrame) -> DataFrame:
+    """Adds ``TT``, the tokens of ``T``, and ``TK``, the hashed keys of its trigrams and tokens."""
     tri = F.expr(
         "CASE WHEN length(T) >= 3 THEN transform(sequence(1, length(T) - 2), "
-        "i -> concat('g:', substring(T, i, 3))) ELSE array() END"
+        "i -> xxhash64(concat('g:', substring(T, i, 3)))) ELSE array() END"
     )
-    words = F.transform("TT", lambda x: F.concat(F.lit("w:"), x))
-    return cleaned.select("T", "TT", F.explode(F.array_distinct(F.concat(tri, words))).alias("key"))
+    words = F.transform("TT", lambda x: F.xxhash64(F.concat(F.lit("w:"), x)))
+    return titles.withColumn("TT", ws_tokens("T")).withColumn("TK", F.array_distinct(F.concat(tri, words)))
 
 
 _SCORE = f"""
@@ -206,6 +223,29 @@ def _dictionary_is_small(prepared: DataFrame) -> bool:
     return max(n_kw, n_probes) <= DICTIONARY_BROADCAST_ROWS and n_bytes <= MAPPING_BROADCAST_BYTES
 
 
+def candidate_pairs(cleaned_titles: DataFrame, prepared: DataFrame, small: bool) -> DataFrame:
+    """Each distinct pair of a cleaned title (``T, TT``) and a prepared
+    keyword that share a probe key, once (J3).
+
+    ``small`` dictionaries are broadcast, slim probes (key, kid, pos) first
+    and keyword details by a second join.  For others the details are
+    attached on the dictionary side, so that the pairs come out of one shuffle join
+    on the probe key (AQE splits a hot key) that moves only a title and a key; the title's
+    own keys are made again behind it.
+    """
+    keys = ranked_keys(prepared)
+    probes = keys.select("kid", F.posexplode("KK").alias("pos", "key"))
+    info = prepared.join(keys, "kid")
+    titles = cleaned_titles.select(F.col("clean_title").alias("T")).distinct()
+    exploded = _with_keys(titles).withColumn("key", F.explode("TK"))
+    if small:
+        met = exploded.join(F.broadcast(probes), "key").join(F.broadcast(info), "kid")
+    else:
+        met = _with_keys(exploded.select("T", "key").join(probes.join(info, "kid"), "key"))
+    first = (F.col("pos") == 0) | ~F.arrays_overlap(F.slice("KK", F.lit(1), F.col("pos")), "TK")
+    return met.where(first).select("T", "TT", *prepared.columns)
+
+
 def best_matches(
     cleaned_titles: DataFrame,
     keywords: DataFrame,
@@ -219,34 +259,12 @@ def best_matches(
     proves it small, else both sides are shuffled on the probe key.
     """
     prepared = prepare_keywords(keywords, language)
-    probes = keyword_probes(prepared)
-    info = prepared
-    titles = cleaned_titles.select(F.col("clean_title").alias("T")).distinct().withColumn("TT", ws_tokens("T"))
-    keys = _title_keys(titles)
-    if _dictionary_is_small(prepared):
-        # Probes stay slim (key, kid) for the broadcast; keyword details
-        # follow in a second broadcast join.
-        pairs = keys.join(F.broadcast(probes), "key").join(F.broadcast(info), "kid")
-    else:
-        # Keyword details are attached on the dictionary side first, so the
-        # candidate pairs come out of one shuffle join on the probe key
-        # (AQE splits a hot key) instead of a second join on the keyword.
-        pairs = keys.join(probes.join(info, "kid"), "key")
-    best = _passing(pairs, threshold).groupBy("T").agg(_best().alias("b"))
-    return best.select("T", "b.score", "b.profession", "b.keyword")
-
-
-def _best():
-    """Highest score; ties to the lowest profession position, then keyword position."""
-    return F.max(
-        F.struct(
-            "score",
-            (-F.col("prof_pos")).alias("np"),
-            (-F.col("kw_pos")).alias("nk"),
-            "profession",
-            "keyword",
-        )
-    )
+    small = _dictionary_is_small(prepared)
+    passing = _passing(candidate_pairs(cleaned_titles, prepared, small), threshold)
+    best = passing.groupBy("T").agg(F.max(match_code("score", "kid")).alias("code"))
+    best = best.select("T", kid_of("code").alias("kid"), score_of("code").alias("score"))
+    names = prepared.select("kid", "profession", "keyword")
+    return best.join(F.broadcast(names) if small else names, "kid").select("T", "score", "profession", "keyword")
 
 
 def _passing(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -264,12 +282,12 @@ def best_match_of(
 ) -> DataFrame:
     """At most one row ``score, profession, keyword`` for a single request
     title.  The cleaned title is a constant column over the dictionary scan
-    (Catalyst folds it), so there is no join: one pass over the keywords and
-    a global max."""
+    (Catalyst folds it), so there is no join: one pass over the keywords, of
+    which each task sends its best one."""
     t = F.lit(title).cast("string")
     pairs = prepare_keywords(keywords, language).withColumn("T", clean_title(t)).withColumn("TT", ws_tokens("T"))
-    best = _passing(pairs, threshold).agg(_best().alias("b"))
-    return best.filter(F.col("b").isNotNull()).select("b.score", "b.profession", "b.keyword")
+    best = _passing(pairs, threshold).orderBy(F.desc("score"), "prof_pos", "kw_pos").limit(1)
+    return best.select("score", "profession", "keyword")
 
 
 def normalize_titles(

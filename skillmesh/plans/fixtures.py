@@ -162,3 +162,51 @@ FROM (SELECT DISTINCT upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) AS
                       p_brand AS keyword FROM part)
 """,
 }
+
+# Plain vowels and the accented letters that stand for them (ours).
+PLAIN_VOWELS, ACCENTED_VOWELS = "aeiou", "áêịơữ"
+
+
+def two_language_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free-text titles from ``part`` in five shapes: type before name, the
+    name's words turned round and in the plural, accented with the brand,
+    accented in capitals, and with brackets and a hyphen tail."""
+    part = table(spark, sf_dir, "part")
+    accented = F.translate("p_name", PLAIN_VOWELS, ACCENTED_VOWELS)
+    first, second = F.substring_index("p_name", " ", 1), F.substring_index("p_name", " ", -1)
+    shape = F.col("p_partkey") % 5
+    title = (
+        F.when(shape == 0, F.concat("p_type", F.lit(" "), "p_name"))
+        .when(shape == 1, F.concat(second, F.lit(" "), first, F.lit("s")))
+        .when(shape == 2, F.concat(accented, F.lit(" "), "p_brand"))
+        .when(shape == 3, F.upper(accented))
+        .otherwise(F.concat("p_name", F.lit(" "), F.lower("p_type"), F.lit(" ("), "p_brand", F.lit(") - x")))
+    )
+    return part.select(F.col("p_partkey").alias("title_id"), title.alias("title"))
+
+
+TWO_LANGUAGE_TITLES_SQL = f"""
+SELECT p_partkey AS title_id, CASE p_partkey % 5
+    WHEN 0 THEN p_type || ' ' || p_name
+    WHEN 1 THEN split_part(p_name, ' ', -1) || ' ' || split_part(p_name, ' ', 1) || 's'
+    WHEN 2 THEN translate(p_name, '{PLAIN_VOWELS}', '{ACCENTED_VOWELS}') || ' ' || p_brand
+    WHEN 3 THEN upper(translate(p_name, '{PLAIN_VOWELS}', '{ACCENTED_VOWELS}'))
+    ELSE p_name || ' ' || lower(p_type) || ' (' || p_brand || ') - x' END AS title
+FROM part
+"""
+
+
+def accented_dictionary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """As ``part_dictionary``, with accented part names as the second
+    language's keywords (their order is that of the plain names)."""
+    english, _ = part_dictionary(spark, sf_dir)
+    return english, english.withColumn("keyword", F.translate("keyword", PLAIN_VOWELS, ACCENTED_VOWELS))
+
+
+ACCENTED_DICTIONARY_SQL = {
+    "english": PART_DICTIONARY_SQL["english"],
+    "vietnamese": f"""
+SELECT prof_pos, kw_pos, profession, translate(keyword, '{PLAIN_VOWELS}', '{ACCENTED_VOWELS}') AS keyword
+FROM ({PART_DICTIONARY_SQL["english"]})
+""",
+}

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from skillmesh import schemas
@@ -28,7 +28,7 @@ from skillmesh.fixed import (
     UNKNOWN_PROFESSION,
     VIETNAMESE_LOWER_LETTERS,
 )
-from skillmesh.operators import lookups, profile, recommend, reshape, rollups, titles
+from skillmesh.operators import lookups, profile, recommend, reshape, rollups, skill_index, title_index, titles
 from skillmesh.plans import fixtures as fx
 from skillmesh.session import scratch_path
 from skillmesh.sources import files
@@ -44,6 +44,10 @@ TREND_YEAR = 1997
 LOOKUP_COUNTRY = "nation_4"
 PAGE_COUNTRY = "nation_6"
 SEARCH_NEEDLE = "RIN"
+INDEX_SKILLS = [" Blue Bolt ", "RED ring"]
+DEEP_LIMIT, LAST_PAGE = 1000, -1
+#: Entries of a nested list, few so that every country takes several rows.
+SHORT_LISTS = 7
 
 
 def _postings(spark, d):
@@ -214,6 +218,19 @@ def _q_profession_of_title(spark, d):
     )
 
 
+def _q_normalize_titles_dictionary(spark, d):
+    """Every title against the whole dictionary of the part names, in both languages."""
+    keywords = titles.merge_keywords(*fx.part_dictionary(spark, d))
+    found = titles.normalize_titles(fx.two_language_titles(spark, d), keywords)
+    return found.select("title_id", "title", "profession", "score", "matched_keyword")
+
+
+def _q_normalize_titles_vietnamese(spark, d):
+    keywords = titles.merge_keywords(*fx.accented_dictionary(spark, d))
+    found = titles.normalize_titles(fx.two_language_titles(spark, d), keywords, language="vietnamese", threshold=0.5)
+    return found.select("title_id", "title", "profession", "score", "matched_keyword")
+
+
 def _q_merge_keywords(spark, d):
     en, vn = fx.part_dictionary(spark, d)
     return titles.merge_keywords(en, vn)
@@ -252,6 +269,100 @@ def _q_scan_tolerant(spark, d):
     return good.unionByName(absent)
 
 
+def _q_filter_has_all_skills_index(spark, d):
+    """F4 through the inverted index, in all countries."""
+    path = scratch_path(spark, "skill-index")
+    skill_index.write_skill_index(_postings(spark, d), path)
+    return skill_index.postings_with_all_skills(spark, path, INDEX_SKILLS).select("posting_id", "job_title", "search_country")
+
+
+def _q_filter_title_contains_index(spark, d):
+    """F1 and F2 through the trigram index of the distinct titles."""
+    path, rows = scratch_path(spark, "title-index"), _postings(spark, d)
+    title_index.write_title_index(rows, path)
+    return title_index.matched_postings_indexed(rows, path, MATCH_TITLE, MATCH_COUNTRY).select("posting_id", "job_title", "search_country")
+
+
+def _posting_pages(spark, d):
+    """A long sorted table: the tokens of all postings as one country's titles."""
+    tokens = rollups.skill_tokens(_postings(spark, d), "posting_id")
+    titles_ = tokens.select(F.lit("All").alias("search_country"), F.concat_ws(" ", "skill", "posting_id").alias("job_title"))
+    return rollups.build_job_counts_by_country(titles_)
+
+
+def _q_jobs_by_country_deep_page(spark, d):
+    """A page far behind the beginning: rows 30,000 to 30,999."""
+    return lookups.jobs_by_country_page(_posting_pages(spark, d), "all", DEEP_LIMIT, 31)
+
+
+def _q_jobs_by_country_last_page(spark, d):
+    """A page counted from the end, with the total beside it."""
+    nested = lookups.jobs_by_country(_posting_pages(spark, d), "ALL", DEEP_LIMIT, LAST_PAGE)
+    return nested.select("search_country", "total_jobs", "showing", F.posexplode("data").alias("pos", "j")).select(
+        "search_country", "total_jobs", "showing", "pos", "j.job_title", "j.count"
+    )
+
+
+def _q_build_job_counts_in_rows(spark, d):
+    """R4 with lists cut to ``SHORT_LISTS`` entries: rows and entries of each country, read back by a lookup's merge."""
+    nested = rollups.build_job_counts_by_country(_postings(spark, d), list_rows=SHORT_LISTS)
+    parts = nested.groupBy("search_country").agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.size("data")).cast("long").alias("longest"))
+    merged = reshape.unnest_job_counts(nested).groupBy("search_country").agg(F.count(F.lit(1)).alias("n_titles"), F.sum("count").alias("n_jobs"))
+    return parts.join(merged, "search_country")
+
+
+def _requests(spark, d):
+    nation = fx.table(spark, d, "nation")
+    key = F.col("n_nationkey")
+    limit = F.when(key % 5 == 0, "ten").when(key % 5 == 1, "").when(key % 5 == 2, " 3 ").when(key % 5 == 3, "0").otherwise("-120")
+    return nation.select(key.cast("long").alias("request_id"), F.lower("n_name").alias("country"), limit.alias("limit"))
+
+
+def _q_skills_by_country_requests(spark, d):
+    """Q4 for a table of requests whose limits are texts."""
+    return lookups.skills_by_country_requests(rollups.build_skill_counts_by_country(_postings(spark, d)), _requests(spark, d))
+
+
+def _q_persisted_postings(spark, d):
+    """Two summaries of postings kept in memory, which are released before the result is read."""
+    kept, path = files.persist_postings(_postings(spark, d)), scratch_path(spark, "persisted")
+    try:
+        by_title = rollups.build_job_counts(kept).select(F.lit("title").alias("kind"), F.col("job_title").alias("name"), "count")
+        by_skill = rollups.build_skill_counts(kept).select(F.lit("skill").alias("kind"), F.col("skill").alias("name"), "count")
+        by_title.write.parquet(path)
+        by_skill.write.mode("append").parquet(path)
+    finally:
+        kept.unpersist()
+    return spark.read.parquet(path)
+
+
+def _write_damaged(spark, d, path):
+    """The nested country table as JSON Lines with, for each country, a bad element added
+    to its list, and a line with a list of the wrong type; and one truncated line."""
+    nested = rollups.build_job_counts_by_country(_postings(spark, d))
+    lines = nested.select(F.to_json(F.struct("search_country", "data")).alias("value"), "search_country")
+    name = F.to_json(F.struct("search_country"))
+    lines.select(F.regexp_replace("value", r"\]\}$", ', {"job_title": "bad", "count": "many"}]}').alias("value")).write.text(path)
+    lines.select(F.regexp_replace(name, r"\}$", ', "data": 7}').alias("value")).write.mode("append").text(path)
+    lines.select(F.expr("substring(value, 1, length(value) - 1)").alias("value")).limit(1).write.mode("append").text(path)
+
+
+def _q_scan_tolerant_nested(spark, d):
+    """S4 on nested records: wrong types, bad list elements and a truncated line."""
+    path = scratch_path(spark, "damaged")
+    _write_damaged(spark, d, path)
+    return reshape.flatten_positions(files.load_or_empty(spark, path, schemas.JOB_COUNTS_BY_COUNTRY), "search_country", "data")
+
+
+def _q_scan_tolerant_losses(spark, d):
+    """What the load of ``scan_tolerant_nested`` lost, counted during one action on it."""
+    path, losses = scratch_path(spark, "damaged"), Observation("losses")
+    _write_damaged(spark, d, path)
+    loaded = files.load_or_empty(spark, path, schemas.JOB_COUNTS_BY_COUNTRY, losses)
+    loaded.write.parquet(scratch_path(spark, "loaded"))
+    return spark.createDataFrame([losses.get], "lines long, dropped_lines long, dropped_elements long")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "skill_frequency": _q_skill_frequency,
     "skill_profile": _q_skill_profile,
@@ -284,11 +395,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "normalize_titles": _q_normalize_titles,
     "normalize_titles_lang": _q_normalize_titles_lang,
     "profession_of_title": _q_profession_of_title,
+    "normalize_titles_dictionary": _q_normalize_titles_dictionary,
+    "normalize_titles_vietnamese": _q_normalize_titles_vietnamese,
     "merge_keywords": _q_merge_keywords,
     "scan_postings": _q_scan_postings,
     "scan_counts": _q_scan_counts,
     "scan_nested_counts": _q_scan_nested_counts,
     "scan_tolerant": _q_scan_tolerant,
+    "scan_tolerant_nested": _q_scan_tolerant_nested,
+    "scan_tolerant_losses": _q_scan_tolerant_losses,
+    "persisted_postings": _q_persisted_postings,
+    "filter_has_all_skills_index": _q_filter_has_all_skills_index,
+    "filter_title_contains_index": _q_filter_title_contains_index,
+    "jobs_by_country_deep_page": _q_jobs_by_country_deep_page,
+    "jobs_by_country_last_page": _q_jobs_by_country_last_page,
+    "build_job_counts_in_rows": _q_build_job_counts_in_rows,
+    "skills_by_country_requests": _q_skills_by_country_requests,
 }
 
 
@@ -467,7 +589,9 @@ def _tokens_sql(expr: str) -> str:
     return f"list_filter(regexp_split_to_array({expr}, '{_WS}+'), lambda x: x <> '')"
 
 
-def _normalize_sql(language: str = "both", threshold: float = DEFAULT_THRESHOLD) -> str:
+def _normalize_sql(
+    language: str = "both", threshold: float = DEFAULT_THRESHOLD, titles_sql: str = fx.RAW_TITLES_SQL, taxonomy_sql: str | None = None
+) -> str:
     lang = {"english": "AND language = 'english'", "vietnamese": "AND language = 'vietnamese'"}.get(language, "")
     mc = (
         "list_reduce(KT, lambda acc, x: acc + CASE WHEN list_contains(TT, x) THEN 1.0::DOUBLE "
@@ -481,26 +605,26 @@ def _normalize_sql(language: str = "both", threshold: float = DEFAULT_THRESHOLD)
         "ELSE mc / len(KT) END"
     )
     return (
-        "WITH titles AS (" + fx.RAW_TITLES_SQL + "),\n"
-        "taxonomy AS (" + fx.taxonomy_sql() + "),\n"
+        "WITH titles AS (" + titles_sql + "),\n"
+        "taxonomy AS (" + (taxonomy_sql or fx.taxonomy_sql()) + "),\n"
         f"kw AS (SELECT prof_pos, kw_pos, profession, keyword, {_strip('lower(keyword)')} AS K FROM taxonomy "
         f"WHERE length({_strip('keyword')}) > {MAX_IGNORED_KEYWORD_LENGTH} {lang}),\n"
         f"kw2 AS (SELECT *, {_tokens_sql('K')} AS KT FROM kw),\n"
         f"t AS (SELECT title_id, title, {_clean_sql('title')} AS T FROM titles),\n"
-        f"t2 AS (SELECT *, {_tokens_sql('T')} AS TT FROM t),\n"
-        f"pairs AS (SELECT t2.title_id, T, K, KT, prof_pos, kw_pos, profession, keyword, {mc} AS mc FROM t2, kw2),\n"
+        f"t2 AS (SELECT T, {_tokens_sql('T')} AS TT FROM (SELECT DISTINCT T FROM t)),\n"
+        f"pairs AS (SELECT T, K, KT, prof_pos, kw_pos, profession, keyword, {mc} AS mc FROM t2, kw2),\n"
         f"scored AS (SELECT *, {score} AS score FROM pairs),\n"
         f"ok AS (SELECT * FROM scored WHERE score > 0 AND (contains(T, K) OR score >= {float(threshold)!r}::DOUBLE)),\n"
-        "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title_id ORDER BY score DESC, prof_pos, kw_pos) AS o FROM ok) WHERE o = 1)\n"
+        "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY T ORDER BY score DESC, prof_pos, kw_pos) AS o FROM ok) WHERE o = 1)\n"
         f"SELECT t.title_id, t.title, coalesce(b.profession, {_lit(UNKNOWN_PROFESSION)}) AS profession, "
         "least(coalesce(b.score, 0.0::DOUBLE), 1.0::DOUBLE) AS score, b.keyword AS matched_keyword "
-        "FROM t LEFT JOIN best b ON t.title_id = b.title_id"
+        "FROM t LEFT JOIN best b ON t.T = b.T"
     )
 
 
-def _merge_keywords_sql() -> str:
+def _merge_keywords_sql(dictionary: dict[str, str] = fx.PART_DICTIONARY_SQL) -> str:
     return (
-        f"WITH en AS ({fx.PART_DICTIONARY_SQL['english']}), vn AS ({fx.PART_DICTIONARY_SQL['vietnamese']}),\n"
+        f"WITH en AS ({dictionary['english']}), vn AS ({dictionary['vietnamese']}),\n"
         "off AS (SELECT prof_pos, profession, max(kw_pos) + 1 AS off FROM en GROUP BY prof_pos, profession),\n"
         "last_vn AS (SELECT profession, max(prof_pos) AS vp FROM vn GROUP BY profession)\n"
         "SELECT prof_pos, kw_pos, profession, 'english' AS language, keyword FROM en\n"
@@ -518,6 +642,14 @@ def _country_titles_sql(country: str) -> str:
     )
 
 
+def _all_titles_sql() -> list[tuple[str, str]]:
+    """The rows of ``_posting_pages``, numbered by count and title from 0."""
+    return [
+        ("tt", f"SELECT skill || ' ' || posting_id AS job_title, count(*) AS count FROM ({_TOKENS}) WHERE skill <> '' GROUP BY 1"),
+        ("pg", "SELECT *, row_number() OVER (ORDER BY count DESC, job_title) - 1 AS nth, count(*) OVER () AS total FROM tt"),
+    ]
+
+
 def oracle_sql() -> dict[str, str]:
     tok_lower = (
         r"SELECT posting_id, trim(lower(s)) AS skill FROM (SELECT posting_id, "
@@ -600,6 +732,10 @@ def oracle_sql() -> dict[str, str]:
         + _normalize_sql("english", 0.5)
         + ")",
         "profession_of_title": "SELECT title_id, profession FROM (" + _normalize_sql() + ")",
+        "normalize_titles_dictionary": _normalize_sql(titles_sql=fx.TWO_LANGUAGE_TITLES_SQL, taxonomy_sql=_merge_keywords_sql()),
+        "normalize_titles_vietnamese": _normalize_sql(
+            "vietnamese", 0.5, fx.TWO_LANGUAGE_TITLES_SQL, _merge_keywords_sql(fx.ACCENTED_DICTIONARY_SQL)
+        ),
         "merge_keywords": _merge_keywords_sql(),
         "scan_postings": _with(
             body="SELECT CAST(posting_id AS VARCHAR) AS posting_id, job_title, search_country, job_skills, month_year FROM postings"
@@ -607,6 +743,51 @@ def oracle_sql() -> dict[str, str]:
         "scan_counts": _with(body=_SKILL_COUNTS),
         "scan_nested_counts": _with(body=_nested_pos_sql("search_country")),
         "scan_tolerant": _with(body=_SKILL_COUNTS),
+        "scan_tolerant_nested": _with(body=_nested_pos_sql("search_country")),
+        "scan_tolerant_losses": _with(
+            ("c", "SELECT count(DISTINCT search_country) AS n FROM postings"),
+            body="SELECT 2 * n + least(n, 1) AS lines, n + least(n, 1) AS dropped_lines, n AS dropped_elements FROM c",
+        ),
+        "persisted_postings": _with(
+            body=f"SELECT 'title' AS kind, job_title AS name, count(*) AS count FROM postings GROUP BY job_title "
+            f"UNION ALL SELECT 'skill' AS kind, skill AS name, count FROM ({_SKILL_COUNTS})"
+        ),
+        "filter_has_all_skills_index": _with(
+            (
+                "m2",
+                r"SELECT *, list_transform(regexp_split_to_array(trim(job_skills), ',\s*'), lambda x: trim(lower(x))) AS skills FROM postings",
+            ),
+            body="SELECT posting_id, job_title, search_country FROM m2 "
+            f"WHERE list_has_all(skills, [{', '.join(_lit(s.strip().lower()) for s in INDEX_SKILLS)}])",
+        ),
+        "filter_title_contains_index": _with(
+            ("m", _matched_profile(MATCH_TITLE, MATCH_COUNTRY)), body="SELECT posting_id, job_title, search_country FROM m"
+        ),
+        "jobs_by_country_deep_page": _with(
+            *_all_titles_sql(),
+            body=f"SELECT 'All' AS search_country, job_title, count FROM pg WHERE nth >= {30 * DEEP_LIMIT} AND nth < {31 * DEEP_LIMIT}",
+        ),
+        "jobs_by_country_last_page": _with(
+            *_all_titles_sql(),
+            ("own", f"SELECT * FROM pg WHERE nth >= total - {2 * DEEP_LIMIT} AND nth < total - {DEEP_LIMIT}"),
+            body="SELECT 'All' AS search_country, total AS total_jobs, (SELECT count(*) FROM own) AS showing, "
+            "CAST(row_number() OVER (ORDER BY nth) - 1 AS INTEGER) AS pos, job_title, count FROM own",
+        ),
+        "build_job_counts_in_rows": _with(
+            body="SELECT search_country, CAST(ceil(count(DISTINCT job_title) / {0}) AS BIGINT) AS n_rows, "
+            "CAST(least(count(DISTINCT job_title), {0}) AS BIGINT) AS longest, count(DISTINCT job_title) AS n_titles, "
+            "count(*) AS n_jobs FROM postings GROUP BY search_country".format(SHORT_LISTS)
+        ),
+        "skills_by_country_requests": _with(
+            (
+                "r",
+                f"SELECT CAST(n_nationkey AS BIGINT) AS request_id, skill, count, search_country, n_nationkey % 5 AS kind, "
+                "row_number() OVER (PARTITION BY n_nationkey ORDER BY count DESC, skill) AS rank, count(*) OVER (PARTITION BY n_nationkey) AS total "
+                f"FROM nation JOIN ({_SKILL_COUNTS_BY_COUNTRY}) ON lower(n_name) = lower(search_country)",
+            ),
+            body="SELECT request_id, CAST(rank AS INTEGER) AS rank, skill, count, search_country FROM r "
+            "WHERE CASE kind WHEN 0 THEN rank <= 10 WHEN 3 THEN false WHEN 2 THEN rank <= 3 WHEN 4 THEN rank <= total - 120 ELSE true END",
+        ),
         "scan_postings_parquet": _with(
             body=f"SELECT posting_id, search_country FROM postings WHERE lower(search_country) = lower({_lit(EQ_COUNTRY)})"
         ),

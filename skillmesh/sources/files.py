@@ -8,7 +8,7 @@ a look at its header.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,31 +47,46 @@ def read_counts(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def load_or_empty(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
+def load_or_empty(spark: SparkSession, path, schema: T.StructType, losses: Observation | None = None) -> DataFrame:
     """Tolerant JSON Lines load (S4): an absent path gives an empty table of
     ``schema``; lines that do not parse or have a value of the wrong type are
     dropped, and of a list only the bad elements are.  Every record is parsed
     whole before any column is dropped, so the rows do not depend on the
-    columns that are read.  :func:`rejected_lines` lists what was lost.  Other
-    failures raise."""
+    columns that are read.  ``losses`` counts what was lost while the first action on the
+    table runs: ``losses.get`` then has ``lines`` (not blank),
+    ``dropped_lines`` and ``dropped_elements`` (an absent path counts nothing).
+    :func:`rejected_lines` lists the lines themselves.  Other failures raise."""
     parsed = _parsed_lines(spark, path, schema)
     if parsed is None:
         return spark.createDataFrame([], schema)
+    if losses is not None:
+        parsed = parsed.observe(
+            losses,
+            F.count(F.lit(1)).alias("lines"),
+            F.count_if(~F.col("ok")).alias("dropped_lines"),
+            F.coalesce(F.sum(F.when(F.col("ok"), _bad_elements(schema))), F.lit(0)).alias("dropped_elements"),
+        )
     return parsed.filter(F.col("ok")).select(*[_kept(F.col("record")[f.name], f.dataType).alias(f.name) for f in schema])
 
 
+def _bad_elements(schema: T.StructType) -> Column:
+    """The number of elements of a parsed line's record lists that do not fit."""
+
+    def of(f: T.StructField) -> Column:
+        bad = F.filter(F.col("record")[f.name], lambda e: e.isNotNull() & ~_is_good(e, f.dataType.elementType))
+        return F.coalesce(F.size(bad), F.lit(0))
+
+    return sum((of(f) for f in schema if _is_record_list(f.dataType)), F.lit(0))
+
+
 def rejected_lines(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
     """``line`` and ``elements_only`` of each line that :func:`load_or_empty`
     drops (false) or takes without some bad list elements (true)."""
     parsed = _parsed_lines(spark, path, schema)
     if parsed is None:
         return spark.createDataFrame([], "line string, elements_only boolean")
-    bad = F.lit(False)
-    for f in schema:
-        if _is_record_list(f.dataType):
-            whole = F.col("record")[f.name]
-            bad = bad | F.coalesce(F.exists(whole, lambda e: e.isNotNull() & ~_is_good(e, f.dataType.elementType)), F.lit(False))
-    return parsed.filter(~F.col("ok") | bad).select("line", F.col("ok").alias("elements_only"))
+    some = _bad_elements(schema) > 0
+    return parsed.filter(~F.col("ok") | some).select("line", F.col("ok").alias("elements_only"))
 
 
 _BAD = "_bad_record"
