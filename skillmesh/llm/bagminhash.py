@@ -17,21 +17,27 @@ bias.
 Groups: documents with one multiset are a class, told by a 128-bit digest;
 classes that agree on a band of components meet under the band's hash.  In
 each bucket every class is paired with the bucket's least one and with its
-neighbour in the order of the whole signature, and in buckets of at most
-``ALL_PAIRS`` classes with all others.  Pairs are verified by the exact
-overlap of the multisets.  What is linked is merged before the next part of the
-bands, in whole (least id) after the last; then rounds go on with larger buckets that still hold
-several classes, each round with another order, until a round links nothing.
-No bucket is gathered and none gives more than a few pairs a member and round.
+neighbour in the order of the components that follow the band (which the bucket's rows carry), and in buckets of at most
+``ALL_PAIRS`` classes with all others.  Pairs whose signatures agree on less than
+``LEAST_AGREEING`` of their components are left out (at the threshold a pair does so with a chance below
+1e-10); the others are verified by the exact overlap of the multisets, and what is linked is merged.  Larger buckets
+that then still hold several roots keep one member a root and are paired again in another order,
+until a round links nothing.  No bucket is gathered and none gives more than a few pairs a member and round.
 The classes of larger buckets that then still have several roots are joined
 exactly: two multisets at the threshold share an element among the first of
 each in an order by rarity (prefix filter), at places that leave room for the
 overlap needed, so all other pairs are excluded and these are verified.
 
+Texts are moved only for the classes that meet others, and for a pair only its own
+two; sides of joins are broadcast up to ``BROADCAST_ROWS`` rows, by count.  All
+intermediate tables lie in one scratch folder, which is deleted once the result is written.
+
 Defined results: null texts and texts without words are alike (one class of
-empty multisets); ties are broken by the least id; a repeated id is one
-document with the least of its texts; rows without an id have no class;
-an empty table gives an empty result; further columns are left out.
+empty multisets); ties are broken by the least id; an empty table gives an empty result.
+``near_duplicates``: a repeated id is one document with the least of its texts; rows without
+an id have no class; further columns are left out.  ``keep_one``: every row counts with its own text, so
+a repeated id with several texts is several documents; the row of the least id of a class stays
+(rows without an id come last), and of rows with one id and one text one.
 """
 
 from __future__ import annotations
@@ -43,8 +49,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
-from .common import WordHashes, documents, mix64, split_words
+from ..session import drop_path, scratch_path
+from .common import WordHashes, documents, mix64, split_words, whole_text
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Components a band and bands: a pair at the threshold misses all bands with probability 3e-6.
@@ -52,12 +58,14 @@ ROWS, BANDS = 4, 24
 COMPONENTS = ROWS * BANDS
 #: Classes of a bucket up to which all pairs are taken.
 ALL_PAIRS = 8
-#: The bands are taken in so many parts, so that what one part has linked is not paired again by the next.
-GROUPS = 3
-#: Merging rounds after each of those parts but the last, after which links are merged in whole.
-BETWEEN = 2
-#: Rounds after those over the larger buckets; they end before when nothing new is linked.
-MOST_ROUNDS = 6
+#: Components on which the signatures of a pair have to agree to be verified.
+LEAST_AGREEING = COMPONENTS // 2
+#: Components after a band that order the classes of its bucket.
+ORDER = 8
+#: Rounds over the larger buckets; they end before when nothing new is linked.
+MOST_ROUNDS = 3
+#: Rows of ids (8 bytes) or pairs (16 bytes) up to which they are broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Counters by which the exact join orders elements; several elements may share one.
 COUNTERS = 1 << 20
 
@@ -128,11 +136,11 @@ def _texts(batch: pa.RecordBatch, column: int, step: int = 1024) -> Iterator[tup
         yield k, batch.column(column).slice(k, step).to_pylist()
 
 
-_SIGNED = "doc_id bigint, digest binary, bands array<bigint>, rest binary"
+_SIGNED = "doc_id bigint, digest binary, bands array<bigint>, keys array<bigint>, rest binary"
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """``doc_id``, the multiset's ``digest``, the hash of each band, and the signature as bytes."""
+    """``doc_id``, the multiset's ``digest``, each band's hash and the ``ORDER`` components after it, and the signature as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -147,35 +155,62 @@ def signed(docs: DataFrame) -> DataFrame:
                 for r in range(ROWS):
                     bands = mix64(bands * np.uint64(0x9E3779B97F4A7C15) + values.reshape(-1, BANDS, ROWS)[:, :, r])
                 bands = mix64(bands + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+                # One byte a component is enough to order classes and to compare two signatures.
+                low = (values & np.uint64(255)).astype(np.uint8)
+                turned = np.concatenate([low, low[:, :ORDER]], axis=1)
+                keys = [turned[:, at : at + ORDER] for at in np.arange(1, BANDS + 1) * ROWS % COMPONENTS]
+                keys = np.ascontiguousarray(np.stack(keys, axis=1)).view(np.int64)
+                lists = [pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, x.ravel()) for x in (bands, keys)]
                 columns = [
                     batch.column(0).slice(k, len(texts)),
                     pa.array(digests, pa.binary()),
-                    pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, bands.ravel()),
-                    # One byte a component orders the classes of a bucket well enough.
-                    pa.array([v.tobytes() for v in (values & np.uint64(255)).astype(np.uint8)], pa.binary()),
+                    *lists,
+                    pa.array([v.tobytes() for v in low], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "bands", "rest"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "bands", "keys", "rest"])
 
     typed = documents(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     return typed.mapInArrow(run, _SIGNED)
 
 
+class Scratch:
+    """Intermediate tables in one folder, deleted as a whole."""
+
+    def __init__(self, spark):
+        self.spark, self.root, self.n = spark, scratch_path(spark, "near-duplicates"), 0
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.root}/{self.n}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def drop(self) -> None:
+        drop_path(self.spark, self.root)
+
+
+def _maybe_broadcast(df: DataFrame) -> DataFrame:
+    """A written table of ids or pairs, broadcast if its count allows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The ``pairs`` (columns ``a`` and ``b``, ids) whose texts are near duplicates.
+    """The ``pairs`` (columns ``a`` and ``b``, ids; a written table) whose texts are near duplicates.
 
-    Both sides join the texts by id; the joins are on single ids, which AQE
-    splits where one id stands in very many pairs.
+    Only the texts of the pairs are moved, to the place of ``a``; AQE splits
+    an ``a`` that stands in very many pairs.
     """
-    texts = docs.select("doc_id", "text")
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    texts, pairs = docs.select("doc_id", "text"), _maybe_broadcast(pairs)
+    second = texts.join(pairs, F.col("doc_id") == F.col("b")).select("a", "b", F.col("text").alias("text_b"))
+    first = texts.join(pairs.select("a"), F.col("doc_id") == F.col("a"), "left_semi")
+    both = second.join(first.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         center, center_set = None, None
         for batch in batches:
             keep = []
-            for i, (a, x, y) in enumerate(zip(*(batch.column(c) for c in (0, 2, 3)), strict=True)):
+            for a, x, y in zip(*(batch.column(c) for c in (0, 2, 3)), strict=True):
                 if a != center:
                     center, center_set = a, shingles(hashes.of(split_words(x.as_py())))
                 keep.append(overlap(center_set, shingles(hashes.of(split_words(y.as_py())))) >= threshold)
@@ -184,10 +219,17 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+def _agreeing(pairs: DataFrame, orders: DataFrame) -> DataFrame:
+    """The ``pairs`` whose signatures (``id``, ``rest``) agree on ``LEAST_AGREEING`` components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COMPONENTS) for c in (2, 3)]
+            yield batch.select(["a", "b"]).filter(pa.array((both[0] == both[1]).sum(axis=1) >= LEAST_AGREEING))
+
+    x = orders.select(F.col("id").alias("a"), F.col("rest").alias("x"))
+    y = orders.select(F.col("id").alias("b"), F.col("rest").alias("y"))
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def _star_round(edges: DataFrame) -> DataFrame:
@@ -207,60 +249,64 @@ def _are_stars(edges: DataFrame) -> bool:
     return not ends.where("up > 1 OR (up = 1 AND down = 1)").count()
 
 
-def merged(links: DataFrame, rounds: int | None = None) -> DataFrame:
-    """Edges ``u`` > ``v`` with the components of ``links`` (``u``, ``v``): stars around the least node, or nearly so after ``rounds``.
+def merged(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``node`` and the least node it is linked to, directly or not, as ``root``, of ``links`` (``a`` < ``b``).
 
     Rounds aggregate partially and are written to the shared folder.
     """
-    edges, done = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v"), 0
-    while done != rounds and not _are_stars(edges):
-        edges, done = _written(_star_round(edges), "edges"), done + 1
-    return edges
+    edges = links.select(F.col("b").alias("u"), F.col("a").alias("v")).where("u != v")
+    while not _are_stars(edges):
+        edges = scratch.written(_star_round(edges), "edges")
+    return scratch.written(edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node"), "roots")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``node`` and the least node it is linked to, directly or not, as ``root``, of ``links`` (``a``, ``b``)."""
-    return merged(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("u").alias("node"), F.col("v").alias("root"))
+def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``rows`` (``id``) with the root of each id."""
+    if roots is None:
+        return rows.withColumn("root", F.col("id"))
+    joined = rows.drop("root").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    return joined.withColumn("root", F.coalesce("root", "id"))
+
 
+def _live(rows: DataFrame) -> DataFrame:
+    """Of the members of buckets (``band``, ``n``, ``key``, ``id``, ``root``) one a root (the least id), where a bucket has several."""
+    one = rows.groupBy("band", "root").agg(F.max("n").alias("n"), F.min("id").alias("id"), F.min("key").alias("key"))
+    least = one.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("band")
+    return one.join(least, "band", "left_semi")
 
-def _candidates(buckets: DataFrame, orders: DataFrame, round_: int) -> DataFrame:
-    """Pairs ``a`` < ``b`` inside buckets (``band``, ``n``, ``id``, ``root``) of members with different roots.
 
-    No bucket is gathered: each member meets the bucket's least member, which
-    an aggregate finds, and its neighbour in the order by signature, which a
+def _candidates(live: DataFrame, seed: int) -> DataFrame:
+    """Pairs ``a`` < ``b`` inside buckets of members with different roots.
+
+    No bucket is gathered: each member meets the bucket's least member (by id, later by
+    a hash), which an aggregate finds, and its neighbour in the order by ``key``, which a
     range partitioning gives that may cut a bucket.
     """
-    seeded = buckets.withColumn("order", F.xxhash64("id", F.lit(round_)) if round_ else F.lit(0).cast("bigint"))
-    least = seeded.groupBy("band").agg(F.min(F.struct("order", "id", "root")).alias("least"), F.min("root").alias("r1"), F.max("root").alias("r2"))
-    live = _written(seeded.join(least.where("r1 < r2").select("band", "least"), "band"), "live")
-    pairs = live.where(F.col("root") != F.col("least.root")).select(F.col("least.id").alias("x"), F.col("id").alias("y"))
-    if not round_:
-        few = live.where((F.col("n") > 2) & (F.col("n") <= ALL_PAIRS)).select("band", F.col("id").alias("x"), F.col("root").alias("rx"))
-        other = few.withColumnsRenamed({"x": "y", "rx": "ry"})
-        pairs = pairs.unionAll(few.join(other, "band").where("x < y AND rx != ry").select("x", "y"))
-    shift = 16 * round_ % COMPONENTS
-    turned = orders.select("id", F.concat(F.substring("rest", 1 + shift, COMPONENTS), F.substring("rest", 1, shift)).alias("rest"))
-    placed = live.where(F.col("n") > ALL_PAIRS).select("band", "id", "root").join(turned, "id")
+    order = F.xxhash64("id", F.lit(seed)) if seed else F.lit(0).cast("bigint")
+    seeded = live.withColumn("order", order)
+    least = seeded.groupBy("band").agg(F.min(F.struct("order", "id")).alias("least"))
+    pairs = seeded.join(least, "band").where(F.col("id") != F.col("least.id")).select(F.col("least.id").alias("x"), F.col("id").alias("y"))
+    if not seed:
+        few = live.where((F.col("n") > 2) & (F.col("n") <= ALL_PAIRS)).select("band", F.col("id").alias("x"))
+        pairs = pairs.unionAll(few.join(few.withColumnRenamed("x", "y"), "band").where("x < y").select("x", "y"))
+    placed = seeded.where(F.col("n") > ALL_PAIRS).select("band", F.col("order" if seed else "key").alias("key"), "id")
     pairs = pairs.unionAll(_neighbours(placed))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _neighbours(placed: DataFrame) -> DataFrame:
-    """Pairs of neighbours in each bucket's order by signature."""
+    """Pairs of neighbours in each bucket's order by ``key``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None
+        last = np.zeros((2, 0), np.int64)
         for batch in batches:
-            x, y = [], []
-            for band, own, root in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)), strict=True):
-                if last is not None and last[0] == band and last[2] != root:
-                    x.append(last[1])
-                    y.append(own)
-                last = (band, own, root)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
+            band, own = (np.concatenate([before, batch.column(c).to_numpy()]) for c, before in enumerate(last))
+            near = np.flatnonzero(band[1:] == band[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(own[near]), pa.array(own[near + 1])], ["x", "y"])
+            last = np.array([band[-1:], own[-1:]])
 
-    ordered = placed.repartitionByRange("band", "rest", "id").sortWithinPartitions("band", "rest", "id")
-    return ordered.select("band", "id", "root").mapInArrow(run, "x bigint, y bigint")
+    ordered = placed.repartitionByRange("band", "key", "id").sortWithinPartitions("band", "key", "id")
+    return ordered.select("band", "id").mapInArrow(run, "x bigint, y bigint")
 
 
 def _elements(sets: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -270,7 +316,7 @@ def _elements(sets: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return mix64(np.repeat(items, counts) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _exact_pairs(texts: DataFrame, threshold: float) -> DataFrame:
+def _exact_pairs(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """Pairs ``a`` < ``b`` with different roots of ``texts`` (``id``, ``root``, ``text``), among them all near duplicates."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,9 +351,9 @@ def _exact_pairs(texts: DataFrame, threshold: float) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["element", "id", "root", "size", "at"])
 
-    heads = _written(texts.select("id", "root", "text").mapInArrow(prefixes, "element bigint, id bigint, root bigint, size bigint, at bigint"), "heads")
+    heads = scratch.written(texts.select("id", "root", "text").mapInArrow(prefixes, "element bigint, id bigint, root bigint, size bigint, at bigint"), "heads")
     several = heads.groupBy("element").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("element")
-    heads = _written(heads.join(several, "element", "left_semi"), "heads")
+    heads = scratch.written(heads.join(several, "element", "left_semi"), "heads")
     x = heads.select("element", *[F.col(c).alias(f"{c}_x") for c in ("id", "root", "size", "at")])
     y = heads.select("element", *[F.col(c).alias(f"{c}_y") for c in ("id", "root", "size", "at")])
     least = F.lit(threshold / (1 + threshold)) * (F.col("size_x") + F.col("size_y")) - 1e-6
@@ -319,79 +365,99 @@ def _exact_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
-def _one_text_an_id(texts: DataFrame, sketches: DataFrame) -> DataFrame | None:
-    """``texts`` with the least text of each repeated id, None where no id is repeated."""
-    repeated = sketches.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not repeated.head(1):
-        return None
-    several = texts.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    return texts.join(repeated, "doc_id", "left_anti").select("doc_id", "text").unionAll(several)
-
-
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id`` and ``class_id`` (the least id of its near-duplicate class) of each distinct id."""
-    texts = documents(docs).where(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    sketches = _written(signed(texts), "signatures")
-    single = _one_text_an_id(texts, sketches)
-    if single is not None:
-        texts = _written(single, "texts")
-        sketches = _written(signed(texts), "signatures")
-    first = sketches.groupBy("digest").agg(F.min(F.struct("doc_id")).alias("first")).select("digest", F.col("first.doc_id").alias("id"))
-    members = _written(sketches.select("doc_id", "digest").join(first, "digest").select("doc_id", "id"), "members")
+def classes_of(texts: DataFrame, sketches: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
+    """``doc_id`` and ``class_id`` (the least id of its class) of ``texts``, whose ids are not null and not repeated, with their written ``signed`` table."""
+    first = sketches.groupBy("digest").agg(F.min("doc_id").alias("id"))
+    members = scratch.written(sketches.select("doc_id", "digest").join(first, "digest").select("doc_id", "id"), "members")
     classes = sketches.join(members.where("doc_id = id").select("id"), F.col("doc_id") == F.col("id"), "left_semi")
-    classes = classes.select(F.col("doc_id").alias("id"), "bands", "rest")
-    banded = classes.select("id", F.posexplode("bands").alias("nth", "band"))
+    classes = classes.withColumnRenamed("doc_id", "id")
+    banded = classes.select("id", F.inline(F.arrays_zip("bands", "keys")).alias("band", "key"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = _written(banded.join(shared, "band"), "buckets")
+    buckets = scratch.written(banded.join(shared, "band"), "buckets")
     # From here on only classes that meet others, and their texts.
-    meeting = buckets.select("id").distinct()
-    orders = _written(classes.select("id", "rest").join(meeting, "id", "left_semi"), "orders")
-    texts = _written(texts.join(meeting, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
-    edges, roots, tried = None, None, None
-    for round_ in range(GROUPS + MOST_ROUNDS):
-        first_pass = round_ < GROUPS
-        rooted = buckets.where(F.col("nth") % GROUPS == round_ if first_pass else F.col("n") > ALL_PAIRS)
-        if roots is None:
-            rooted = rooted.withColumn("root", F.col("id"))
-        else:
-            rooted = rooted.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        pairs = _candidates(rooted, orders, 0 if first_pass else round_)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = _written(pairs, "pairs")
+    meeting = _maybe_broadcast(scratch.written(buckets.select("id").distinct(), "meeting"))
+    orders = scratch.written(classes.select("id", "rest").join(meeting, "id", "left_semi"), "orders")
+    texts = scratch.written(texts.join(meeting, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text"), "texts")
+    live, roots, links, tried, seed = _live(_rooted(buckets, None)), None, None, None, 0
+    while True:
+        live = scratch.written(live, "live")
+        pairs = _candidates(live, seed)
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = scratch.written(_agreeing(pairs, orders), "pairs")
         tried = pairs if tried is None else tried.unionAll(pairs)
-        new = _written(verified(pairs, texts, threshold), "links")
-        if new.head(1):
-            new = new.select(F.col("b").alias("u"), F.col("a").alias("v"))
-            # Between the parts nearly merged is enough: equal roots are always linked.
-            edges = merged(new if edges is None else edges.unionAll(new), BETWEEN if round_ + 1 < GROUPS else None)
-            roots = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-        elif round_ + 1 == GROUPS and edges is not None:
-            edges = merged(edges)
-            roots = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-        elif not first_pass:
+        new = scratch.written(verified(pairs, texts, threshold), "links")
+        linked = bool(new.head(1))
+        if linked:
+            links = new if links is None else links.unionAll(new)
+            roots = merged(links, scratch)
+        # What is merged stays so: only buckets that still have several roots go on.
+        live = _live(_rooted(live.where(F.col("n") > ALL_PAIRS), roots))
+        if not linked or seed == MOST_ROUNDS:
             break
-    rooted = buckets.where(F.col("n") > ALL_PAIRS).select("band", "id")
-    if roots is None:
-        rooted = rooted.withColumn("root", F.col("id"))
-    else:
-        rooted = rooted.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    several = rooted.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("band")
-    open_ = _written(rooted.join(several, "band", "left_semi").select("id", "root").distinct(), "open")
+        seed += 1
+    open_ = scratch.written(live.select("id", "root").distinct(), "open")
     if open_.head(1):
-        pairs = _exact_pairs(open_.join(texts.withColumnRenamed("doc_id", "id"), "id"), threshold)
-        pairs = _written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        new = _written(verified(pairs, texts, threshold), "links").select(F.col("b").alias("u"), F.col("a").alias("v"))
+        # The members that stand for their roots are not all: the exact join takes each class of those buckets.
+        bands = live.select("band").distinct()
+        whole = _rooted(buckets.join(bands, "band", "left_semi").select("id").distinct(), roots)
+        pairs = _exact_pairs(whole.join(texts.withColumnRenamed("doc_id", "id"), "id"), threshold, scratch)
+        new = scratch.written(verified(scratch.written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), texts, threshold), "links")
         if new.head(1):
-            edges = merged(new if edges is None else edges.unionAll(new))
-            roots = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-    if roots is None:
-        return members.select("doc_id", F.col("id").alias("class_id"))
-    return members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.coalesce("root", "id").alias("class_id"))
+            roots = merged(new if links is None else links.unionAll(new), scratch)
+    found = _rooted(members.select("doc_id", "id"), roots)
+    return found.select("doc_id", F.col("root").alias("class_id"))
+
+
+def _typed(docs: DataFrame) -> DataFrame:
+    return documents(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id`` and ``class_id`` (the least id of its near-duplicate class) of each distinct id."""
+    spark = docs.sparkSession
+    scratch, out = Scratch(spark), scratch_path(spark, "classes")
+    texts = _typed(docs).where(F.col("doc_id").isNotNull())
+    sketches = scratch.written(signed(texts), "signatures")
+    repeated = sketches.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.head(1):
+        several = texts.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+        texts = scratch.written(texts.join(repeated, "doc_id", "left_anti").select("doc_id", "text").unionAll(several), "texts")
+        sketches = scratch.written(signed(texts), "signatures")
+    classes_of(texts, sketches, scratch, threshold).write.parquet(out)
+    scratch.drop()
+    return spark.read.parquet(out)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs``, all columns, with the document of the least id of each class; rows without an id stay."""
-    found = near_duplicates(docs.where(F.col("doc_id").isNotNull()), threshold)
-    gone = found.where("doc_id != class_id").select(F.col("doc_id").cast("bigint").alias("gone_id"))
-    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("gone_id"), "left_anti")
+    """``docs``, all columns, with one row of each class, that of the least id."""
+    spark = docs.sparkSession
+    scratch, out = Scratch(spark), scratch_path(spark, "gone")
+    texts = _typed(docs)
+    sketches = scratch.written(signed(texts), "signatures")
+    own_id, gone_id = F.col("doc_id").cast("bigint"), F.col("_near_gone")
+    repeated = sketches.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id")
+    if not repeated.head(1):
+        found = classes_of(texts, sketches, scratch, threshold)
+        found.where("doc_id != class_id").select(F.col("doc_id").alias("_near_gone")).write.parquet(out)
+        scratch.drop()
+        return docs.join(spark.read.parquet(out), own_id == gone_id, "left_anti")
+    # Rows whose id is null or repeated are told apart by id and text.
+    repeated = scratch.written(repeated.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_near_twice")), "repeated")
+    node = F.when(F.col("doc_id").isNull() | F.col("_near_twice").isNotNull(), F.xxhash64(own_id, whole_text(), F.lit("row"))).otherwise(own_id)
+
+    def noded(rows: DataFrame) -> DataFrame:
+        return rows.join(repeated, own_id == F.col("_near_twice"), "left").withColumn("_near_node", node)
+
+    nodes = scratch.written(noded(texts).dropDuplicates(["_near_node"]).select(F.col("_near_node").alias("doc_id"), "text", own_id.alias("own")), "nodes")
+    found = classes_of(nodes, scratch.written(signed(nodes), "signatures"), scratch, threshold)
+    found = scratch.written(found.join(nodes.drop("text"), "doc_id"), "classes")
+    least = found.groupBy("class_id").agg(F.min(F.struct(F.col("own").isNull().alias("none"), "own", F.col("doc_id").alias("node"))).alias("least"))
+    kept = found.join(least, "class_id").where(F.col("doc_id") == F.col("least.node")).select(F.col("doc_id").alias("_near_kept"))
+    kept.write.parquet(out)
+    rows = noded(docs).join(spark.read.parquet(out), F.col("_near_node") == F.col("_near_kept"), "left_semi")
+    odd = F.col("doc_id").isNull() | F.col("_near_twice").isNotNull()
+    whole = rows.where(~odd).unionAll(rows.where(odd).dropDuplicates(["_near_node"])).select(*docs.columns)
+    result = scratch_path(spark, "kept")
+    whole.write.parquet(result)
+    scratch.drop()
+    return spark.read.parquet(result)

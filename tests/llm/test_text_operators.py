@@ -205,11 +205,38 @@ def test_near_duplicates_isolated_pairs_among_texts_of_one_template(spark):
     assert {r.doc_id: r.class_id for r in bagminhash.near_duplicates(docs).collect()} == want
 
 
-def test_keep_one_keeps_columns_and_rows_without_id(odd):
+def kept_rows(rows: list[tuple]) -> list[tuple]:
+    """Of all rows (id, text) one of each class, the least id's (none last), from all pairs."""
+    nodes = sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    classes = plain_classes({k: t for k, (_, t) in enumerate(nodes)})
+    return [nodes[k] for k, root in classes.items() if k == root]
+
+
+def test_keep_one_keeps_columns_and_one_row_of_each_class(odd):
     kept = bagminhash.keep_one(odd)
     assert kept.columns == odd.columns
-    ids = collections.Counter(r.doc_id for r in kept.select("doc_id").collect())
-    assert ids[None] == 2 and 7 not in ids and 10 not in ids and ids[6] == ids[9] == 1
+    got = sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=repr)
+    assert got == sorted(kept_rows(odd_rows()), key=repr)
+    # The copy without an id goes, the text of its own stays.
+    assert [t for i, t in got if i is None] == ["no id"]
+
+
+def test_keep_one_compares_rows_not_ids(spark):
+    a, b = (invented(random.Random(k), 60) for k in (1, 2))
+    for rows in ([(1, a), (5, a), (5, b)], [(1, a), (2, a), (2, a), (3, b)], [(5, a), (5, a), (5, a)], [(None, a), (None, a), (None, b)]):
+        kept = bagminhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+        assert sorted(map(tuple, kept.collect()), key=repr) == sorted(kept_rows(rows), key=repr), rows
+
+
+def test_near_duplicates_leave_no_scratch_behind(spark, odd):
+    import os
+
+    from skillmesh.session import checkpoint_dir
+
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    bagminhash.near_duplicates(odd)
+    assert [x for x in set(os.listdir(folder)) - before if "near-duplicates" in x] == []
 
 
 def test_near_duplicates_of_an_empty_table(nothing):
