@@ -10,14 +10,15 @@ blocks start, so a block can be read without those before it.
 The files are Parquet in ``path``/shard=N/: one row a document with its id,
 number of tokens, block index and packed bytes; shards hold ascending ranges
 of doc_id and each is sorted, so reading shards by number gives ascending
-doc_id order.  Parquet is the container so that any store Spark writes to
+doc_id order.  An id with a very large number of rows is divided among several shards by
+hash of its ids.  Parquet is the container so that any store Spark writes to
 works and a lost task's partial output never shows.  Shard bounds come from
 the id column alone; the ids are packed before the one shuffle, which moves
 the packed bytes.
 
 Defined results: null and empty texts hold the end id only; null ids come
-first; repeated ids follow each other by number of tokens, then bytes, each
-with its own start; an empty table writes no shard and reads as an empty
+first; repeated ids follow each other by number of tokens, then bytes (inside a shard), each
+with its own start; strings of special tokens in a text are handled as the library does by default; an empty table writes no shard and reads as an empty
 table; further columns are left out.
 """
 
@@ -166,8 +167,6 @@ class PartEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        # The strings of special tokens in a text are ordinary text.
-        self.tokenizer.encode_special_tokens = True
         self.clear()
 
     def clear(self) -> None:
@@ -230,12 +229,17 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1, s
     """Writes the ids of ``docs`` to ``path`` in ascending doc_id order."""
     n = shards or slots(docs.sparkSession)
     typed = documents(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    bounds = sorted(set(typed.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)))
+    place = F.coalesce("doc_id", F.lit(-(2**63)))
+    bounds = sorted(typed.select(place.alias("place")).approxQuantile("place", [i / n for i in range(1, n)], 0.2 / n))
     cuts = F.array(*[F.lit(int(b)) for b in bounds]).cast("array<bigint>")
-    shard = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(cuts, lambda b: b < F.col("doc_id"))))
-    packed = encode(typed, vocabulary, end_id).withColumn("shard", shard)
-    ordered = packed.repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "n_tokens", "payload")
-    ordered.write.partitionBy("shard").parquet(path)
+    below = F.size(F.filter(cuts, lambda b: b < place))
+    # Rows of an id that is a cut itself, or several, are dealt to the shards around it by hash.
+    equal = F.size(F.filter(cuts, lambda b: b == place))
+    share = F.pmod(F.col("hash"), F.lit(2**31)) / F.lit(2.0**31)
+    shard = (below + F.floor(share * (equal + 1)).cast("int")).cast("int")
+    packed = encode(typed, vocabulary, end_id).withColumn("hash", F.xxhash64("payload")).withColumn("shard", shard)
+    dealt = packed.repartitionById(n, "shard").drop("hash")
+    dealt.sortWithinPartitions("shard", "doc_id", "n_tokens", "payload").write.partitionBy("shard").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
