@@ -1,7 +1,8 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Texts and benchmark items are normalised: lower case, every run of anything
-but letters and digits is one space, UTF-8 bytes.  An item is cut into
+Texts and benchmark items are normalised: lower case, every run of ASCII characters
+but letters and digits is one space, UTF-8 bytes; all characters beyond ASCII stay, so
+curly quotes and dashes cost edits against plain ones.  An item is cut into
 segments of ``SEGMENT`` bytes, one every ``STEP``, and of ``PART`` bytes, one
 every half of that (an item of up to ``PART`` bytes is a segment as a whole); a
 document holds an item if some segment lies in it within the segment's edit
@@ -25,7 +26,7 @@ Nothing is shuffled.
 Defined results: null and empty texts and items hold nothing; alignments do
 not pass from one text to the next; an item under ``LEAST`` bytes counts as one
 segment without edits; repeated documents each get their own rows; items with one text each match (ties stay);
-repeated item ids count as one item with several texts; empty tables give an
+repeated item ids count as one item with several texts, repeated rows as one; empty tables give an
 empty result; further columns are left out by ``find``, kept by ``remove``.
 """
 
@@ -256,7 +257,7 @@ class Index:
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
     """Indexes of the benchmark, some ``BLOCK_BYTES`` of text each."""
-    items = documents(benchmark, id_col, text_col).where(F.col("doc_id").isNotNull())
+    items = documents(benchmark, id_col, text_col).where(F.col("doc_id").isNotNull()).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // BLOCK_BYTES) + 1
     for k in range(n):
