@@ -24,14 +24,17 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import drop_path, scratch_path
 from .common import crc_mod, documents
 
 #: Letters of other alphabets that look like Latin ones.
@@ -100,7 +103,10 @@ class Lexicon:
             else:
                 found.append((start, end, weight))
         if excepted:
-            found = [x for x in found if not any(a <= x[0] and x[1] <= b for a, b in excepted)]
+            # Of the exceptions that begin no later than a match, the one that reaches furthest.
+            begins, ends = zip(*sorted(excepted), strict=True)
+            reach = list(accumulate(ends, max))
+            found = [x for x in found if not (k := bisect_right(begins, x[0])) or reach[k - 1] < x[1]]
         return found
 
     def features(self, text: str) -> tuple[float, float, float, float]:
@@ -146,6 +152,15 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "t
     # Three quarters choose the words, one quarter fits the curve.
     known = known.withColumn("curve", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4)) == 0)
     texts = documents(docs).withColumn("doc_id", F.col("doc_id").cast("bigint")).join(F.broadcast(known), "doc_id")
+    path = scratch_path(docs.sparkSession, "labelled")
+    texts.select("text", "label", "curve").write.parquet(path)  # the sample, read by the passes below
+    try:
+        return _learned(docs.sparkSession.read.parquet(path), max_terms, least_z)
+    finally:
+        drop_path(docs.sparkSession, path)
+
+
+def _learned(texts: DataFrame, max_terms: int, least_z: float) -> Lexicon:
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = Counter(), Counter()
