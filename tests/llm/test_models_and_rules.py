@@ -180,3 +180,70 @@ def test_pipeline_stages_keep_columns_and_their_decisions(spark, tmp_path):
     import hashlib
 
     assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in last.collect())
+
+
+# Long texts, repeated rows and clashing names
+
+
+def test_matches_equal_a_plain_scan():
+    import random
+    import re
+
+    rng = random.Random(7)
+    weights = {"idiot": 2.0, "trash": 1.0, "can": 3.0, "clown": 1.5, "trash can lid": 4.0, "a b": 1.0}
+    lexicon = toxicity.Lexicon(weights)
+    some = [*weights, *toxicity.EXCEPTIONS, "of", "x", "canned", "b a b", "trash\ncan", "."]
+    for _ in range(400):
+        folded = toxicity.fold(rng.choice(["", " "]).join(rng.choice(some) + rng.choice([" ", "", ", "]) for _ in range(rng.randint(0, 12))))
+
+        def spans(term, text=folded):
+            term = toxicity.fold(term)
+            whole = [m.start() for m in re.finditer(f"(?={re.escape(term)})", text)]
+            return [(a, a + len(term)) for a in whole if not re.match(r"\w", text[a - 1 : a]) and not re.match(r"\w", text[a + len(term) :])]
+
+        excepted = [s for e in toxicity.EXCEPTIONS for s in spans(e)]
+        want = sorted((a, b, w) for t, w in weights.items() for a, b in spans(t) if not any(x <= a and b <= y for x, y in excepted))
+        assert sorted(lexicon.matches(folded)) == want, folded
+
+
+def test_exceptions_take_linear_time():
+    import time
+
+    lexicon = toxicity.Lexicon({"trash": 1.0, "idiot": 1.0})
+    began = time.process_time()
+    assert len(lexicon.matches("trash can idiot " * 40_000)) == 40_000
+    assert time.process_time() - began < 5
+
+
+def test_verdicts_beside_clashing_columns(spark):
+    schema = "page_id bigint, url string, action string, won_host string, `_h` string, Part string, suffix string, lengths string, n int"
+    pages = spark.createDataFrame([(1, "http://x.net/", "a", "b", "c", "d", "e", "f", 7), (2, None, *"abcdef", 7)], schema)
+    rules = spark.createDataFrame(registry.URL_RULES, "host string, path string, action string")
+    got = {r.page_id: r.asDict() for r in url_filter.judge(pages, rules).collect()}
+    assert [got[i]["verdict"] for i in (1, 2)] == ["block", "allow"]
+    assert all([got[i][c] for c in ("action", "won_host", "_h", "Part", "suffix", "lengths", "n")] == [*"abcdef", 7] for i in got)
+
+
+def test_measures_beside_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c a b c", "w", "g", 5), (2, None, "v", "h", 6)], "doc_id bigint, text string, `_words` string, _grams string, n_lines int")
+    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert [(got[i]._words, got[i]._grams, got[i].n_words, got[i].n_lines) for i in (1, 2)] == [("w", "g", 6, 1), ("v", "h", 0, 0)]
+
+
+def test_normal_equations_equal_dense_ones(spark):
+    """Scores follow a plain ridge fit on the same random features: ranks agree with the labels they were made from."""
+    rows = [(i, ("good plain words in long sentences " * (3 + i % 5)) if i % 2 else "!!! $$$ ### " * (2 + i % 4)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id bigint, quality int")
+    got = {r.doc_id: r.score for r in quality_model.learn_and_score(docs, labels, F.lit(True)).collect()}
+    assert min(s for i, s in got.items() if i % 2) > max(s for i, s in got.items() if not i % 2)
+
+
+def test_pipeline_on_odd_rows_and_an_empty_table(spark, odd, nothing, tmp_path):
+    sources = [c for c in odd.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    for at, docs in enumerate((odd.drop(*sources), nothing.drop(*sources))):
+        for name, stage in corpus_pipeline.STAGES:
+            path = str(tmp_path / f"{at}-{name}")
+            stage(spark, docs, SF).write.parquet(path)
+            docs = spark.read.parquet(path)
+        assert (docs.count() > 10) == (at == 0)

@@ -107,6 +107,31 @@ def test_written_ids_equal_the_library(spark, odd, tmp_path):
     assert ids == sorted(ids)
 
 
+def test_written_special_strings_are_the_library_s(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(file)
+    rows = [(1, "a <|endoftext|> b"), (2, "x<|startoftext|>y <|END|> <|endoftext|>")]
+    with open(file, encoding="utf-8") as f:
+        token_output.write_tokens(spark.createDataFrame(rows, "doc_id bigint, text string"), f.read(), str(tmp_path / "special"))
+    got = {r.doc_id: list(r.ids) for r in token_output.read_ids(spark, str(tmp_path / "special")).collect()}
+    assert got == {i: library.encode(t, add_special_tokens=False).ids + [1] for i, t in rows} and got[1] == [320, 49407, 321, 1]
+
+
+def test_rows_of_one_id_are_divided_among_shards(spark, tmp_path):
+    rows = [(7 if i % 3 else i, f"text {i} of it " * (1 + i % 4)) for i in range(300)] + [(None, f"no id {i}") for i in range(150)]
+    path = str(tmp_path / "hot")
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        token_output.write_tokens(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), f.read(), path, shards=9)
+    shards = token_output.read_tokens(spark, path).groupBy("shard").count().collect()
+    assert len(shards) > 6 and max(r["count"] for r in shards) < 150
+    found = sorted(token_output.digests(spark, path).collect(), key=lambda r: r.start)
+    assert len(found) == 450 and [r.start for r in found] == np.cumsum([0, *(r.n_tokens for r in found)])[:-1].tolist()
+    ids = [-1 if r.doc_id is None else r.doc_id for r in found]
+    assert ids == sorted(ids)
+
+
 def test_written_empty_table(spark, nothing, tmp_path):
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         token_output.write_tokens(nothing, f.read(), str(tmp_path / "none"))
@@ -130,6 +155,15 @@ def test_substring_dedup_of_an_empty_table(nothing):
     assert substring_dedup.dedup(nothing).count() == 0
 
 
+def test_substring_dedup_of_many_equal_rows(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, text)] * 3000 + [(5, text)] * 1000 + [(6, "own words " * 30)]
+    got = substring_dedup.digests(substring_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()
+    want = substring_dedup.brute_force([text, text, rows[-1][1]])
+    assert len(got) == 4001
+    assert {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got} == {(i, *w) for i, w in zip((None, 5, 6), want, strict=True)}
+
+
 # Near duplicates
 
 
@@ -331,6 +365,12 @@ def test_decontamination_aligns_no_item_across_two_texts():
     assert holding([item[:60]], ["x " + item[:30], item[30:60]]) == set()
 
 
+def test_repeated_items_count_once(spark, odd):
+    items = [(1, odd_rows()[8][1][:300]), (1, odd_rows()[8][1][:300]), (2, "one")]
+    once, thrice = (spark.createDataFrame(x, "item_id bigint, text string") for x in (items[1:], items * 3))
+    assert sorted_rows(decontamination.find(odd, once)) == sorted_rows(decontamination.find(odd, thrice)) != []
+
+
 def test_decontamination_in_blocks_and_on_empty_tables(spark, odd, nothing, monkeypatch):
     text = odd.where("doc_id = 9").first().text
     benchmark = spark.createDataFrame([(k, text[200 * k : 200 * k + 150]) for k in range(8)], "item_id bigint, text string")
@@ -399,6 +439,58 @@ def test_tags_do_not_depend_on_neighbouring_texts(tagger):
         assert (alone is None) == (own is None) and (own is None or (alone == own).all())
 
 
+def test_tags_equal_enumerated_ones():
+    """Decoding a window gives the best of all tag sequences."""
+    import itertools
+
+    tagger = pii.Tagger(hidden=3)
+    rng = np.random.default_rng(5)
+    tagger.p["t"] = rng.normal(size=tagger.p["t"].shape).astype(tagger.p["t"].dtype)
+    x = rng.integers(0, pii.CLASSES, (3, 4))
+    moves = tagger.p["t"] + tagger.allowed
+    for row, got in zip(tagger.emissions(x)[0], tagger.decode(x), strict=True):
+
+        def total(tags, row=row):
+            return tagger.first[tags[0]] + sum(row[i, t] for i, t in enumerate(tags)) + sum(moves[a, b] for a, b in itertools.pairwise(tags))
+
+        best = max(itertools.product(range(pii.TAGS), repeat=4), key=total)
+        assert total(tuple(int(t) for t in got)) == pytest.approx(total(best), abs=1e-4)
+
+
+def test_spans_take_linear_time_and_touch_no_base_span():
+    import time
+
+    text = "1.2.3.4 x " * 20_000
+    base = pii.base_spans(text)
+    tags = np.zeros(len(text), np.int64)
+    tags[8::10] = 1
+    began = time.process_time()
+    spans = pii.all_spans(text, tags, base)
+    assert time.process_time() - began < 10 and set(base["ip"]) <= set(spans["ip"])
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice("1234.+- @ab") for _ in range(60))
+        base, tags = pii.base_spans(text), np.array([rng.choice([0, 0, 1, 2, 2, 7, 8, 8]) for _ in text])
+        got, taken = pii.all_spans(text, tags, base), [s for own in base.values() for s in own]
+        for kind in pii.KINDS:
+            assert got[kind] == sorted(got[kind]) and set(base[kind]) <= set(got[kind])
+            for a, b in set(got[kind]) - set(base[kind]):
+                assert not any(s < b and a < e for s, e in taken), text
+
+
+def test_spelled_out_places_get_a_window():
+    for text in ("write to ann AT corp DOT com now", "ann ( at ) corp ( dot ) com", "alexandra.maximiliana-longname at somewhere dot org"):
+        assert pii.windows_of(text), text
+    assert pii.windows_of("we met at the station at noon") == []
+
+
+def test_training_sends_windows_not_texts():
+    x, y, context = pii.text_windows("of the " * 200 + "call +1 (487) 555-7209 " * 300, 5)
+    assert x.shape == y.shape == (pii.WINDOWS_A_TEXT, pii.WIDTH) and len(context) <= pii.CONTEXT_CHARS and y.max() > 0
+    x, y, context = pii.text_windows("", 5)
+    assert len(x) == 0 and context == ""
+
+
 def test_gradients_agree_with_differences():
     tagger = pii.Tagger(hidden=4)
     rng = np.random.default_rng(0)
