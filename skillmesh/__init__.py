@@ -10,6 +10,7 @@ from skillmesh.operators.lookups import (
     list_countries,
     search_skills,
     skills_by_country,
+    skills_by_country_requests,
     trend_by_year,
     trend_by_year_nested,
 )
@@ -22,6 +23,8 @@ from skillmesh.operators.rollups import (
     build_skill_counts,
     build_skill_counts_by_country,
 )
+from skillmesh.operators.skill_index import postings_with_all_skills, write_skill_index
+from skillmesh.operators.title_index import matched_postings_indexed, write_title_index
 from skillmesh.operators.titles import (
     keywords_from_lists,
     clean_titles,
@@ -56,13 +59,15 @@ __all__ = [
     "keywords_from_lists",
     "list_countries",
     "load_or_empty",
+    "matched_postings_indexed",
     "merge_keywords",
     "normalize_titles",
     "persist_postings",
+    "postings_with_all_skills",
     "profession_of_title",
     "profile_summary",
-    "read_counts",
     "read_country_keyed",
+    "read_counts",
     "read_keywords",
     "read_postings",
     "recommend_titles",
@@ -72,8 +77,11 @@ __all__ = [
     "skill_frequency",
     "skill_profile",
     "skills_by_country",
+    "skills_by_country_requests",
     "to_json_lines",
     "trend_by_year",
     "trend_by_year_nested",
     "write_country_keyed",
+    "write_skill_index",
+    "write_title_index",
 ]
