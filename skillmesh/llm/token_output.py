@@ -24,8 +24,13 @@ table; further columns are left out.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +45,8 @@ from .common import documents, slots
 BLOCK = 128
 #: Share of a block's differences that the packed width must hold.
 PERCENTILE = 0.9
-#: Parts of texts whose ids a task remembers at most.
-CACHED_PARTS = 300_000
+#: Words whose ids a task remembers, about.
+CACHED_WORDS = 400_000
 
 RECORD = T.StructType(
     [
@@ -82,32 +87,34 @@ def pack(ids: np.ndarray, counts: np.ndarray, percentile: float = PERCENTILE) ->
     high = grid >> width[:, None]
     odd = (high > 0) & real
     low = grid & ((np.int64(1) << width) - 1)[:, None]
-    packed: list[bytes] = [b""] * n
-    for w in np.unique(width):
-        rows = np.flatnonzero(width == w)
-        bits = ((low[rows][:, :, None] >> np.arange(w)[None, None, :]) & 1).astype(np.uint8)
-        own = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
-        for i, r in zip(rows, own, strict=True):
-            packed[i] = r[: (int(size[i]) * int(w) + 7) // 8].tobytes()
-    n_odd = odd.sum(axis=1)
+    n_odd, n_bytes = odd.sum(axis=1), (size * width + 7) // 8
+    length = 8 + n_bytes + 5 * n_odd
+    start = np.cumsum(length) - length
+    out = np.zeros(int(length.sum()), np.uint8)
     head = np.zeros((n, 8), np.uint8)
     head[:, :4] = least.astype("<u4").view(np.uint8).reshape(n, 4)
     head[:, 4], head[:, 5], head[:, 6] = width, size, n_odd
-    _, where = np.nonzero(odd)
-    where, over = where.astype(np.uint8), high[odd].astype("<u4")
-    ends = np.cumsum(n_odd)
-    blocks = [
-        head[i].tobytes() + packed[i] + where[e - k : e].tobytes() + over[e - k : e].tobytes()
-        for i, (k, e) in enumerate(zip(n_odd, ends, strict=True))
-    ]
-    indexes, payloads, last = [], [], 0
-    for k in per_doc:
-        own = blocks[last : last + k]
-        last += k
-        starts = np.cumsum([0, *map(len, own)])[: len(own)]
-        indexes.append(starts.astype("<u4").tobytes())
-        payloads.append(b"".join(own))
-    return indexes, payloads
+    out[start[:, None] + np.arange(8)] = head
+    for w in np.unique(width[width > 0]):
+        rows = np.flatnonzero(width == w)
+        bits = ((low[rows][:, :, None] >> np.arange(w)[None, None, :]) & 1).astype(np.uint8)
+        own = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
+        span = np.arange(own.shape[1])
+        held = span < n_bytes[rows][:, None]
+        out[((start[rows] + 8)[:, None] + span)[held]] = own[held]
+    block, where = np.nonzero(odd)
+    nth = np.arange(len(block)) - np.repeat(np.cumsum(n_odd) - n_odd, n_odd)
+    exceptions = (start + 8 + n_bytes)[block]
+    out[exceptions + nth] = where
+    over = high[odd].astype("<u4").view(np.uint8).reshape(-1, 4)
+    out[(exceptions + n_odd[block] + 4 * nth)[:, None] + np.arange(4)] = over
+    last = np.cumsum(per_doc)
+    ends = np.append(start, len(out))
+    begins = ends[last - per_doc]
+    indexes = np.split((start - np.repeat(begins, per_doc)).astype("<u4"), last[:-1])
+    raw = out.tobytes()
+    payloads = [raw[i:j] for i, j in zip(begins.tolist(), ends[last].tolist(), strict=True)]
+    return [x.tobytes() for x in indexes], payloads
 
 
 def unpack_block(payload: bytes, start: int) -> np.ndarray:
@@ -160,40 +167,100 @@ def unpack_many(payloads: list[bytes], indexes: list[bytes]) -> tuple[np.ndarray
     return grid[np.arange(BLOCK)[None, :] < size[:, None]], counts
 
 
-class PartEncoder:
-    """Ids of texts by a tokenizer that drops white space: each part between spaces is encoded once."""
+#: Texts and parts of these characters are cut into words here: their lower case and classes do not depend on the Unicode version.
+_PLAIN = re.compile("[ -~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF\t\n\r]*")
+#: Marks in the stream of words: a text's end, a part that the library's whole tokenizer takes.
+_END, _ODD = "\x00", "\x02"
+#: Fixed value: what the vocabulary's pattern matches in lower-cased plain text; and the marks.
+_WORDS = re.compile("\x00|\x02|'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^\\sa-z0-9\u00DF-\u00F6\u00F8-\u00FF\x00\x02]+")
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it is printable in Latin-1, else the next from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+def plain_file(vocabulary: str) -> bool:
+    """Whether the file's steps before its BPE model are those that ``WordEncoder`` takes by itself for plain texts."""
+    file = json.loads(vocabulary)
+    steps = [*(file.get("normalizer") or {}).get("normalizers", []), *(file.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    kinds = [(x.get("type"), (x.get("pattern") or {}).get("Regex"), x.get("behavior"), x.get("invert"), x.get("use_regex"), x.get("add_prefix_space")) for x in steps]
+    pattern = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"  # fixed value
+    return kinds == [
+        ("NFC", None, None, None, None, None),
+        ("Replace", "\\s+", None, None, None, None),
+        ("Lowercase", None, None, None, None, None),
+        ("Split", pattern, "Removed", True, None, None),
+        ("ByteLevel", None, None, None, False, False),
+    ] and not file["model"].get("dropout") and all("<|" in t["content"] for t in file.get("added_tokens") or [])
+
+
+class _Words(dict):
+    """Word to number; the ids of new words are looked up as they come."""
+
+    def __init__(self, ids_of):
+        super().__init__()
+        self.ids_of, self.flat, self.counts = ids_of, array("q"), array("q")
+
+    def __missing__(self, word: str) -> int:
+        ids = self.ids_of(word)
+        self.flat.extend(ids)
+        self.counts.append(len(ids))
+        self[word] = n = len(self)
+        return n
+
+
+class WordEncoder:
+    """Ids of texts by a tokenizer that drops white space.
+
+    Plain texts are cut into words, which go straight to the library's BPE
+    model, each once; of other texts, and those that may hold the string of a special
+    token, each part between spaces that is not plain goes through the library's whole tokenizer.
+    """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # cores belong to Spark's tasks
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.clear()
+        self.model, self.plain_file, self.letters = self.tokenizer.model, plain_file(vocabulary), byte_letters()
+        self.words = _Words(self._ids)
+
+    def _ids(self, word: str) -> list[int]:
+        if word[0] == _ODD:
+            return self.tokenizer.encode(word[1:], add_special_tokens=False).ids if word[1:] else []
+        if word == _END:
+            return [self.end]
+        text = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        return [t.id for t in self.model.tokenize(text)]
 
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
+    def _is_plain(self, text: str) -> bool:
+        return self.plain_file and _PLAIN.fullmatch(text) is not None and "<|" not in text
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, each with ``end`` after them, and the number of ids of each."""
-        if len(self.number) > CACHED_PARTS:
-            self.clear()
-        parts = [t.split(" ") for t in texts]
-        new = list({p for own in parts for p in own}.difference(self.number))
-        number = self.number
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            for p in some:
-                number[p] = len(number)
-            self.counts.append(np.fromiter(map(len, found), np.int64, len(found)))
-            self.ids.append(np.array([i for own in found for i in own], np.int64))
-        ids, counts = np.concatenate([*self.ids, [end]]), np.concatenate([*self.counts, [1]])
-        self.ids, self.counts = [ids[:-1]], [counts[:-1]]
-        last = [len(counts) - 1]
-        which = np.concatenate([x for own in parts for x in (np.fromiter(map(number.__getitem__, own), np.int64, len(own)), last)])
-        of_text = np.repeat(np.arange(len(parts)), [len(p) + 1 for p in parts])
-        n = np.bincount(of_text, weights=counts[which], minlength=len(parts)).astype(np.int64)
+        self.end = end
+        if len(self.words) > CACHED_WORDS:
+            self.words = _Words(self._ids)
+        odd: list[str] = []
+        stream: list[str] = []
+        for text in texts:
+            if not self._is_plain(text):
+                parts = text.split(" ")
+                fits = [self._is_plain(p) for p in parts]
+                odd += [_ODD + p for p, fit in zip(parts, fits, strict=True) if not fit]
+                text = " ".join([p if fit else _ODD for p, fit in zip(parts, fits, strict=True)])
+            stream.append(text)
+        found = _WORDS.findall(_END.join([*stream, ""]).lower())
+        words = self.words
+        last, first_odd = words[_END], words[_ODD]
+        which = np.fromiter(map(words.__getitem__, found), np.int64, len(found))
+        which[which == first_odd] = np.fromiter(map(words.__getitem__, odd), np.int64, len(odd))
+        ids, counts = (np.array(np.frombuffer(x, np.int64)) for x in (words.flat, words.counts))
+        ends = np.flatnonzero(which == last)
+        n = np.diff(np.cumsum(counts[which])[ends], prepend=0)
         return take_runs(ids, counts, which), n
 
 
@@ -201,7 +268,7 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
     """A packed record (``RECORD``) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PartEncoder(vocabulary)
+        encoder = WordEncoder(vocabulary)
         for batch in batches:
             for some in _slices(batch, batch.column(1)):
                 ids, counts = encoder.encode(some.column(1).to_pylist(), end_id)
