@@ -119,6 +119,23 @@ def test_written_special_strings_are_the_library_s(spark, tmp_path):
     assert got == {i: library.encode(t, add_special_tokens=False).ids + [1] for i, t in rows} and got[1] == [320, 49407, 321, 1]
 
 
+def test_words_of_plain_texts_are_the_library_s():
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocabulary = f.read()
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        assert token_output.plain_file(vocabulary) and not token_output.plain_file(f.read())
+    library, encoder = Tokenizer.from_str(vocabulary), token_output.WordEncoder(vocabulary)
+    rng = random.Random(1)
+    some = [chr(c) for c in range(33, 256)] + [*"ǅİſßẞΣςé́漢①²½  \n\t\r\x00\x02\x1c\x85\xa0", "'s", "'T", "'re", "<|endoftext|>", "<|", "É"]
+    for size in (30, 4):
+        texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, size))) for _ in range(4000)]
+        ids, n = encoder.encode(texts, 1)
+        want = [e.ids + [1] for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for own in want for i in own]
+
+
 def test_rows_of_one_id_are_divided_among_shards(spark, tmp_path):
     rows = [(7 if i % 3 else i, f"text {i} of it " * (1 + i % 4)) for i in range(300)] + [(None, f"no id {i}") for i in range(150)]
     path = str(tmp_path / "hot")
