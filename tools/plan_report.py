@@ -1,4 +1,4 @@
-"""Tabulate the executed (final adaptive) plan of every registered query.
+"""Tabulate the executed (final adaptive) plan of every registered query of the survey's operators.
 
 Usage: python tools/plan_report.py [sf_dir] > PLANS.md
 
@@ -25,7 +25,7 @@ COUNTED = [
     ("top-k", r"TakeOrderedAndProject"),
     ("window limit", r"WindowGroupLimit"),
     ("sort agg", r"SortAggregate"),
-    ("python", r"BatchEvalPython|ArrowEvalPython|FlatMapGroupsInPandas|MapInPandas"),
+    ("python", r"BatchEvalPython|ArrowEvalPython|FlatMapGroupsInPandas|MapInPandas|MapInArrow"),
 ]
 
 
@@ -41,7 +41,7 @@ def main(argv):
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     from pyspark.sql import SparkSession
 
-    import __spark_entry__ as entry
+    from skillmesh.plans import registry
 
     spark = (
         SparkSession.builder.master("local[8]")
@@ -55,7 +55,7 @@ def main(argv):
     print(f"Final adaptive plans of the registered queries at `{sf_dir}` (counts of operators).\n")
     print("| " + " | ".join(header) + " |")
     print("| " + " | ".join("---" for _ in header) + " |")
-    for key, fn in entry.queries().items():
+    for key, fn in registry.QUERIES.items():
         text = final_plan(fn(spark, sf_dir))
         cells = [f"`{key}`"] + [str(len(re.findall(p, text))) for _, p in COUNTED]
         print("| " + " | ".join(cells) + " |", flush=True)
