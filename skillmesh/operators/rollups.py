@@ -81,12 +81,15 @@ def _nested(postings: DataFrame, key: str, list_name: str, rows_per_key: int, li
         part = F.pmod(F.xxhash64("job_title"), F.lit(rows_per_key)).alias("_part")
         return pairs.groupBy(key, part).agg(entries).select(key, list_name)
     grouped = pairs.withColumn("_group", F.pmod(F.xxhash64("job_title"), F.lit(GROUPS)))
-    inside = Window.partitionBy(key, "_group")
-    numbered = grouped.withColumn("_nth", F.row_number().over(inside.orderBy("job_title"))).withColumn("_size", F.count(F.lit(1)).over(inside))
-    sizes = numbered.where("_nth = 1").select(F.col(key).alias("_key"), F.col("_group").alias("_of"), "_size")
-    upto = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    # ``count`` closes both orders although it decides nothing: it stays alive
+    # in both branches, so both read the one aggregate (ReusedExchange); so
+    # does the null-safe join, which infers no filter on one of them.
+    inside = Window.partitionBy(key, "_group").orderBy("job_title", "count")
+    numbered = grouped.withColumn("_nth", F.row_number().over(inside))
+    sizes = grouped.groupBy(F.col(key).alias("_key"), F.col("_group").alias("_of")).agg(F.count(F.lit(1)).alias("_size"), F.sum("count").alias("_all"))
+    upto = Window.partitionBy("_key").orderBy("_of", "_all").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("_key", "_of", F.coalesce(F.sum("_size").over(upto), F.lit(0)).alias("_before"))
-    placed = numbered.join(before, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_group") == F.col("_of")))
+    placed = numbered.join(before, F.col(key).eqNullSafe(F.col("_key")) & F.col("_group").eqNullSafe(F.col("_of")))
     row = F.floor((F.col("_before") + F.col("_nth") - 1) / F.lit(list_rows)).alias("_row")
     return placed.groupBy(key, row).agg(entries).select(key, list_name)
 

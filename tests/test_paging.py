@@ -76,6 +76,16 @@ def test_lists_hold_at_most_their_rows(postings, list_rows):
     assert lookups.jobs_by_country(cut, "nation_6", 5).collect() == lookups.jobs_by_country(whole, "nation_6", 5).collect()
 
 
+def test_nested_builder_reads_the_postings_once(spark, postings):
+    path = scratch_path(spark, "t-once")
+    postings.write.parquet(path)
+    df = rollups.build_job_counts_by_country(spark.read.parquet(path))
+    for nested in (df, df.select("search_country")):
+        nested.collect()
+        final = plan(nested).split("== Initial Plan ==")[0]
+        assert final.count("FileScan") == 1 and "ReusedExchange" in final
+
+
 def test_nested_lists_keep_null_keys_and_titles(spark):
     rows = [(None, "X"), ("a", None), ("a", None), ("a", "X"), (None, None)]
     df = spark.createDataFrame([(t, c, None, None) for c, t in rows], schemas.POSTINGS)
