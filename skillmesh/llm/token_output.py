@@ -29,7 +29,7 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -79,14 +79,15 @@ def pack(ids: np.ndarray, counts: np.ndarray, percentile: float = PERCENTILE) ->
     begin = (np.cumsum(counts) - counts)[doc] + nth * BLOCK
     at = np.arange(BLOCK)
     real = at[None, :] < size[:, None]
-    grid = ids[np.minimum(begin[:, None] + at[None, :], max(len(ids) - 1, 0))].astype(np.int64)
-    least = np.where(real, grid, np.iinfo(np.int64).max).min(axis=1)
+    kind = np.int32 if not len(ids) or ids.max() < 2**31 else np.int64
+    grid, none = ids.astype(kind)[np.minimum(begin[:, None] + at[None, :], max(len(ids) - 1, 0))], np.iinfo(kind).max
+    least = np.where(real, grid, none).min(axis=1)
     grid = np.where(real, grid - least[:, None], 0)
-    ranked = np.sort(np.where(real, grid, np.iinfo(np.int64).max), axis=1)
+    ranked = np.sort(np.where(real, grid, none), axis=1)
     width = _widths(ranked[np.arange(n), np.ceil(size * percentile).astype(np.int64) - 1])
-    high = grid >> width[:, None]
+    high = grid >> width[:, None].astype(kind)
     odd = (high > 0) & real
-    low = grid & ((np.int64(1) << width) - 1)[:, None]
+    low = grid & ((np.int64(1) << width) - 1)[:, None].astype(kind)
     n_odd, n_bytes = odd.sum(axis=1), (size * width + 7) // 8
     length = 8 + n_bytes + 5 * n_odd
     start = np.cumsum(length) - length
@@ -97,7 +98,7 @@ def pack(ids: np.ndarray, counts: np.ndarray, percentile: float = PERCENTILE) ->
     out[start[:, None] + np.arange(8)] = head
     for w in np.unique(width[width > 0]):
         rows = np.flatnonzero(width == w)
-        bits = ((low[rows][:, :, None] >> np.arange(w)[None, None, :]) & 1).astype(np.uint8)
+        bits = ((low[rows][:, :, None] >> np.arange(w, dtype=kind)[None, None, :]) & 1).astype(np.uint8)
         own = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
         span = np.arange(own.shape[1])
         held = span < n_bytes[rows][:, None]
@@ -172,7 +173,7 @@ _PLAIN = re.compile("[ -~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF\t\n\r]*")
 #: Marks in the stream of words: a text's end, a part that the library's whole tokenizer takes.
 _END, _ODD = "\x00", "\x02"
 #: Fixed value: what the vocabulary's pattern matches in lower-cased plain text; and the marks.
-_WORDS = re.compile("\x00|\x02|'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^\\sa-z0-9\u00DF-\u00F6\u00F8-\u00FF\x00\x02]+")
+_WORDS = re.compile("[a-zß-öø-ÿ]+|[0-9\x00\x02]|'(?:s|t|re|ve|m|ll|d)|[^\\sa-z0-9ß-öø-ÿ\x00\x02]+")
 
 
 def byte_letters() -> list[str]:
@@ -197,21 +198,6 @@ def plain_file(vocabulary: str) -> bool:
     ] and not file["model"].get("dropout") and all("<|" in t["content"] for t in file.get("added_tokens") or [])
 
 
-class _Words(dict):
-    """Word to number; the ids of new words are looked up as they come."""
-
-    def __init__(self, ids_of):
-        super().__init__()
-        self.ids_of, self.flat, self.counts = ids_of, array("q"), array("q")
-
-    def __missing__(self, word: str) -> int:
-        ids = self.ids_of(word)
-        self.flat.extend(ids)
-        self.counts.append(len(ids))
-        self[word] = n = len(self)
-        return n
-
-
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space.
 
@@ -226,24 +212,36 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # cores belong to Spark's tasks
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.model, self.plain_file, self.letters = self.tokenizer.model, plain_file(vocabulary), byte_letters()
-        self.words = _Words(self._ids)
-
-    def _ids(self, word: str) -> list[int]:
-        if word[0] == _ODD:
-            return self.tokenizer.encode(word[1:], add_special_tokens=False).ids if word[1:] else []
-        if word == _END:
-            return [self.end]
-        text = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
-        return [t.id for t in self.model.tokenize(text)]
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets all words; the first two are the marks, whose ids are set by ``encode``."""
+        self.words = {_END: 0, _ODD: 1}
+        self.ids, self.counts = array("q", [0]), array("q", [1, 0])
+
+    def _learn(self, words: Iterable[str]) -> None:
+        """The ids of new words."""
+        known, letters, tokenize = self.words, self.letters, self.model.tokenize
+        for word in words:
+            if word not in known:
+                if word[0] == _ODD:
+                    ids = self.tokenizer.encode(word[1:], add_special_tokens=False).ids if word[1:] else []
+                elif word.isascii():
+                    ids = [t.id for t in tokenize(word)]
+                else:
+                    ids = [t.id for t in tokenize("".join([letters[b] for b in word.encode()]))]
+                known[word] = len(known)
+                self.ids.extend(ids)
+                self.counts.append(len(ids))
 
     def _is_plain(self, text: str) -> bool:
         return self.plain_file and _PLAIN.fullmatch(text) is not None and "<|" not in text
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, each with ``end`` after them, and the number of ids of each."""
-        self.end = end
         if len(self.words) > CACHED_WORDS:
-            self.words = _Words(self._ids)
+            self.clear()
+        self.ids[0] = end
         odd: list[str] = []
         stream: list[str] = []
         for text in texts:
@@ -254,12 +252,12 @@ class WordEncoder:
                 text = " ".join([p if fit else _ODD for p, fit in zip(parts, fits, strict=True)])
             stream.append(text)
         found = _WORDS.findall(_END.join([*stream, ""]).lower())
-        words = self.words
-        last, first_odd = words[_END], words[_ODD]
-        which = np.fromiter(map(words.__getitem__, found), np.int64, len(found))
-        which[which == first_odd] = np.fromiter(map(words.__getitem__, odd), np.int64, len(odd))
-        ids, counts = (np.array(np.frombuffer(x, np.int64)) for x in (words.flat, words.counts))
-        ends = np.flatnonzero(which == last)
+        self._learn(dict.fromkeys(chain(found, odd)))
+        number = self.words.__getitem__
+        which = np.fromiter(map(number, found), np.int64, len(found))
+        which[which == 1] = np.fromiter(map(number, odd), np.int64, len(odd))
+        ids, counts = (np.array(np.frombuffer(x, np.int64)) for x in (self.ids, self.counts))
+        ends = np.flatnonzero(which == 0)
         n = np.diff(np.cumsum(counts[which])[ends], prepend=0)
         return take_runs(ids, counts, which), n
 
