@@ -63,6 +63,8 @@ def sort_job_list(arr) -> F.Column:
 LIST_ROWS = 100_000
 #: Groups of a key's titles whose sizes give the running count.
 GROUPS = 1024
+# Stands for a NULL key inside the builder; no country or month is this text.
+_NULL_KEY = "\0"
 
 
 def _nested(postings: DataFrame, key: str, list_name: str, rows_per_key: int, list_rows: int | None) -> DataFrame:
@@ -80,18 +82,21 @@ def _nested(postings: DataFrame, key: str, list_name: str, rows_per_key: int, li
     if rows_per_key > 1:
         part = F.pmod(F.xxhash64("job_title"), F.lit(rows_per_key)).alias("_part")
         return pairs.groupBy(key, part).agg(entries).select(key, list_name)
-    grouped = pairs.withColumn("_group", F.pmod(F.xxhash64("job_title"), F.lit(GROUPS)))
+    # With a text for NULL both branches below join by plain equality, across which
+    # Spark carries a filter on the key (a lookup's country) from one to the other.
+    keyed = F.coalesce(key, F.lit(_NULL_KEY)).alias("_key")
+    grouped = pairs.select(keyed, "job_title", "count", F.pmod(F.xxhash64("job_title"), F.lit(GROUPS)).alias("_group"))
     # ``count`` closes both orders although it decides nothing: it stays alive
     # in both branches, so both read the one aggregate (ReusedExchange); so
-    # does the null-safe join, which infers no filter on one of them.
-    inside = Window.partitionBy(key, "_group").orderBy("job_title", "count")
+    # does the null-safe comparison, which infers no filter on one of them.
+    inside = Window.partitionBy("_key", "_group").orderBy("job_title", "count")
     numbered = grouped.withColumn("_nth", F.row_number().over(inside))
-    sizes = grouped.groupBy(F.col(key).alias("_key"), F.col("_group").alias("_of")).agg(F.count(F.lit(1)).alias("_size"), F.sum("count").alias("_all"))
-    upto = Window.partitionBy("_key").orderBy("_of", "_all").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("_key", "_of", F.coalesce(F.sum("_size").over(upto), F.lit(0)).alias("_before"))
-    placed = numbered.join(before, F.col(key).eqNullSafe(F.col("_key")) & F.col("_group").eqNullSafe(F.col("_of")))
+    sizes = grouped.groupBy(F.col("_key").alias("_of_key"), F.col("_group").alias("_of")).agg(F.count(F.lit(1)).alias("_size"), F.sum("count").alias("_all"))
+    upto = Window.partitionBy("_of_key").orderBy("_of", "_all").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_of_key", "_of", F.coalesce(F.sum("_size").over(upto), F.lit(0)).alias("_before"))
+    placed = numbered.join(before, (F.col("_key") == F.col("_of_key")) & F.col("_group").eqNullSafe(F.col("_of")))
     row = F.floor((F.col("_before") + F.col("_nth") - 1) / F.lit(list_rows)).alias("_row")
-    return placed.groupBy(key, row).agg(entries).select(key, list_name)
+    return placed.groupBy("_key", row).agg(entries).select(F.when(F.col("_key") != _NULL_KEY, F.col("_key")).alias(key), list_name)
 
 
 def build_job_counts_by_country(postings: DataFrame, rows_per_key: int = 1, list_rows: int | None = None) -> DataFrame:
