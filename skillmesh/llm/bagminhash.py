@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import drop_path, scratch_path
-from .common import WordHashes, documents, mix64, split_words, whole_text
+from .common import WordHashes, documents, gives_back, mix64, split_words, whole_text
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Components a band and bands: a pair at the threshold misses all bands with probability 3e-6.
@@ -170,7 +170,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "bands", "keys", "rest"])
 
     typed = documents(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    return typed.mapInArrow(run, _SIGNED)
+    return typed.mapInArrow(gives_back(run), _SIGNED)
 
 
 class Scratch:
@@ -216,7 +216,7 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
                 keep.append(overlap(center_set, shingles(hashes.of(split_words(y.as_py())))) >= threshold)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(gives_back(run), "a bigint, b bigint")
 
 
 def _agreeing(pairs: DataFrame, orders: DataFrame) -> DataFrame:
@@ -328,7 +328,7 @@ def _exact_pairs(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFr
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["counter", "times"])
 
-    counted = texts.select("text").mapInArrow(tally, "counter bigint, times bigint").groupBy("counter").agg(F.sum("times").alias("times")).toArrow()
+    counted = texts.select("text").mapInArrow(gives_back(tally), "counter bigint, times bigint").groupBy("counter").agg(F.sum("times").alias("times")).toArrow()
     times = np.zeros(COUNTERS, np.int64)
     times[counted.column("counter").to_numpy()] = counted.column("times").to_numpy()
 
@@ -351,7 +351,7 @@ def _exact_pairs(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFr
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["element", "id", "root", "size", "at"])
 
-    heads = scratch.written(texts.select("id", "root", "text").mapInArrow(prefixes, "element bigint, id bigint, root bigint, size bigint, at bigint"), "heads")
+    heads = scratch.written(texts.select("id", "root", "text").mapInArrow(gives_back(prefixes), "element bigint, id bigint, root bigint, size bigint, at bigint"), "heads")
     several = heads.groupBy("element").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("element")
     heads = scratch.written(heads.join(several, "element", "left_semi"), "heads")
     x = heads.select("element", *[F.col(c).alias(f"{c}_x") for c in ("id", "root", "size", "at")])

@@ -33,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, gives_back
 
 #: Characters after which a block is closed.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 6_000_000
 #: Bytes of a word beyond which its merges use a heap.
 LONG_WORD = 64
 NO_RANK = 2**31 - 1
@@ -257,7 +257,7 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, block_chars: int = BLOCK
             yield block.rows()
 
     typed = documents(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    return typed.mapInArrow(run, "doc_id bigint, ids array<int>")
+    return typed.mapInArrow(gives_back(run), "doc_id bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: Ranks, ids_col: str = "ids") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import inspect
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,36 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def _trim() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def gives_back(run):
+    """``run`` (for ``mapInArrow``, or a function of a series), after which the worker returns freed memory to the system.
+
+    Python workers stay alive between stages; what they keep would count against the next stage's executors.
+    """
+
+    def batches(own):
+        try:
+            yield from run(own)
+        finally:
+            _trim()
+
+    def series(own):
+        out = run(own)
+        _trim()
+        return out
+
+    return batches if inspect.isgeneratorfunction(run) else series
+
+
 def slots(spark: SparkSession) -> int:
     """Partitions for a shuffle that AQE does not resize."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

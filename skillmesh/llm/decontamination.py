@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, mix64
+from .common import documents, gives_back, mix64
 
 Q, SEGMENT, STEP, PART, LEAST = 8, 64, 12, 128, 40
 #: Bytes of segment for each edit of the budget.
@@ -291,7 +291,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         [pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], ["doc_id", "item_id", "segments", "edits"]
                     )
 
-        return typed.mapInArrow(run, "doc_id bigint, item_id bigint, segments bigint, edits bigint")
+        return typed.mapInArrow(gives_back(run), "doc_id bigint, item_id bigint, segments bigint, edits bigint")
 
     found = [searched(index) for index in blocks(benchmark)]
     out = found[0]
@@ -315,5 +315,5 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Dat
                 found[[first + t for t, *_ in index.search(part)]] = True
             return pd.Series(found)
 
-        out = out.where(~F.pandas_udf(holds, "boolean")(F.col(text_col)))
+        out = out.where(~F.pandas_udf(gives_back(holds), "boolean")(F.col(text_col)))
     return out

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import drop_path, scratch_path
-from .common import crc_mod, documents
+from .common import crc_mod, documents, gives_back
 
 #: Letters of other alphabets that look like Latin ones.
 LOOK_ALIKES = {
@@ -204,19 +204,18 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lexicon.score(f))], ["doc_id", "score"])
 
     typed = documents(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    return typed.mapInArrow(run, "doc_id bigint, score double")
+    return typed.mapInArrow(gives_back(run), "doc_id bigint, score double")
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:
     """``docs``, all columns, without the texts that score ``threshold`` or more."""
 
-    @F.pandas_udf("double")
     def score(texts):
         import pandas as pd
 
         return pd.Series(lexicon.score(np.array([lexicon.features(t or "") for t in texts]).reshape(-1, 4)))
 
-    return docs.where(score(F.col("text")) < threshold)
+    return docs.where(F.pandas_udf(gives_back(score), "double")(F.col("text")) < threshold)
 
 
 def not_held_out(mod: int, remainder: int, col: str = "doc_id") -> Column:
