@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import documents, gives_back
 
 #: Characters after which a block is closed.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 3_000_000
 #: Bytes of a word beyond which its merges use a heap.
 LONG_WORD = 64
 NO_RANK = 2**31 - 1

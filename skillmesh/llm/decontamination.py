@@ -51,7 +51,7 @@ HALF = PART // BYTES_AN_EDIT + 1
 #: Bytes of benchmark text in a block, on average.
 BLOCK_BYTES = 4_000_000
 #: Bytes of documents searched at once.
-AT_ONCE = 1_000_000
+AT_ONCE = 700_000
 
 _KEPT = np.full(256, 32, np.uint8)
 for _c in b"abcdefghijklmnopqrstuvwxyz0123456789":
