@@ -126,19 +126,17 @@ def item_terms(items: DataFrame) -> DataFrame:
 
 def _blocks(terms: DataFrame, most: int) -> Iterator[DataFrame]:
     """``terms`` by blocks of whole items with at most ``most`` bytes of distinct terms, as far as an item allows."""
-    n_items, largest, n = None, None, 1
+    n_items, n = terms.select("item_id").distinct().count(), 1
     while True:
         block = F.pmod(F.xxhash64("item_id"), F.lit(n))
         sizes = terms.select(block.alias("block"), "term").distinct().groupBy("block").agg(F.sum(F.octet_length("term")).alias("size"))
-        largest = sizes.agg(F.max("size")).first()[0] or 0
-        if largest <= most:
+        found = sizes.collect()  # a row a block
+        largest = max((r["size"] for r in found), default=0)
+        if largest <= most or n >= 2 * n_items:
             break
-        n_items = terms.select("item_id").distinct().count() if n_items is None else n_items
-        if n >= 4 * n_items:
-            break
-        n *= max(2, -(-largest // most))
-    for k in range(n):
-        yield terms.where(block == k)
+        n = min(2 * n_items, n * max(2, -(-largest // most)))
+    for r in sorted(found, key=lambda r: r["block"]):
+        yield terms.where(block == r["block"])
 
 
 def _scanned(docs: DataFrame, terms: list[str]) -> DataFrame:

@@ -86,6 +86,25 @@ def test_finer_levels_leave_fewer_pairs():
     assert reach == sorted(reach, reverse=True) and reach[-1] < 0.9 * reach[0]
 
 
+def test_bounds_spare_exact_scores_of_smooth_vectors(monkeypatch):
+    rng = np.random.default_rng(4)
+    ints = np.repeat(rng.integers(-200, 200, (400, 4)), 8, axis=1) + rng.integers(-4, 5, (400, 32))
+    flat = np.concatenate([np.concatenate(x, axis=1) for x in hard_negatives.summaries(ints)], axis=1).astype(np.float32)
+    rows = hard_negatives.Rows(np.arange(400), np.arange(400) % 3, ints, flat)
+    computed = []
+    plain = hard_negatives.scores
+    monkeypatch.setattr(hard_negatives, "scores", lambda a, b: computed.append(len(a) * len(b)) or plain(a, b))
+    exact = ints[:4] @ ints.T
+    low = np.array([[np.sort(own)[-20]] for own in exact])  # near the answer, as the anchors' own search leaves it
+    best = hard_negatives.Best(low, np.full((4, 1), hard_negatives.FAR), 5)
+    hard_negatives.search(rows.some(np.arange(4)), np.arange(4), rows, False, best)
+    best.settle()
+    assert sum(computed) < 0.5 * exact.size
+    for a in range(4):
+        order = sorted((-exact[a, r], r) for r in range(400) if r % 3 != a % 3)[:5]
+        assert sorted(zip(-best.score[best.slot == a], best.row[best.slot == a], strict=True)) == order
+
+
 def test_scores_beyond_doubles_are_exact():
     a = np.array([[2**30 + 1, 3]])
     assert hard_negatives.scores(a, a)[0, 0] == (2**30 + 1) ** 2 + 9
@@ -157,14 +176,14 @@ def test_counts_of_an_empty_table(nothing, vocabulary):
 
 def odd_items() -> list[tuple]:
     rng = random.Random(8)
-    texts = [t for _, t in odd_rows() if t]
+    texts = [t for _, t in odd_rows() if t and t.split()]
     items = [(k, " ".join(rng.sample(rng.choice(texts).split(), 1) * rng.randint(1, 2) + invented(rng, 6).split())) for k in range(30)]
     return [*items, (90, None), (91, ""), (92, " .,!"), (93, "nowhere-at-all qqqqqq"), (None, texts[0][:40]), (94, "SAME same"), (94, "words two"), (94, "SAME same"), (95, "CAFÉ café naïve 漢字")]
 
 
-@pytest.mark.parametrize("term_bytes", [lexical_search.TERM_BYTES, 60])
+@pytest.mark.parametrize("term_bytes", [lexical_search.TERM_BYTES, 700])
 def test_ranks_equal_all_scores(spark, odd, term_bytes, monkeypatch):
-    if term_bytes < 100:  # several blocks of items, small matrices
+    if term_bytes < 1000:  # several blocks of items, small matrices
         monkeypatch.setattr(lexical_search, "CELLS", 40)
         monkeypatch.setattr(lexical_search, "POOL", 30)
     schema = "item_id bigint, text string, " + ", ".join(f"`{c}` string" for c in CLASHES)
