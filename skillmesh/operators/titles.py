@@ -223,6 +223,13 @@ def _dictionary_is_small(prepared: DataFrame) -> bool:
     return max(n_kw, n_probes) <= DICTIONARY_BROADCAST_ROWS and n_bytes <= MAPPING_BROADCAST_BYTES
 
 
+def _dealt(titles: DataFrame, col: str) -> DataFrame:
+    """Distinct titles over all shuffle partitions: a title is short but takes long to clean and to
+    meet its keywords, and sizes in bytes would put all into a few tasks.  It also keeps Spark from
+    merging this distinct with a later one, which would clean every input row."""
+    return titles.repartition(int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions")), col)
+
+
 def candidate_pairs(cleaned_titles: DataFrame, prepared: DataFrame, small: bool) -> DataFrame:
     """Each distinct pair of a cleaned title (``T, TT``) and a prepared
     keyword that share a probe key, once (J3).
@@ -232,12 +239,17 @@ def candidate_pairs(cleaned_titles: DataFrame, prepared: DataFrame, small: bool)
     attached on the dictionary side, so that the pairs come out of one shuffle join
     on the probe key (AQE splits a hot key) that moves only a title and a key; the title's
     own keys are made again behind it.
+
+    ``explode_outer``, as for ``explode`` Spark tests the size of the keys first, and
+    that test moves through the distinct down to every input row, where it cleans the title
+    anew for each trigram.  Titles without keys meet nothing in the join, nor does
+    the empty text for NULL, which spares a NULL test on the input rows.
     """
     keys = ranked_keys(prepared)
     probes = keys.select("kid", F.posexplode("KK").alias("pos", "key"))
     info = prepared.join(keys, "kid")
-    titles = cleaned_titles.select(F.col("clean_title").alias("T")).distinct()
-    exploded = _with_keys(titles).withColumn("key", F.explode("TK"))
+    titles = _dealt(cleaned_titles.select(F.coalesce("clean_title", F.lit("")).alias("T")).distinct(), "T")
+    exploded = _with_keys(titles).withColumn("key", F.explode_outer("TK"))
     if small:
         met = exploded.join(F.broadcast(probes), "key").join(F.broadcast(info), "kid")
     else:
@@ -308,9 +320,8 @@ def normalize_titles(
     broadcast, so the input rows are never shuffled; above it both sides
     are shuffled on the title and AQE splits a skewed title.
     """
-    distinct = titles.select(F.col(title_col).alias("_title")).distinct().withColumn(
-        "clean_title", clean_title("_title")
-    )
+    distinct = _dealt(titles.select(F.col(title_col).alias("_title")).distinct(), "_title")
+    distinct = distinct.withColumn("clean_title", clean_title("_title"))
     best = best_matches(distinct, keywords, language, threshold)
     mapping = distinct.join(best, distinct.clean_title == best.T, "left").select(
         "_title",

@@ -5,6 +5,8 @@ import pytest
 from conftest import SF_SMALL
 from skillmesh.operators.profile import skill_profile
 from skillmesh.operators.recommend import recommend_titles
+from skillmesh.operators.titles import normalize_titles
+from skillmesh.plans import fixtures
 from skillmesh.session import scratch_path
 from skillmesh.sources import files
 
@@ -106,3 +108,13 @@ def test_read_postings_keeps_partition_key(spark, postings):
     assert "skillmesh_country_key" in df.columns
     rec = recommend_titles(df, "nation_3", ["blue bolt"])
     assert "PartitionFilters: [isnotnull(skillmesh_country_key" in rec._jdf.queryExecution().sparkPlan().toString()
+
+
+@pytest.mark.parametrize("language", ["both"])
+def test_titles_are_cleaned_after_the_distinct(spark, language):
+    titles = fixtures.raw_titles(spark, SF_SMALL)
+    lines = plan(normalize_titles(titles, fixtures.test_taxonomy(spark), language=language)).splitlines()
+    cleaning = [line for line in lines if "regexp_replace(" in line]
+    assert any("_title" in line for line in cleaning)
+    assert not any("p_name" in line for line in cleaning)  # an input row's own columns
+    assert not any("Filter" in line and "_title" in line and "regexp_replace(" in line for line in lines)
