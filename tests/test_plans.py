@@ -110,7 +110,7 @@ def test_read_postings_keeps_partition_key(spark, postings):
     assert "PartitionFilters: [isnotnull(skillmesh_country_key" in rec._jdf.queryExecution().sparkPlan().toString()
 
 
-@pytest.mark.parametrize("language", ["both"])
+@pytest.mark.parametrize("language", ["both", "vietnamese"])
 def test_titles_are_cleaned_after_the_distinct(spark, language):
     titles = fixtures.raw_titles(spark, SF_SMALL)
     lines = plan(normalize_titles(titles, fixtures.test_taxonomy(spark), language=language)).splitlines()
