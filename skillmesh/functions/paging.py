@@ -40,10 +40,11 @@ class OrderedTable:
         """Rows ``[start:stop]`` with Python's slice meaning, in order."""
         start, stop, _ = slice(start, stop).indices(self.total)
         held = [(part, before) for part, before, end in self.parts if before < stop and end > start]
-        offsets = self.rows.sparkSession.createDataFrame(held, f"{_PART} int, before bigint")
+        pairs = [F.lit(x).cast("bigint") for part in held for x in part]
+        before = F.create_map(*pairs)[F.col(_PART).cast("bigint")] if held else F.lit(0)
         own = self.rows.where(F.col(_PART).isin([part for part, _ in held]))
         nth = F.row_number().over(Window.partitionBy(_PART).orderBy(*self.order))
-        placed = own.withColumn(_PLACE, nth).join(F.broadcast(offsets), _PART).withColumn(_PLACE, F.col(_PLACE) + F.col("before") - 1)
+        placed = own.withColumn(_PLACE, nth + before - 1)
         page = placed.where((F.col(_PLACE) >= start) & (F.col(_PLACE) < stop))
         return page.orderBy(_PLACE).select(*self.columns)
 

@@ -97,6 +97,20 @@ def _page_bounds(limit, page) -> tuple[int, int | None]:
     return start, start + limit
 
 
+def _titles_and_names(job_counts_by_country: DataFrame, country: str) -> DataFrame:
+    """Merged title counts of the country (``name`` NULL), and a row of each spelling of it (``name``).
+
+    Each row of the nested table adds an entry for its spelling, so that one
+    aggregate of a number gives both: a text as aggregate value would sort all titles.
+    """
+    rows = job_counts_by_country.filter(country_equals(job_counts_by_country, country))
+    entry = F.transform("data", lambda j: F.struct(j["job_title"].alias("job_title"), j["count"].alias("count"), F.lit(None).cast("string").alias("name")))
+    spelling = F.struct(F.lit("").alias("job_title"), F.lit(0).cast("bigint").alias("count"), F.col("search_country").alias("name"))
+    held = F.when(F.size("data") > 0, F.concat(entry, F.array(spelling)))
+    flat = unnest_job_counts(rows.select("search_country", held.alias("data")), with_name=True)
+    return flat.groupBy("job_title", "name").agg(F.sum("count").cast("long").alias("count"))
+
+
 def jobs_by_country(job_counts_by_country: DataFrame, country: str, limit=None, page=1) -> DataFrame:
     """``search_country, data, total_jobs, showing`` (Q5): ``data`` is the page
     of titles, ``total_jobs`` the number of titles before paging and
@@ -107,27 +121,30 @@ def jobs_by_country(job_counts_by_country: DataFrame, country: str, limit=None,
     the end of the page.  A deep page comes from the ordered table, whose partition counts
     are the total.  Without a limit the list is the whole country, as asked.
     """
-    titles = _country_titles(job_counts_by_country, country or "")
+    titles = _titles_and_names(job_counts_by_country, country or "")
     start, stop = _page_bounds(limit, page)
+    title = F.col("name").isNull()
     if not country:
         titles = titles.limit(0)
     elif stop is not None and not paging.is_shallow(start, stop):
-        table = paging.OrderedTable(titles, _by_count("job_title"))
-        name = F.array_min(F.collect_set("search_country")).alias("search_country")
+        # Spellings come after the titles.
+        table = paging.OrderedTable(titles, [F.asc_nulls_first("name"), *_by_count("job_title")])
+        names = table.rows.where(~title).agg(F.array_min(F.collect_set("name")).alias("search_country"), F.count(F.lit(1)).alias("n")).first()
+        total = table.total - names.n
+        start, stop, _ = slice(start, stop).indices(total)
         shown = table.slice(start, stop).agg(sort_job_list(F.collect_list(F.struct("job_title", "count"))).alias("data"))
-        whole = table.rows.agg(name, F.count(F.lit(1)).alias("total_jobs")).where("total_jobs > 0")
-        # Two tables of one row each.
-        return _country_answer(whole.withColumn("one", F.lit(1)).join(shown.withColumn("one", F.lit(1)), "one"))
+        name = F.lit(names.search_country).cast("string").alias("search_country")
+        return _country_answer(shown.select(name, "data", F.lit(total).cast("bigint").alias("total_jobs")))
     group = Window.partitionBy("salt")
-    salted = titles.withColumn("salt", F.pmod(F.xxhash64("job_title"), F.lit(SALTS)))
-    salted = salted.withColumn("n", F.count(F.lit(1)).over(group)).withColumn("name", F.min("search_country").over(group))
+    salted = titles.withColumn("salt", F.when(title, F.pmod(F.xxhash64("job_title"), F.lit(SALTS))))
+    salted = salted.withColumn("n", F.count(F.lit(1)).over(group))
     ranked = salted.withColumn("rank", F.row_number().over(group.orderBy(*_by_count("job_title"))))
     if stop is not None:
-        ranked = ranked.where(F.col("rank") <= max(stop, 1))
+        ranked = ranked.where((F.col("rank") <= max(stop, 1)) | ~title)
     found = ranked.agg(
         F.array_min(F.collect_set("name")).alias("search_country"),
-        F.coalesce(F.sum(F.when(F.col("rank") == 1, F.col("n"))), F.lit(0)).alias("total_jobs"),
-        sort_job_list(F.collect_list(F.struct("job_title", "count"))).alias("data"),
+        F.coalesce(F.sum(F.when(title & (F.col("rank") == 1), F.col("n"))), F.lit(0)).alias("total_jobs"),
+        sort_job_list(F.collect_list(F.when(title, F.struct("job_title", "count")))).alias("data"),
     )
     if stop is not None:
         found = found.withColumn("data", F.slice("data", start + 1, max(stop - start, 0)))

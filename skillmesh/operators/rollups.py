@@ -3,7 +3,7 @@
 Each is a single ``groupBy`` with map-side partial aggregation, so a hot
 key (one title or country holding a third of all postings) is collapsed
 before the shuffle.  The nested builders (R4, R5) sort each group's list
-with ``array_sort`` after ``collect_list``; a list holds one entry per
+with ``sort_array`` after ``collect_list``; a list holds one entry per
 distinct title of a country or month, never one per posting, and at most
 ``LIST_ROWS`` of them: a key with more titles gets several rows.
 """
@@ -48,15 +48,13 @@ def build_job_counts(postings: DataFrame) -> DataFrame:
 
 
 def sort_job_list(arr) -> F.Column:
-    """Order an ``array<struct<job_title, count>>`` by count desc, title."""
-    return F.array_sort(
-        arr,
-        lambda a, b: F.when(a["count"] > b["count"], -1)
-        .when(a["count"] < b["count"], 1)
-        .when(a["job_title"] < b["job_title"], -1)
-        .when(a["job_title"] > b["job_title"], 1)
-        .otherwise(0),
-    )
+    """Order an ``array<struct<job_title, count>>`` by count desc, title.
+
+    By the natural order of (-count, title): a comparator as a lambda is
+    interpreted at every comparison.
+    """
+    keyed = F.transform(arr, lambda j: F.struct((-j["count"]).alias("less"), j["job_title"].alias("job_title"), j["count"].alias("count")))
+    return F.transform(F.sort_array(keyed), lambda j: F.struct(j["job_title"].alias("job_title"), j["count"].alias("count")))
 
 
 #: Entries of a nested list at most.

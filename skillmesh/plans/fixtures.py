@@ -42,7 +42,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
             .alias("sk"),
         )
         .groupBy("l_orderkey")
-        .agg(F.array_join(F.array_sort(F.collect_list("sk")), ", ").alias("job_skills"))
+        .agg(F.array_join(F.sort_array(F.collect_list("sk")), ", ").alias("job_skills"))
     )
     return (
         orders.join(customer, orders.o_custkey == customer.c_custkey)

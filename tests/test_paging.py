@@ -173,3 +173,24 @@ def test_title_plans_have_no_sort_aggregate(spark):
         titles.best_match_of("small ring", keywords),
     ):
         assert "SortAggregate" not in plan(df)
+
+
+@pytest.mark.parametrize("limit,page", [(2, 1), (1, -1), (None, 1), (20_000, 1)])
+def test_country_answer_merges_spellings(spark, limit, page):
+    rows = [("abc", [("x", 2), ("y", 1)]), ("ABC", [("x", 1), ("z", 9), (None, 1)]), ("Abc", [("z", 1)]), ("AAA", [("x", 5)]), ("ABc", []), ("ABC", None)]
+    nested = spark.createDataFrame(rows, "search_country string, data array<struct<job_title string, count bigint>>")
+    full = [("z", 10), ("x", 3), ("", 1), ("y", 1)]
+    got = lookups.jobs_by_country(nested, "aBc", limit, page).collect()
+    assert len(got) == 1 and (got[0].search_country, got[0].total_jobs) == ("ABC", 4)
+    start, stop = (0, None) if limit is None else ((page - 1) * limit, page * limit)
+    assert [tuple(j) for j in got[0].data] == full[start:stop]
+    p = plan(lookups._titles_and_names(nested, "abc"))
+    assert "HashAggregate" in p and "ObjectHashAggregate" not in p and "SortAggregate" not in p
+
+
+def test_list_order_is_native(spark):
+    df = spark.createDataFrame([([("b", 1), ("a", 1), ("c", 7), ("d", None)],), (None,), ([],)], "l array<struct<job_title string, count bigint>>")
+    sorted_ = df.select(rollups.sort_job_list("l").alias("l"))
+    assert "if (" not in plan(sorted_) and "CASE WHEN" not in plan(sorted_)
+    got = [r.l and [tuple(j) for j in r.l if j["count"] is not None] for r in sorted_.collect()]
+    assert got == [[("c", 7), ("a", 1), ("b", 1)], None, []] and sorted_.schema["l"].dataType.elementType.names == ["job_title", "count"]
