@@ -207,14 +207,22 @@ class Index:
         # Diagonals, shifted so that none is negative; two overlapping bands hold each.
         diagonal = where - self.at[place] + PART
         bands = (len(b) + 2 * PART) // HALF + 3
+        half, need = segment * bands + diagonal // HALF, np.minimum(self.bound, SHARED).astype(np.uint8)
+        # Most halves of bands are too thin beside either neighbour: counts by slot, up to
+        # ``SHARED`` each, are never too low.
+        slots = 1 << len(half).bit_length()
+        slot = half & (slots - 1)
+        thick = np.minimum(np.bincount(slot, minlength=slots), SHARED).astype(np.uint8)
+        thick += np.maximum(np.roll(thick, 1), np.roll(thick, -1))
+        likely = np.flatnonzero(thick[slot] >= need[segment])
         # A q-gram counts once in a band, wherever it stands in it.
-        key = (segment * bands + diagonal // HALF) * PART + self.at[place]
+        key = half[likely] * PART + self.at[place[likely]]
         twice = np.sort(np.concatenate([key, key + PART]))
         twice = twice[np.diff(twice, prepend=-1) > 0] // PART
         begins = np.flatnonzero(np.diff(twice, prepend=-1))
         keys, shared = twice[begins], np.diff(begins, append=len(twice))
         segment, band = keys // bands, keys % bands
-        on = shared >= np.minimum(self.bound, SHARED)[segment]
+        on = shared >= need[segment]
         segment, band = segment[on], band[on]
         if not len(segment):
             return nothing
@@ -234,16 +242,18 @@ class Index:
         reach = PART // BYTES_AN_EDIT
         width = 2 * HALF + 2 * reach
         far = np.int32(10 * PART)
+        # Bands reach beyond both ends of the texts.
+        beyond = np.zeros(4 * PART, np.uint8)
+        b = np.concatenate([beyond, b, beyond])
         step = np.arange(width)
         out = np.empty(len(segment), np.int64)
         order = np.argsort(self.length[segment], kind="stable")
         for k in range(0, len(segment), group):
             own = order[k : k + group]
-            s, base = segment[own], first[own, None] - reach + step
+            s, base = segment[own], first[own, None] - reach + step + len(beyond)
             cost = np.zeros((len(s), width), np.int32)
             for i in range(self.length[s[-1]]):
-                at = base + i
-                here = np.where((at >= 0) & (at < len(b)), b[np.clip(at, 0, len(b) - 1)], 0)
+                here = b[base + i]
                 # No alignment passes the byte between two texts.
                 between = np.where(here == 0, far, np.int32(0))
                 down = np.concatenate([cost[:, 1:], np.full((len(s), 1), far)], axis=1) + np.int32(1)

@@ -551,3 +551,18 @@ def test_rank_file_is_read_whole(ranks):
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         first = f.readline().split()
     assert ranks[base64.b64decode(first[0])] == int(first[1]) and len(ranks) == 50256
+
+
+def test_leaving_out_thin_bands_loses_no_match():
+    """Passages anywhere in a text, its ends too, are found in one run of texts as in a run of each."""
+    rng = random.Random(4)
+    items = [(i, "".join(rng.choice("abcdefgh ") for _ in range(60 + 9 * i))) for i in range(30)]
+    index = decontamination.Index(items)
+    texts = []
+    for i, t in items:
+        texts += [t, t[:30] + "z" + t[31:], "x" * (i * 7) + " " + t, t + " " + items[i - 1][1]]
+    found = {(n, i) for n, i, _, _ in index.search(texts)}
+    for i, _ in items:
+        assert {(4 * i + k, i) for k in range(4)} <= found and (4 * i + 3, (i - 1) % 30) in found
+    alone = {(n, i) for n, t in enumerate(texts) for _, i, _, _ in index.search([t])}
+    assert alone == found
