@@ -537,6 +537,13 @@ def test_mask_replaces_the_data(odd, nothing, tagger):
     assert pii.find(nothing, tagger).count() == 0
 
 
+def test_tagged_addresses_hold_an_at():
+    for found in ("ann at host dot com", "ann(at)host.com", "ANN [AT] host dot org", "ann.12@host1.example.com", "ann_at_host.net"):
+        assert pii._plausible("email", found), found
+    for found in ("rsoro1 usnr1 soaauu2. oru", "patch.com", "at1 dot com"):
+        assert not pii._plausible("email", found), found
+
+
 # Word hashes
 
 
