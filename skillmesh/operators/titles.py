@@ -14,25 +14,40 @@ stripped, longer than two characters):
 The best keyword wins; ties go to the earlier profession, then the earlier
 keyword.  Scores are doubles evaluated in that order.
 
-Scale: no title × keyword cross product.  A pair can only score above zero
-when (a) ``K``'s first trigram occurs in ``T``, (b) a token of ``K``
-equals a token of ``T``, (c) a long token of ``K`` has its first trigram in
-``T``, or (d) a token of ``T`` is a substring of a long token of ``K``.
-Titles emit their trigrams and tokens as probe keys, keywords emit the
-matching keys for (a)-(d); an equi-join on the key yields every candidate
-pair.  A pair that shares several keys meets under each; it is scored under
-one of them only, its rarest key by the number of keywords that have it
-(a keyword's keys are kept in that order, so a pair goes on if none of the
-keys before the one it met under is the title's too).  Keys travel as 64-bit
-hashes: a collision adds a pair that scores nothing.  Distinct titles are
-scored once and joined back; the best match of a title is the maximum of a
-number that holds score and positions (``functions/packing.py``), and names
-come back by the positions.
+Scale: no title × keyword cross product, nor all pairs that share a token.
+Of keywords with the same text the earliest wins, so each text is matched
+once.  A text can win a title in three ways:
+
+* ``K`` is a substring of ``T``: the two meet under a prefix of ``K`` at
+  least half as long as ``K`` (``substring_keys``);
+* two or more tokens of ``K`` match: they meet under a pair of matched tokens
+  (``pair_keys``);
+* one token matches: the score is then the same for all texts with that token
+  and the same number of tokens, so that a title meets only the earliest of
+  them (``token_groups``).  Where more tokens match, this score is too low and
+  the pair of tokens gives the right one.
+
+The earliest text of a token may be a substring of the title and score less
+as such than the others of its group would; and a title may match a great
+many tokens.  Such titles meet every keyword that can score
+(``candidate_pairs``): ``K``'s first trigram occurs in ``T``, a token of
+``K`` equals a token of ``T``, a long token of ``K`` has its first trigram in
+``T``, or a token of ``T`` is a substring of a long token of ``K``.  Titles
+emit their trigrams and tokens as probe keys, keywords emit the matching
+keys.  A pair that shares several keys is scored under its rarest key by the
+number of keywords that have it (a keyword's keys are kept in that order, so
+a pair goes on if none of the keys before the one it met under is the
+title's too).
+
+Keys travel as 64-bit hashes: a collision adds a pair that scores nothing.
+Distinct titles are scored once and joined back; the best match of a title is
+the maximum of a number that holds score and positions
+(``functions/packing.py``), and names come back by the positions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillmesh import schemas
@@ -58,6 +73,9 @@ DICTIONARY_BROADCAST_ROWS = 500_000
 MAPPING_BROADCAST_ROWS = 2_000_000
 # ... and when these, at the length of the longest title, have at most this many bytes.
 MAPPING_BROADCAST_BYTES = 512 << 20
+# A title that matches more distinct keyword tokens than this meets its keywords
+# without pairs of tokens, whose number grows with the square.
+MAX_PAIRED_TOKENS = 64
 
 
 # --- dictionary -----------------------------------------------------------------
@@ -160,6 +178,42 @@ def keyword_probes(prepared: DataFrame) -> DataFrame:
     return whole.unionByName(equal).unionByName(inside).unionByName(around).distinct()
 
 
+def distinct_texts(prepared: DataFrame) -> DataFrame:
+    """``kid, K, KT``: each keyword text once, with the earliest keyword that has it."""
+    texts = prepared.filter(F.col("kid").isNotNull()).groupBy("K").agg(F.min("kid").alias("kid"))
+    return texts.select("kid", "K", ws_tokens("K").alias("KT"))
+
+
+def token_keys(texts: DataFrame) -> DataFrame:
+    """``key, tok``: the hashed keys under which a keyword token can meet a title token."""
+    tokens = texts.select(F.explode("KT").alias("tok")).distinct()
+    around = F.expr("flatten(transform(sequence(1, length(tok)), i -> transform(sequence(1, length(tok) - i + 1), j -> concat('w:', substring(tok, i, j)))))")
+    partial = F.array_append(around, F.concat(F.lit("g:"), F.substring("tok", 1, 3)))
+    keys = F.when(F.length("tok") >= MIN_PARTIAL_TOKEN_LENGTH, F.array_distinct(partial)).otherwise(F.array(F.concat(F.lit("w:"), "tok")))
+    return tokens.select(F.explode(F.transform(keys, lambda x: F.xxhash64(x))).alias("key"), "tok")
+
+
+def token_groups(texts: DataFrame) -> DataFrame:
+    """``tok, size, kid, K``: the earliest text with a token among those of ``size`` tokens."""
+    tokens = texts.select("kid", F.size("KT").alias("size"), F.explode(F.array_distinct("KT")).alias("tok"))
+    scoring = (F.col("size") > 1) | (F.length("tok") >= MIN_PARTIAL_TOKEN_LENGTH)
+    first = tokens.where(scoring).groupBy("tok", "size").agg(F.min("kid").alias("kid")).join(texts, "kid")
+    # Positions given twice lead to several texts.
+    return first.where((F.size("KT") == F.col("size")) & F.array_contains("KT", F.col("tok"))).select("tok", "size", "kid", "K")
+
+
+def text_keys(texts: DataFrame) -> DataFrame:
+    """``key, kid``: the hashed keys under which a text meets the titles that hold it or match two of its tokens."""
+    prefix = F.expr("xxhash64(concat('s:', substring(K, 1, shiftleft(1, length(bin(length(K))) - 1))))")
+    return texts.select(F.explode(F.array_distinct(F.array_append(pair_keys("KT", 1), prefix))).alias("key"), "kid")
+
+
+def pair_keys(tokens: str, apart: int) -> Column:
+    """Hashed keys of the pairs of tokens in an array; ``apart`` = 0 also pairs a token with itself."""
+    pairs = f"transform(slice(o, i + {apart}, size(o)), b -> xxhash64('p:', o[i - 1], b))"
+    return F.expr(f"flatten(transform(array(array_sort({tokens})), o -> CASE WHEN size(o) > {apart} THEN flatten(transform(sequence(1, size(o) - {apart}), i -> {pairs})) ELSE array() END))")
+
+
 # --- titles -----------------------------------------------------------------------
 
 
@@ -208,12 +262,13 @@ aggregate(KT, 0D, (acc, t) -> acc + CASE
 def _dictionary_is_small(prepared: DataFrame) -> bool:
     """One small job over the dictionary: keyword count and upper bounds on
     its probe rows (tokens of four or more characters emit all their
-    substrings) and on the bytes of probes and keywords."""
+    substrings, all tokens their pairs) and on the bytes of probes and keywords."""
     probes = F.aggregate(
         "KT",
         F.lit(2).cast("long"),
         lambda acc, t: acc + 2 + F.when(F.length(t) >= MIN_PARTIAL_TOKEN_LENGTH, F.length(t) * (F.length(t) + 1) / 2).otherwise(0).cast("long"),
     )
+    probes = probes + (F.size("KT") * (F.size("KT") - 1) / 2).cast("long")
     texts = F.octet_length("K") + F.octet_length("keyword") + F.coalesce(F.octet_length("profession"), F.lit(0))
     n_kw, n_probes, n_bytes = (
         prepared.select(probes.alias("p"), texts.cast("long").alias("b"))
@@ -258,6 +313,44 @@ def candidate_pairs(cleaned_titles: DataFrame, prepared: DataFrame, small: bool)
     return met.where(first).select("T", "TT", *prepared.columns)
 
 
+def _token_matches(titles: DataFrame, texts: DataFrame, small: bool, threshold: float) -> DataFrame:
+    """``T, code, tokens, shadowed`` for each title that matches a keyword token: its best match by one
+    token, the keyword tokens it matches, and whether the earliest text of a token hides others that
+    may win: it is a substring of the title and scores less as such.  On equal scores it is the earlier."""
+    held = F.broadcast if small else (lambda df: df)
+    tri = F.expr("CASE WHEN length(n) >= 3 THEN transform(sequence(1, length(n) - 2), i -> xxhash64(concat('g:', substring(n, i, 3)))) ELSE array() END")
+    words = titles.select("T", F.explode_outer(F.array_distinct(ws_tokens("T"))).alias("n"))
+    words = words.withColumn("key", F.explode_outer(F.array_distinct(F.array_append(tri, F.xxhash64(F.concat(F.lit("w:"), "n"))))))
+    weight = f"""CASE WHEN n = tok THEN 1D
+        WHEN length(tok) >= {MIN_PARTIAL_TOKEN_LENGTH} AND (contains(n, tok) OR contains(tok, n)) THEN {PARTIAL_MATCH_SCORE!r}D END"""
+    hits = words.join(held(token_keys(texts)), "key").withColumn("w", F.expr(weight)).where("w IS NOT NULL")
+    met = hits.join(held(token_groups(texts)), "tok").withColumn("score", F.expr("w / size"))
+    inside = F.expr("contains(T, K)")
+    passes = F.col("score") >= F.lit(float(threshold))
+    whole = F.expr(f"length(K) / length(T) * {EXACT_MATCH_FACTOR}")
+    return met.groupBy("T").agg(
+        F.max(F.when(passes & ~inside, match_code("score", "kid"))).alias("code"),
+        F.collect_set("tok").alias("tokens"),
+        F.max(passes & inside & (whole < F.col("score"))).alias("shadowed"),
+    )
+
+
+def _meet(titles: DataFrame, tokens: DataFrame, texts: DataFrame, small: bool) -> DataFrame:
+    """Pairs of a title and a text that it holds or two of whose tokens it matches; a pair may come
+    more than once."""
+    pieces = F.expr("""CASE WHEN length(T) >= 1 THEN flatten(transform(sequence(0, length(bin(length(T))) - 1),
+        c -> transform(sequence(1, length(T) - shiftleft(1, c) + 1), i -> xxhash64(concat('s:', substring(T, i, shiftleft(1, c)))))))
+        ELSE array() END""")
+    held = titles.select("T", F.explode_outer(F.array_distinct(pieces)).alias("key"))
+    paired = tokens.where(F.size("tokens") <= MAX_PAIRED_TOKENS).select("T", F.explode(pair_keys("tokens", 0)).alias("key"))
+    probes = held.unionByName(paired)
+    if small:
+        met = probes.join(F.broadcast(text_keys(texts)), "key").join(F.broadcast(texts), "kid")
+    else:
+        met = probes.join(text_keys(texts).join(texts, "kid"), "key")
+    return met.select("T", ws_tokens("T").alias("TT"), *texts.columns)
+
+
 def best_matches(
     cleaned_titles: DataFrame,
     keywords: DataFrame,
@@ -272,8 +365,13 @@ def best_matches(
     """
     prepared = prepare_keywords(keywords, language)
     small = _dictionary_is_small(prepared)
-    passing = _passing(candidate_pairs(cleaned_titles, prepared, small), threshold)
-    best = passing.groupBy("T").agg(F.max(match_code("score", "kid")).alias("code"))
+    texts = distinct_texts(prepared)
+    titles = _dealt(cleaned_titles.select(F.coalesce("clean_title", F.lit("")).alias("T")).distinct(), "T")
+    tokens = _token_matches(titles, texts, small, threshold)
+    rest = tokens.where(F.col("shadowed") | (F.size("tokens") > MAX_PAIRED_TOKENS)).select(F.col("T").alias("clean_title"))
+    pairs = _meet(titles, tokens, texts, small).unionByName(candidate_pairs(rest, texts, small))
+    codes = _passing(pairs, threshold).select("T", match_code("score", "kid").alias("code"))
+    best = codes.unionByName(tokens.where("code IS NOT NULL").select("T", "code")).groupBy("T").agg(F.max("code").alias("code"))
     best = best.select("T", kid_of("code").alias("kid"), score_of("code").alias("score"))
     names = prepared.select("kid", "profession", "keyword")
     return best.join(F.broadcast(names) if small else names, "kid").select("T", "score", "profession", "keyword")
